@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, token_files, warc
+from . import decontaminate, lines, packing, quality, sharding, token_files, warc
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "line_report.n_lines", "line_report.n_boilerplate", "line_report.n_removed")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
@@ -56,4 +61,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_warc": _BASE32}
+_LINES = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+f AS (SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D ]+', ' ', 'g'), ' ') AS form FROM l),
+b AS (SELECT form FROM f WHERE form <> '' GROUP BY form HAVING count(DISTINCT coalesce(source, '')) >= 10),
+j AS (SELECT f.*, b.form IS NOT NULL AS bad, CASE WHEN f.form = '' THEN 0 ELSE len(string_split(f.form, ' ')) END AS words FROM f LEFT JOIN b ON f.form = b.form),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, coalesce(sum(words) FILTER (WHERE bad), 0) <= 0.5 * sum(words) AS removes,
+  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '') AS rest FROM j GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN d.n_bad > 0 AND d.removes THEN d.rest ELSE t.text END AS text, CAST(coalesce(d.n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(d.n_bad, 0) AS BIGINT) AS n_boilerplate, CAST(CASE WHEN d.removes THEN d.n_bad ELSE 0 END AS BIGINT) AS n_removed
+FROM documents t LEFT JOIN d USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": _LINES, "op10_warc": _BASE32}
