@@ -20,7 +20,9 @@ from . import kernels as K
 
 END = 0
 #: Pieces that a worker remembers at most; then it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
+#: Texts given to the library at once.
+AT_ONCE = 2048
 #: Rules of the two kinds of file this module cuts itself (fixed by the tokenizers' format).
 BYTE_LEVEL_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -133,27 +135,34 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of known pieces, sorted
+        self.numbers = np.zeros(0, np.int32)  # which piece each is
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)  # where the ids of each known piece begin; one more is the end
+        self.at = np.zeros(1 << 14, np.int64)  # where the ids of each piece begin; one more is the end
         self.size = 0
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """hashes: sorted and unknown so far."""
         ids, counts = self._library(pieces)
-        n, end = len(self.known), self.size + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(pieces) + 1 > len(self.at):
-            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+        n, end = len(self.keys), self.size + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(end, len(self.ids) // 2), np.uint32)))
+        if n + len(pieces) + 1 > len(self.at):
+            self.at = np.concatenate((self.at, np.zeros(max(len(pieces) + 1, n // 2), np.int64)))
         self.ids[self.size : end] = ids
         self.at[n + 1 : n + 1 + len(pieces)] = self.size + np.cumsum(counts)
         self.size = end
-        self.known.update(zip(hashes, range(n, n + len(pieces)), strict=True))
+        place = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, place, hashes)
+        self.numbers = np.insert(self.numbers, place, np.arange(n, n + len(pieces), dtype=np.int32))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, one text after the other, and how many each has (no end is added)."""
@@ -181,16 +190,23 @@ class Encoder:
         plain_offsets = np.concatenate(([0], np.cumsum(np.diff(offsets)[~whole])))
         start, end = _cut(data, plain_offsets, kind, self.words)
         codes, found = pd.factorize(K.spans(K.prefix(K.byte_values(data)), start, end))
-        if len(self.known) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self.forget()
-        hashes = found.tolist()
-        unseen = [i for i, h in enumerate(hashes) if h not in self.known]
-        if unseen:
+        order = np.argsort(found)
+        ranked = found[order]
+        place = np.searchsorted(self.keys, ranked)
+        new = np.ones(len(ranked), bool)
+        new[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] != ranked[place < len(self.keys)]
+        if new.any():
             where = np.zeros(len(found), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
+            where = where[order[new]]
             joined = data.tobytes()
-            self._learn([hashes[i] for i in unseen], [joined[a:b].decode() for a, b in zip(start[where[unseen]].tolist(), end[where[unseen]].tolist(), strict=True)])
-        entry = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[codes]
+            self._learn(ranked[new], [joined[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, ranked)
+        number = np.empty(len(found), np.int64)
+        number[order] = self.numbers[place]
+        entry = number[codes]
         sizes = self.at[entry + 1] - self.at[entry]
         to = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.at[entry] - to + sizes, sizes) + np.arange(to[-1] if len(to) else 0)]
