@@ -33,8 +33,8 @@ from .common import cut, scratch
 from .token_files import files
 
 LEVEL = 1
-#: Bytes of HTML in one file, and of index ranges that one task reads, about.
-FILE_BYTES = 64 << 20
+#: Bytes of archives that one task reads, about.
+TASK_BYTES = 16 << 20
 GAP, MOST = 1 << 16, 8 << 20
 DATE = "2026-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -115,15 +115,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         out.close()
 
 
-def write(pages: DataFrame, folder: str, revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(pages: DataFrame, folder: str, revisit_bytes: int = 0) -> DataFrame:
     """Write a record for each page and return the index."""
-    n = max(1, -(-(pages.agg(F.sum(F.octet_length("html") + 500)).first()[0] or 0) // file_bytes))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("key"))
     # one row per payload: a group of any size is reduced to its largest id in the map tasks
     holders = rows.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= revisit_bytes).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
     marked = rows.join(holders.where("n > 1 and holder is not null").drop("n"), "key", "left").select("page_id", "url", "html", "holder", (F.col("holder").isNull() | (F.col("holder") == F.col("page_id"))).alias("first"))
     marked = marked.withColumn("first", F.coalesce("first", F.lit(False)))
-    return cut(marked.repartition(int(n)).mapInArrow(lambda batches: _write(batches, folder), INDEX))
+    return cut(marked.mapInArrow(lambda batches: _write(batches, folder), INDEX))
 
 
 def _ranges(rows: list[dict]) -> Iterator[list[dict]]:
@@ -165,7 +164,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True) if found else [[]] * 7, kinds, strict=True)], names)
 
 
-def read_records(index: DataFrame, chosen: DataFrame | None = None, with_payload: bool = False, task_bytes: int = FILE_BYTES // 4) -> DataFrame:
+def read_records(index: DataFrame, chosen: DataFrame | None = None, with_payload: bool = False, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Records of the index, or of its rows ``chosen`` from it: page_id, url, record_type, payload_digest, payload_bytes, refers_to."""
     rows = (index if chosen is None else chosen).select("page_id", "file", "offset", "length", "payload_digest", "record_type", "refers_to")
     n = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // task_bytes))
