@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, quality, sharding, substrings, token_files, warc
+from . import decontaminate, lines, neardup, packing, quality, sharding, substrings, token_files, warc
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "line_report.n_lines", "line_report.n_boilerplate", "line_report.n_removed")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
