@@ -82,6 +82,7 @@ def _partials(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def place_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
     """``group`` (long, unique) and ``bytes`` to ``group`` and ``shard``."""
+    groups = cut(groups)
     n = max(1, -(-groups.count() // bucket))
     placed = cut(groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(n))).groupBy("bucket").applyInPandas(lambda pdf: _items(pdf, shards), "bucket bigint, group bigint, bytes bigint, place int"))
     sums = placed.groupBy("bucket", "place").agg(F.sum("bytes").alias("bytes")).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("place", "bytes"))).alias("m"))
@@ -102,10 +103,9 @@ def place_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET,
     return placed.join(composed.select(F.col("node").alias("bucket"), "to"), "bucket").select("group", F.col("to")[F.col("place")].alias("shard"))
 
 
-def number(rows: DataFrame, order: list[str], numbered: int = NUMBERED) -> DataFrame:
+def number(rows: DataFrame, order: list[str], shards: int = SHARDS, numbered: int = NUMBERED) -> DataFrame:
     """Add ``slot``: 0, 1, ... within each ``shard``. The rows must not change when computed again."""
-    n = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    salts = max(8, -(-n // numbered))
+    salts = max(8, -(-rows.count() // (shards * numbered)))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = salted.groupBy("shard", "salt").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -119,5 +119,5 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, bucket: in
     rows = docs.select(F.col(key).alias("id"), (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("group"))
     shards_of = place_groups(rows.groupBy("group").agg(F.sum("size").alias("bytes")), shards, bucket, fan_in)
     placed = cut(rows.join(shards_of, "group"))
-    out = number(placed, ["id", "group"])
+    out = number(placed, ["id", "group"], shards)
     return out.select(F.col("id").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
