@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import scratch
+from .common import stored
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
@@ -124,12 +124,6 @@ def tally(rows: DataFrame) -> DataFrame:
     return rows.select("text", "train").mapInArrow(_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def contexts(counts: DataFrame) -> list[DataFrame]:
     """By length of the context, from 0: context, kids (counts by next byte), total, kinds, left_total and left_kinds (of its suffix, after exclusion)."""
     orders = []
@@ -139,7 +133,7 @@ def contexts(counts: DataFrame) -> list[DataFrame]:
             grams_ = grams_.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         kids = F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")))
         table = grams_.groupBy(F.shiftright("key", 8).alias("context")).agg(kids.alias("kids"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        orders.append(_stored(table, f"contexts-{size}"))
+        orders.append(stored(table, f"contexts-{size}"))
     orders.reverse()
     out = [orders[0].withColumns({"left_total": F.lit(0).cast("bigint"), "left_kinds": 256 - F.col("kinds")})]
     for size in range(1, ORDER + 1):
@@ -168,7 +162,7 @@ def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
             (F.col("done") | (go & n.isNotNull())).alias("done"),
         )
         if size == ORDER:  # nearly all grams are settled in the longest context; the others go on
-            met = _stored(met, "first-order")
+            met = stored(met, "first-order")
             settled = met.where("done").select("key", "value")
             rest = met.where("not done")
         else:
@@ -215,13 +209,13 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES)
     rows = docs.select(F.col(key).alias("id"), "text", (~held_out(F.col(key))).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     blocks = -(-size // block_bytes) + 1
-    counts = _stored(tally(rows), "counts")
+    counts = stored(tally(rows), "counts")
     words = counts.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == F.lit(int(END)), F.col("n"))).alias("end")).first()
     n, v, end = words.n or 0, words.v, words.end or 0
     orders = contexts(counts)
     of_words = counts.where("key < 0").select("key", F.col("n").cast("double").alias("value"))
     values = log_probabilities(counts.where("key >= 0").select("key"), orders).union(of_words)
-    values = _stored(values, "values")
+    values = stored(values, "values")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
     dealt = dealt.repartition(int(blocks), "block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block bigint, key bigint")
