@@ -7,6 +7,7 @@ batch and no Python runs per word. A null text counts as the empty text in every
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,12 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  absent from other C libraries
+except (OSError, AttributeError):
+    _libc = None
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -36,16 +43,27 @@ LEAD = (np.arange(256) & 0xC0) != 0x80
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one slice take about ``limit`` bytes; a longer text is a slice of its own."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(np.diff(raw(batch.column(column))[1]))
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(np.diff(raw(batch.column(column))[1]))
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+                yield batch.slice(at, to - at)
+                at = to
+            del batch
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, and idle ones shouldn't hold any."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

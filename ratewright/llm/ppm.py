@@ -35,7 +35,9 @@ from . import kernels as K
 from .common import stored
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
+#: Keys that a task holds before it merges equal ones, and merged ones before it hands them over.
+HELD, HANDED = 1_000_000, 500_000
 HELD_OUT = (7, 2)
 PAD = 0xFF
 #: Keys: a gram as a number of ORDER + 1 bytes; a word as its hash with the highest bit set; the end of a document.
@@ -103,20 +105,26 @@ def _tally(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield np.array([END]), np.array([int(train.sum())])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(slices: Iterator[pa.RecordBatch], handed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tallies of slices, merged; those over ``handed`` keys are handed over at once."""
     parts, held = [], 0
-    for b in K.slices(batches, limit=2 << 20):
+    for b in slices:
         parts.extend(_tally(b))
         held += sum(len(x[0]) for x in parts[-3:])
-        if held > 4_000_000:
+        if held > HELD:
             parts = [_merge(parts)]
-            if len(parts[0][0]) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts.pop()], ["key", "n"])
-            held = sum(len(x[0]) for x in parts)
+            if len(parts[0][0]) > handed:
+                yield parts.pop()
+            held = max(0, sum(len(x[0]) for x in parts) - HELD // 2)
     if parts:
-        keys, counts = _merge(parts)
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], ["key", "n"])
+        yield _merge(parts)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, counts in _merged(K.slices(batches), HANDED):
+        for k in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000]), pa.array(counts[k : k + 50_000])], ["key", "n"])
+    K.give_back()
 
 
 def tally(rows: DataFrame) -> DataFrame:
@@ -172,11 +180,10 @@ def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
 
 
 def _asked(table: pa.Table) -> pa.Table:
-    parts = []
-    for b in K.slices(iter(table.select(["text", "train"]).combine_chunks().to_batches()), limit=2 << 20):
-        parts.extend((k, np.zeros(len(k), np.int8)) for k, _ in _tally(b))
-    keys, _ = _merge(parts)
-    return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py()), pa.int64()), "key": keys})
+    block = table.column("block")[0].as_py()
+    [(keys, _)] = _merged(K.slices(iter(table.select(["text", "train"]).to_batches())), 1 << 62)
+    K.give_back()
+    return pa.table({"block": pa.array(np.full(len(keys), block), pa.int64()), "key": keys})
 
 
 def _score(docs: pa.Table, values: pa.Table, end_count: int, n: int, v: int) -> pa.Table:
@@ -184,7 +191,7 @@ def _score(docs: pa.Table, values: pa.Table, end_count: int, n: int, v: int) ->
     order = np.argsort(keys)
     keys, value = keys[order], value[order]
     out = []
-    for b in K.slices(iter(docs.combine_chunks().to_batches()), limit=2 << 20):
+    for b in K.slices(iter(docs.to_batches())):
         data, offsets = K.raw(b.column("text"))
         words, w = word_keys(data, offsets)
         found, at = grams(*spaced(w))
@@ -200,6 +207,7 @@ def _score(docs: pa.Table, values: pa.Table, end_count: int, n: int, v: int) ->
         known = K.per_text(count[:-1] > 0, w.bounds) + (end_count > 0)
         held = ~b.column("train").to_numpy(zero_copy_only=False)
         out.append(pa.RecordBatch.from_pydict({"id": b.column("id"), "held_out": held, "n_tokens": w.counts.astype(np.int64) + 1, "n_known": known, "train_tokens": np.full(b.num_rows, n), "base_score": base, "score": score / np.log(10), "n_bytes": np.diff(at) - 1}))
+    K.give_back()
     return pa.Table.from_batches(out)
 
 
