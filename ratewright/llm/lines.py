@@ -26,7 +26,7 @@ MIN_SITES = 10
 MAX_SHARE = 0.5
 #: Sketches of 2**10 registers: a standard error of 3.3 %.
 LOG_REGISTERS, ERROR = 10, 0.033
-LITERAL_LINES = 2000
+LITERAL_LINES, BUCKETS = 2000, 256
 
 
 def normal(line: Column) -> Column:
@@ -71,14 +71,20 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max
         rows = rows.withColumn("text_key", key).join(lists, "text_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
         is_bad = lambda form: F.array_contains(F.col("gone"), F.xxhash64(form))
     else:
-        constants = F.lit([r.line for r in found]) if found else F.array().cast("array<bigint>")
-        is_bad = lambda form: F.array_contains(constants, F.xxhash64(form))
-
-    def one(line: Column) -> Column:
-        form = normal(line)
-        return F.struct(line.alias("line"), F.when(form == "", 0).otherwise(F.size(F.split(form, " "))).alias("words"), ((form != "") & is_bad(form)).alias("bad"))
-
-    judged = rows.withColumn("parts", F.transform(_lines(text), one))
+        # constants in BUCKETS lists by their hash, so that a line is compared with a few of them only
+        lists: list[list[int]] = [[] for _ in range(BUCKETS)]
+        for r in found:
+            lists[r.line % BUCKETS].append(r.line)
+        constants = F.array(*[F.lit(x) if x else F.array().cast("array<bigint>") for x in lists])
+        is_bad = lambda form: F.array_contains(F.element_at(constants, (F.pmod(F.xxhash64(form), F.lit(BUCKETS)) + 1).cast("int")), F.xxhash64(form))
+
+    def one(x: Column) -> Column:
+        form = x["form"]
+        return F.struct(x["line"].alias("line"), F.when(form == "", 0).otherwise(F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1).alias("words"), ((form != "") & is_bad(form)).alias("bad"))
+
+    # the normal form first, on its own: a function of a list's elements computes what it uses twice twice
+    rows = rows.withColumn("forms", F.transform(_lines(text), lambda x: F.struct(x.alias("line"), normal(x).alias("form"))))
+    judged = rows.withColumn("parts", F.transform("forms", one))
     count = lambda test, value: F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(test(p), value(p)).otherwise(0))
     judged = judged.withColumns({"bad_words": count(lambda p: p.bad, lambda p: p.words), "all_words": count(lambda p: F.lit(True), lambda p: p.words), "n_bad": count(lambda p: p.bad, lambda p: F.lit(1))})
     removes = (F.col("n_bad") > 0) & (F.col("bad_words") <= max_share * F.col("all_words"))
