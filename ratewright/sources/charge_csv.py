@@ -12,10 +12,13 @@ import csv
 import io
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, InputPartition
 
 from .charge_json import _Reader as _Files
+from .charge_json import batched
 
+COLUMNS = {"file": pa.string(), "row_index": pa.int64(), "cells": pa.list_(pa.string()), "encoding": pa.string(), "bom": pa.bool_(), "problem": pa.string()}
 SCHEMA = "file string, row_index bigint, cells array<string>, encoding string, bom boolean, problem string"
 FIELD_BYTES = 10 << 20
 
@@ -56,8 +59,7 @@ class _Reader(_Files):
         with system.open_input_stream(path, compression=None) as source:
             encoding, bom = encoding_of(source)
         with system.open_input_stream(path, compression=None) as source:
-            for row in rows(source, encoding, bom):
-                yield partition.value, *row
+            yield from batched(((partition.value, *row) for row in rows(source, encoding, bom)), COLUMNS)
 
 
 class ChargeCsv(DataSource):

@@ -16,15 +16,18 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ARRAYS = ("standard_charge_information", "modifier_information")
 CHUNK = 1 << 20
+COLUMNS = {"file": pa.string(), "part": pa.string(), "name": pa.string(), "ordinal": pa.int64(), "payload_text": pa.string(), "problem": pa.string(), "bom": pa.bool_()}
 SCHEMA = "file string, part string, name string, ordinal bigint, payload_text string, problem string, bom boolean"
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _MARK = re.compile(r'["{}\[\]]')
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
+_LONE = re.compile("[\ud800-\udfff]")
 _SCALAR = re.compile(r"[^\s,\]}]+")
 
 
@@ -49,6 +52,8 @@ class Text:
         self.source, self.chunk = source, chunk
         self.decode = codecs.getincrementaldecoder("utf-8")("surrogateescape").decode
         self.text, self.at, self.ended = "", 0, False
+        self.whole = True  # no byte so far was anything but UTF-8
+        self.last = None  # the value that was read last, if it is valid
         while not self.text and self.more():
             pass
         self.bom = self.text.startswith("\ufeff")
@@ -59,7 +64,9 @@ class Text:
             return False
         data = self.source.read(self.chunk)
         self.ended = not data
-        self.text = self.text[self.at :] + self.decode(data, self.ended)
+        new = self.decode(data, self.ended)
+        self.whole = self.whole and not _LONE.search(new)
+        self.text = self.text[self.at :] + new
         self.at = 0
         return True
 
@@ -82,9 +89,9 @@ class Text:
             raise Broken("the document ends inside a value")
         while True:
             try:
-                end = _decoder.raw_decode(self.text, self.at)[1]
+                self.last, end = _decoder.raw_decode(self.text, self.at)
             except (ValueError, RecursionError):
-                end = self._end()
+                self.last, end = None, self._end()
             if end is not None and (end < len(self.text) or self.ended):
                 out = self.text[self.at : end]
                 self.at = end
@@ -169,7 +176,7 @@ def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK) -> Iterat
                     else:
                         while True:
                             raw = text.value()
-                            bad = problem(raw)
+                            bad = None if isinstance(text.last, dict) and text.whole else problem(raw)
                             yield key, None, ordinal, raw.encode("utf-8", "replace").decode() if bad else raw, bad, bom
                             ordinal += 1
                             if not text.next_("]", key):
@@ -193,6 +200,23 @@ def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK) -> Iterat
         yield "stream", None, None, None, str(e), bom
 
 
+def batched(rows: Iterator[tuple], columns: dict[str, pa.DataType], rows_each: int = 500, bytes_each: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, of few rows or few bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str | list))
+        if len(held) >= rows_each or size >= bytes_each:
+            yield _batch(held, columns)
+            held, size = [], 0
+    if held:
+        yield _batch(held, columns)
+
+
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), columns.values(), strict=True)], list(columns))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
@@ -211,8 +235,7 @@ class _Reader(DataSourceReader):
 
         system, path = fs.FileSystem.from_uri(partition.value)
         with system.open_input_stream(path, compression=None) as source:
-            for part, name, ordinal, payload, bad, bom in scan(source, chunk=self.chunk):
-                yield partition.value, part, name, ordinal, payload, bad, bom
+            yield from batched(((partition.value, *row) for row in scan(source, chunk=self.chunk)), COLUMNS)
 
 
 class ChargeJson(DataSource):
