@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows where nobody chose a number: rows are whole texts, and both sides hold a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as a Parquet table of the shared folder, which is smaller."""
     path = scratch(df.sparkSession, name)

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lines, neardup, packing, ppm, quality, sharding, substrings, token_files, warc
-from .common import read
+from .common import read, small_batches
+
+
+def _small(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
+QUERIES = {name: _small(query) for name, query in QUERIES.items()}
 
 #: SHA-1 in base 32: five hex digits are four characters.
 _BASE32 = """
