@@ -12,8 +12,8 @@ the map tasks and added up in a tree: it has a fixed size, and its error is a fi
    of its bucket within ``WINDOW`` before it, and is paired with the ``NEAREST`` best and the first.
 3. Pairs are verified on their whole texts: weighted Jaccard similarity, or the plain one of the shingle sets, of 0.8 or more.
 4. Classes are connected components. Then buckets are gone through again with the classes known, and every pair between two
-   classes that the estimate allows is verified; so no link that joins classes is lost to the limits of step 2 (in buckets of up to ``RUN`` texts; larger ones go through in
-   overlapping runs by size, and further links are found through the other bands).
+   classes that the estimate allows is verified; so no link that joins classes is lost to the limits of step 2. Buckets of more than ``RUN`` texts are dealt out
+   in blocks, and every block meets every other of its bucket in some task; only blocks within the bucket's largest class need not.
 
 A pair of similarity 0.8 shares no band with probability ``(1 - 0.8**3)**10`` < 0.1 %.
 
@@ -175,8 +175,8 @@ def _near(a: np.ndarray, one: np.ndarray, similarity: float, deviations: float =
     return np.where(share >= _allowed(similarity, used, deviations), share, -1)
 
 
-def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarray, label: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Rows are in order of size. Without labels: the nearest within the window and the first. With: all pairs between classes."""
+def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarray, label: np.ndarray | None, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Without labels, in order of size: the nearest within the window and the first. With: all pairs between classes, of two blocks those between them."""
     if label is not None:
         found, codes = np.unique(label, return_inverse=True)
         if len(found) < 2:
@@ -184,9 +184,10 @@ def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarr
         most = np.bincount(codes).argmax()
         rest = np.flatnonzero(codes != most)
         band = int(np.flatnonzero(bands[0] == key)[0])
-        for j in rest:
+        for j in np.flatnonzero(side == 0) if side.any() else rest:
             # each pair once: by its first common band, and by the later of two that aren't in the largest class
-            own = (codes != codes[j]) & ((codes == most) | (np.arange(len(rep)) < j)) & ~(bands[:, :band] == bands[j, :band]).any(1)
+            other = side == 1 if side.any() else (codes == most) | (np.arange(len(rep)) < j)
+            own = (codes != codes[j]) & other & ~(bands[:, :band] == bands[j, :band]).any(1)
             at = np.flatnonzero(own)
             for i in at[_near(sketch[at], sketch[j], similarity, DEVIATIONS) >= 0]:
                 yield min(rep[i], rep[j]), max(rep[i], rep[j])
@@ -201,15 +202,15 @@ def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarr
             yield min(rep[i], rep[j]), max(rep[i], rep[j])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, so that a bucket's are together; no more than a run of one bucket is held."""
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled: bool, run: int = RUN) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, so that a bucket's (or the blocks' of :func:`_dealt_blocks`) are together; no more than a run is held."""
     held: list[tuple] = []
 
     def close(final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held
-        rep, sketch, bands, label = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-        pairs = set(_bucket_pairs(last, rep, sketch, bands, label, similarity))
-        held = [] if final else [(rep[-WINDOW:], sketch[-WINDOW:], bands[-WINDOW:], None if label is None else label[-WINDOW:])]
+        rep, sketch, bands, label, side = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
+        pairs = set(_bucket_pairs(last[0], rep, sketch, bands, label, side, similarity))
+        held = [] if final else [(rep[-WINDOW:], sketch[-WINDOW:], bands[-WINDOW:], None, None)]
         if pairs:
             a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -219,20 +220,48 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled:
         key = batch.column("key").to_numpy(zero_copy_only=False)
         rep, bands = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
-        label = batch.column("label").to_numpy(zero_copy_only=False) if labelled else None
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        label, side, i, j = (batch.column(c).to_numpy(zero_copy_only=False) if labelled else None for c in ("label", "side", "i", "j"))
+        group = np.stack((key, i, j), 1) if labelled else key[:, None]
+        edges = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(key)]))
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if held and key[s] != last:
+            if held and tuple(group[s]) != last:
                 yield from close(True)
-            last = key[s]
-            held.append((rep[s:e], sketch[s:e], bands[s:e], None if label is None else label[s:e]))
-            if sum(len(x[0]) for x in held) >= RUN:
+            last = tuple(group[s])
+            held.append((rep[s:e], sketch[s:e], bands[s:e], label[s:e] if labelled else None, side[s:e] if labelled else None))
+            if not labelled and sum(len(x[0]) for x in held) >= run:
                 yield from close(False)
     if held:
         yield from close(True)
     K.give_back()
 
 
+def _dealt_blocks(named: DataFrame, run: int) -> DataFrame:
+    """The rows of buckets of several classes, dealt out for the second pass: each bucket at once, or in pairs of blocks beyond ``run`` rows.
+
+    Of such a bucket, the texts outside its largest class form blocks of half a run that meet themselves, each other (``i`` and ``j``) and
+    all blocks of the largest class (``i`` and -1 - ``j``). A row goes out once for each block that its own meets.
+    """
+    columns = ["key", "rep", "sketch", "bands", "label"]
+    # buckets whose texts are all in one class by now have nothing left to find
+    sizes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    open_ = cut(sizes.select("key", "n"))
+    place = lambda i, j, side: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).cast("bigint").alias("side") if isinstance(side, int) else side.cast("bigint").alias("side"))
+    out = named.join(open_.where(F.col("n") <= run).select("key"), "key").select(*columns, F.inline(F.array(place(F.lit(0), F.lit(0), 0))))
+    large = open_.where(F.col("n") > run)
+    if large.limit(1).count():
+        rows = named.join(large, "key")
+        tops = rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"))
+        blocks = lambda n: F.ceil(n / max(1, run // 2))
+        rows = rows.join(tops, "key").withColumns({"most": F.col("label") == F.col("top.label"), "n_rest": blocks(F.col("n") - F.col("top.m")), "n_most": blocks(F.col("top.m"))})
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("n_most")).otherwise(F.col("n_rest"))))
+        own, all_of = F.col("own"), lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+        with_rest = F.transform(all_of("n_rest"), lambda y: place(F.least(own, y), F.greatest(own, y), (own > y).cast("bigint")))
+        with_most = F.transform(all_of("n_most"), lambda y: place(own, -1 - y, 0))
+        of_most = F.transform(all_of("n_rest"), lambda y: place(y, -1 - own, 1))
+        out = out.union(rows.select(*columns, F.inline(F.when(F.col("most"), of_most).otherwise(F.concat(with_rest, with_most)))))
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+
 def _verify(batches: Iterator[pa.RecordBatch], idf, similarity: float) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches, "text_a"):
         a, c, n = Shingles(*K.raw(b.column("text_a"))), Shingles(*K.raw(b.column("text_b"))), b.num_rows
@@ -249,12 +278,12 @@ def _verify(batches: Iterator[pa.RecordBatch], idf, similarity: float) -> Iterat
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(link)), b.column("b").filter(pa.array(link)), pa.array(weighted[link]), pa.array(plain[link])], ["a", "b", "weighted", "plain"])
 
 
-def classes(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
     """One row per document: the key, class_id (the smallest key of its class), class_size, and n_links, the links found of its text."""
-    return _classes(docs.select(F.col(key).alias("id"), "text"), similarity).select(F.col("id").alias(key), F.col("class_id"), "class_size", "n_links")
+    return _classes(docs.select(F.col(key).alias("id"), "text"), similarity, run).select(F.col("id").alias(key), F.col("class_id"), "class_size", "n_links")
 
 
-def _classes(rows: DataFrame, similarity: float) -> DataFrame:
+def _classes(rows: DataFrame, similarity: float, run: int = RUN) -> DataFrame:
     """rows: id, text. Returns id, text_key, a label of the class, and the columns of :func:`classes`."""
     spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(weights(rows))
@@ -277,12 +306,10 @@ def _classes(rows: DataFrame, similarity: float) -> DataFrame:
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verify(batches, idf, similarity), "a bigint, b bigint, weighted double, plain double")
 
     dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "size", "rep")
-    links = cut(verified(dealt(buckets).mapInArrow(lambda batches: _candidates(batches, similarity, False), "a bigint, b bigint").distinct()))
+    links = cut(verified(dealt(buckets).mapInArrow(lambda batches: _candidates(batches, similarity, False, run), "a bigint, b bigint").distinct()))
     labels = components(links)
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    # buckets whose texts are all in one class by now have nothing left to find
-    open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = dealt(named.join(open_, "key").select("key", "rep", "size", "sketch", "bands", "label")).mapInArrow(lambda batches: _candidates(batches, similarity, True), "a bigint, b bigint").distinct()
+    rest = _dealt_blocks(named, run).mapInArrow(lambda batches: _candidates(batches, similarity, True), "a bigint, b bigint").distinct()
     more = cut(verified(rest.join(links.select("a", "b"), ["a", "b"], "left_anti")))
     if more.limit(1).count():
         links = links.union(more)

@@ -121,3 +121,36 @@ def test_components(spark):
 def test_weights_fall_with_frequency(spark, sf):
     w = N.weights(read(spark, sf, "documents"))
     assert w.shape == (N.SLOTS,) and w.min() >= 1 and w.max() <= 1 + N.IDF_RANGE + 1e-6 and np.unique(w).size > 5
+
+
+def _bucket(n, pair=(0, -1)):
+    """A bucket of ``n`` different sketches, one class but for the two of ``pair``, which have the same sketch and share two bands with each other."""
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 255, (n, N.PLACES), dtype=np.uint8)
+    sketch[pair[1]] = sketch[pair[0]]
+    bands = rng.integers(1 << 40, 1 << 60, (n, N.BANDS))
+    bands[:, 0] = 7
+    bands[pair[1], 3] = bands[pair[0], 3] = 9
+    label = np.zeros(n, int)
+    label[list(pair)] = 1, 2
+    return [(7, k, 100 + k, bytes(sketch[k]), [int(x) for x in bands[k]], int(label[k])) for k in range(n)]
+
+
+def test_large_buckets_are_compared_whole(spark):
+    schema = "key long, rep long, size long, sketch binary, bands array<long>, label long"
+    rows = _bucket(1300)
+    hot = spark.createDataFrame(rows, schema)
+    found = lambda df, run: {(r.a, r.b) for r in N._dealt_blocks(df, run).mapInArrow(lambda b: N._candidates(b, 0.8, True), "a long, b long").collect()}
+    assert found(hot, 100) == found(hot, 5000) == {(0, 1299)}
+    # every pair between classes meets once, and blocks stay small
+    many = spark.createDataFrame([(*r[:5], r[1] % 5 if r[1] % 3 else 0) for r in rows[:60]], schema)
+    met = defaultdict(list)
+    for r in N._dealt_blocks(many, 10).collect():
+        met[r.i, r.j].append(r)
+    assert max(map(len, met.values())) < 30
+    pairs = Counter()
+    for v in met.values():
+        two = any(r.side for r in v)
+        pairs.update(tuple(sorted((a.rep, b.rep))) for k, a in enumerate(v) for b in v[:k] if a.label != b.label and (not two or a.side != b.side))
+    label = {r[1]: r[1] % 5 if r[1] % 3 else 0 for r in rows[:60]}
+    assert pairs == Counter((a, b) for a in label for b in label if a < b and label[a] != label[b])
