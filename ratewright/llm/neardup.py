@@ -7,8 +7,9 @@ the map tasks and added up in a tree: it has a fixed size, and its error is a fi
 
 1. Every text gets ``BANDS`` x ``ROWS`` consistent weighted samples (Ioffe's improved scheme: the least of
    ``c / (y e^r)`` with ``y = e^(r (t - beta))`` and ``t = floor(log w / r + beta)``, all drawn from the shingle's hash), one key per band, and a
-   sketch of 512 bytes whose equal places estimate the plain Jaccard similarity. Equal texts are one from here on.
-2. Texts with a band in common are candidates where the estimate allows 0.8. Buckets are streamed in order of their keys and sizes: a text meets those
+   sketch of 512 bytes whose equal places estimate the plain Jaccard similarity. A text that repeats a shingle gets 512 more, in which
+   each occurrence counts; as weights differ by ``1 + IDF_RANGE`` at most, they bound the weighted similarity. Equal texts are one from here on.
+2. Texts with a band in common are candidates where one of the two estimates allows 0.8. Buckets are streamed in order of their keys and sizes: a text meets those
    of its bucket within ``WINDOW`` before it, and is paired with the ``NEAREST`` best and the first.
 3. Pairs are verified on their whole texts: weighted Jaccard similarity, or the plain one of the shingle sets, of 0.8 or more.
 4. Classes are connected components. Then buckets are gone through again with the classes known, and every pair between two
@@ -46,8 +47,8 @@ FAN_IN = 64
 PLACES = 512
 EMPTY = 255
 WINDOW, NEAREST, RUN = 1000, 2, 20_000
-#: Of the estimate, in the second pass over the buckets; the first allows 3.
-DEVIATIONS = 2.5
+#: Of the estimates, in both passes over the buckets.
+DEVIATIONS = 3
 
 _rng = np.random.default_rng(20240229)
 _ODDS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,12 +142,27 @@ def _bands(s: Shingles, weight: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
-def _sketch(s: Shingles, n: int) -> np.ndarray:
+def _sketch(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     low = np.full(n * PLACES, 1 << 62, np.int64)
-    np.minimum.at(low, s.text * PLACES + (s.hash & np.uint64(PLACES - 1)).astype(np.int64), (s.hash >> np.uint64(8)).astype(np.int64))
+    np.minimum.at(low, text * PLACES + (hashes & np.uint64(PLACES - 1)).astype(np.int64), (hashes >> np.uint64(8)).astype(np.int64))
     return np.where(low == 1 << 62, EMPTY, K.mix(low.view(np.uint64)) % np.uint64(EMPTY)).astype(np.uint8).reshape(n, PLACES)
 
 
+def _sketches(s: Shingles, n: int) -> list[bytes]:
+    """Of the different shingles, and where a shingle is repeated of all occurrences after them: a shingle's first one is the shingle itself."""
+    plain = _sketch(s.text, s.hash, n)
+    again = np.bincount(s.text, s.count > 1, n) > 0
+    if not again.any():
+        return [x.tobytes() for x in plain]
+    many = again[s.text]
+    count = s.count[many]
+    nth = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    hashes = np.repeat(s.hash[many], count)
+    row = np.cumsum(again) - 1
+    whole = _sketch(np.repeat(row[s.text[many]], count), np.where(nth == 0, hashes, K.mix(hashes + nth * np.uint64(0x9E3779B97F4A7C15))), int(again.sum()))
+    return [x.tobytes() + (whole[row[k]].tobytes() if again[k] else b"") for k, x in enumerate(plain)]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         s, n = Shingles(*K.raw(b.column("text"))), b.num_rows
@@ -154,7 +170,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBat
         some = np.diff(s.bounds) > 0
         row = np.repeat(np.arange(n), some * BANDS)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("text_key"), pa.array(np.diff(s.bounds)), K.listed(keys[some].ravel(), row, n), pa.array([x.tobytes() for x in _sketch(s, n)], pa.binary())],
+            [b.column("id"), b.column("text_key"), pa.array(np.diff(s.bounds)), K.listed(keys[some].ravel(), row, n), pa.array(_sketches(s, n), pa.binary())],
             ["id", "text_key", "size", "bands", "sketch"],
         )
 
@@ -168,14 +184,25 @@ def _allowed(similarity: float, places: np.ndarray, deviations: float) -> np.nda
     return similarity - deviations * np.sqrt(similarity * (1 - similarity) / np.maximum(places, 1))
 
 
-def _near(a: np.ndarray, one: np.ndarray, similarity: float, deviations: float = 3) -> np.ndarray:
-    """Estimates for the rows of ``a`` against ``one``; -1 where the similarity is out of reach."""
+def _share(a: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used = ((a != EMPTY) | (one != EMPTY)).sum(1)
-    share = ((a == one) & (a != EMPTY)).sum(1) / np.maximum(used, 1)
-    return np.where(share >= _allowed(similarity, used, deviations), share, -1)
+    return ((a == one) & (a != EMPTY)).sum(1) / np.maximum(used, 1), used
+
+
+def _near(sketch: tuple[np.ndarray, np.ndarray | None], at: np.ndarray | slice, j: int, similarity: float) -> np.ndarray:
+    """Estimates for the rows ``at`` against row ``j``; -1 where neither similarity is in reach. Without repeats both sketches are one."""
+    plain, whole = sketch
+    # what the weighted similarity allows the one of occurrences, whose weights differ by 1 + IDF_RANGE at most
+    least = similarity / (similarity + (1 - similarity) * (1 + IDF_RANGE))
+    share, used = _share(plain[at], plain[j])
+    if whole is None:
+        return np.where(share >= _allowed(least, used, DEVIATIONS), share, -1)
+    counted, all_used = _share(whole[at], whole[j])
+    near = (share >= _allowed(similarity, used, DEVIATIONS)) | (counted >= _allowed(least, all_used, DEVIATIONS))
+    return np.where(near, np.maximum(share, counted), -1)
 
 
-def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarray, label: np.ndarray | None, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+def _bucket_pairs(key: int, rep: np.ndarray, sketch: tuple[np.ndarray, np.ndarray | None], bands: np.ndarray, label: np.ndarray | None, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
     """Without labels, in order of size: the nearest within the window and the first. With: all pairs between classes, of two blocks those between them."""
     if label is not None:
         found, codes = np.unique(label, return_inverse=True)
@@ -189,14 +216,14 @@ def _bucket_pairs(key: int, rep: np.ndarray, sketch: np.ndarray, bands: np.ndarr
             other = side == 1 if side.any() else (codes == most) | (np.arange(len(rep)) < j)
             own = (codes != codes[j]) & other & ~(bands[:, :band] == bands[j, :band]).any(1)
             at = np.flatnonzero(own)
-            for i in at[_near(sketch[at], sketch[j], similarity, DEVIATIONS) >= 0]:
+            for i in at[_near(sketch, at, j, similarity) >= 0]:
                 yield min(rep[i], rep[j]), max(rep[i], rep[j])
         return
     for j in range(1, len(rep)):
         low = max(0, j - WINDOW)
-        near = _near(sketch[low:j], sketch[j], similarity)
+        near = _near(sketch, slice(low, j), j, similarity)
         picked = {low + i for i in np.argsort(-near, kind="stable")[:NEAREST] if near[i] >= 0}
-        if 0 not in picked and _near(sketch[:1], sketch[j], similarity)[0] >= 0:
+        if 0 not in picked and _near(sketch, slice(1), j, similarity)[0] >= 0:
             picked.add(0)
         for i in picked:
             yield min(rep[i], rep[j]), max(rep[i], rep[j])
@@ -209,7 +236,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled:
     def close(final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held
         rep, sketch, bands, label, side = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-        pairs = set(_bucket_pairs(last[0], rep, sketch, bands, label, side, similarity))
+        again = np.fromiter((len(x) > PLACES for x in sketch), bool, len(sketch))
+        plain = np.frombuffer(b"".join(x[:PLACES] for x in sketch), np.uint8).reshape(-1, PLACES)
+        whole = np.frombuffer(b"".join(x[-PLACES:] for x in sketch), np.uint8).reshape(-1, PLACES) if again.any() else None
+        pairs = set(_bucket_pairs(last[0], rep, (plain, whole), bands, label, side, similarity))
         held = [] if final else [(rep[-WINDOW:], sketch[-WINDOW:], bands[-WINDOW:], None, None)]
         if pairs:
             a, b = zip(*pairs, strict=True)
@@ -219,7 +249,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled:
     for batch in batches:
         key = batch.column("key").to_numpy(zero_copy_only=False)
         rep, bands = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        sketch = np.array(batch.column("sketch").to_pylist(), object)
         label, side, i, j = (batch.column(c).to_numpy(zero_copy_only=False) if labelled else None for c in ("label", "side", "i", "j"))
         group = np.stack((key, i, j), 1) if labelled else key[:, None]
         edges = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(key)]))

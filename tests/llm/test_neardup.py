@@ -154,3 +154,30 @@ def test_large_buckets_are_compared_whole(spark):
         pairs.update(tuple(sorted((a.rep, b.rep))) for k, a in enumerate(v) for b in v[:k] if a.label != b.label and (not two or a.side != b.side))
     label = {r[1]: r[1] % 5 if r[1] % 3 else 0 for r in rows[:60]}
     assert pairs == Counter((a, b) for a in label for b in label if a < b and label[a] != label[b])
+
+
+def test_repeated_lines_link_by_weight(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    line = " ".join(word() for _ in range(30))
+    rows = [(k, "\n".join([line] * 20 + [" ".join(word() for _ in range(40))])) for k in range(6)]
+    a, b = (shingles(t) for _, t in rows[:2])
+    assert len(set(a) & set(b)) / len(set(a) | set(b)) < 0.5 and (a & b).total() / (a | b).total() > 0.84
+    rows += [(10 + k, " ".join(word() for _ in range(100))) for k in range(20)]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 6 else i for i, _ in rows}
+
+
+def test_sketch_of_occurrences_estimates_their_similarity():
+    import pyarrow as pa
+
+    from ratewright.llm import kernels as K
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(400)]
+    texts = [" ".join(words[:60] * 10 + words[60:200]), " ".join(words[:60] * 9 + words[200:300]), " ".join(words)]
+    found = N._sketches(N.Shingles(*K.raw(pa.array(texts))), 3)
+    assert [len(x) for x in found] == [2 * N.PLACES, 2 * N.PLACES, N.PLACES]
+    a, b = (np.frombuffer(x, np.uint8)[None, N.PLACES :] for x in found[:2])
+    x, y = (shingles(t) for t in texts[:2])
+    assert abs(N._share(a, b[0])[0][0] - (x & y).total() / (x | y).total()) < 0.08
