@@ -28,7 +28,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "span_report.n_sentences", "span_report.n_removed", "span_report.removed_words")
+    return substrings.dedup(read(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "span_report.n_sentences", "span_report.n_removed", "span_report.removed_words")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

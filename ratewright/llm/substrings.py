@@ -3,6 +3,8 @@
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (closing quotes and brackets may follow) or at a newline; one of
 more than ``MAX_WORDS`` words is cut into pieces of that many, which count as sentences, so that prose without stops is covered too.
 Every run of ``SENTENCES`` consecutive ones with ``MIN_WORDS`` words or more is a span; its words, in lower case (ASCII), are hashed (96 bits).
+With ``whole``, which the query uses, long sentences are cut before words whose hash is the least of those within ``NEAR`` words (and every
+``MAX_WORDS`` from there), so that copies are cut alike at any offset, and a run of short sentences is lengthened until it has ``MIN_WORDS``.
 The hashes of all documents are grouped; the first occurrence, by key and place, stays, and a sentence inside any other
 occurrence is removed.
 
@@ -28,6 +30,7 @@ from . import kernels as K
 SENTENCES = 3
 MAX_WORDS = 12
 MIN_WORDS = 8
+NEAR = 4
 
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]}", np.uint8))
@@ -36,7 +39,7 @@ _CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]}", np.uint8))
 class Sentences:
     """The sentences of some texts, as ranges of their words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS, whole: bool = False):
         self.words = w = K.Words(data, offsets, K.SPACED)
         n = len(w.start)
         if not n:
@@ -54,47 +57,76 @@ class Sentences:
         first = np.ones(n, bool)
         first[1:] = stop[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]]) | (w.text[1:] != w.text[:-1])
         begin = np.flatnonzero(first)
+        if whole:
+            first = first | self._content_cuts(data, begin, max_words)
+            begin = np.flatnonzero(first)
         place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
         self.low = np.flatnonzero(place % max_words == 0)
         self.high = np.append(self.low[1:], n)
         self.text = w.text[self.low]
 
+    def _content_cuts(self, data: np.ndarray, begin: np.ndarray, max_words: int) -> np.ndarray:
+        """Words of long sentences whose hash, with the next word's, is less than those of all within NEAR words of the sentence."""
+        w, n = self.words, len(self.words.start)
+        size = np.diff(np.append(begin, n))
+        sentence = np.repeat(np.arange(len(begin)), size)
+        lower = K.Words.__new__(K.Words)
+        lower.data, lower.start, lower.end = K.LOWER[data], w.start, w.end
+        value = lower.hashes()
+        joint = value.copy()
+        joint[:-1] += np.where(sentence[:-1] == sentence[1:], value[1:], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)
+        joint = K.mix(joint)
+        cut = (np.repeat(size, size) > max_words) & (np.arange(n) - begin[sentence] >= NEAR)
+        for d in range(1, NEAR + 1):
+            other = sentence[:-d] != sentence[d:]
+            cut[d:] &= other | (joint[d:] < joint[:-d])
+            cut[:-d] &= other | (joint[:-d] < joint[d:])
+        return cut
+
     def bounds(self, texts: int) -> np.ndarray:
         """Where each text's sentences begin, and the end."""
         return np.searchsorted(self.text, np.arange(texts + 1))
 
 
-def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         data, offsets = K.raw(b.column("text"))
-        s = Sentences(data, offsets, max_words)
+        s = Sentences(data, offsets, max_words, whole)
         lower = K.Words.__new__(K.Words)
         lower.data, lower.start, lower.end = K.LOWER[data], s.words.start, s.words.end
         hashes = lower.hashes()
         at = np.flatnonzero(s.text[: max(0, len(s.text) - n + 1)] == s.text[n - 1 :]) if len(s.text) >= n else np.zeros(0, np.int64)
-        low, high = s.low[at], s.high[at + n - 1]
-        at, low, high = (x[high - low >= min_words] for x in (at, low, high))
+        last = at + n - 1
+        if whole and len(at):
+            # the first sentence by which the run has enough words, if its text has one
+            last = np.maximum(last, np.searchsorted(s.high, s.low[at] + min_words))
+            some = last < len(s.low)
+            some[some] = s.text[last[some]] == s.text[at[some]]
+            at, last = at[some], last[some]
+        low, high = s.low[at], s.high[last]
+        at, last, low, high = (x[high - low >= min_words] for x in (at, last, low, high))
         span = K.spans(K.prefix(hashes), low, high)
         check = K.spans(K.prefix(K.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))), low, high)
         base = s.bounds(b.num_rows)
-        entries = pa.StructArray.from_arrays([pa.array(span.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at - base[s.text[at]]).astype(np.int32))], ["span", "check", "at"])
+        entries = pa.StructArray.from_arrays([pa.array(span.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at - base[s.text[at]]).astype(np.int32)), pa.array((last - at + 1).astype(np.int32))], ["span", "check", "at", "many"])
         counts = np.concatenate(([0], np.cumsum(np.bincount(s.text[at], minlength=b.num_rows)))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text_key"), pa.ListArray.from_arrays(pa.array(counts), entries)], ["key", "text_key", "spans"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], n: int, max_words: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], max_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         data, offsets = K.raw(b.column("text"))
-        s = Sentences(data, offsets, max_words)
+        s = Sentences(data, offsets, max_words, whole)
         base = s.bounds(b.num_rows)
-        gone = np.zeros(len(s.low) + n, bool)
         lists = b.column("later")
         lists = lists.fill_null([]) if lists.null_count else lists
         counts = np.diff(lists.offsets.to_numpy())
-        at = np.repeat(base[:-1], counts) + lists.flatten().to_numpy(zero_copy_only=False)
-        for k in range(n):
-            gone[at + k] = True
-        gone = gone[: len(s.low)]
+        runs = lists.flatten()
+        at = np.repeat(base[:-1], counts) + runs.field("at").to_numpy(zero_copy_only=False)
+        open_ = np.zeros(len(s.low) + 1, np.int64)
+        np.add.at(open_, at, 1)
+        np.add.at(open_, at + runs.field("many").to_numpy(zero_copy_only=False), -1)
+        gone = np.cumsum(open_)[:-1] > 0
         stay = np.ones(len(data) + 1, np.int8)
         if gone.any():
             # from the first word of a removed sentence to the next word, or to the end of the text
@@ -116,25 +148,25 @@ def _remove(batches: Iterator[pa.RecordBatch], n: int, max_words: int) -> Iterat
         yield pa.RecordBatch.from_pydict(out | {"n_sentences": np.diff(base).astype(np.int64), "n_removed": removed, "removed_words": words})
 
 
-def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, text_key and ``later``: where spans begin, in sentences, that are not the first of their kind."""
+def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """key, text_key and ``later``: where spans begin, in sentences, that are not the first of their kind, and how many each has."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_key"), F.col("text"))
-    entries = rows.mapInArrow(lambda batches: _spans(batches, sentences, max_words, min_words), f"key {kind}, text_key bigint, spans array<struct<span:bigint,check:int,at:int>>")
+    entries = rows.mapInArrow(lambda batches: _spans(batches, sentences, max_words, min_words, whole), f"key {kind}, text_key bigint, spans array<struct<span:bigint,check:int,at:int,many:int>>")
     entries = entries.select("key", "text_key", F.inline("spans"))
     where = F.struct("key", "text_key", "at")
     firsts = entries.groupBy("span", "check").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("span", "check", "first")
     later = entries.join(firsts, ["span", "check"]).where(where != F.col("first"))
-    return later.groupBy("key", "text_key").agg(F.collect_set("at").alias("later"))
+    return later.groupBy("key", "text_key").agg(F.collect_set(F.struct("at", "many")).alias("later"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """All documents and columns, texts without what is repeated, then ``span_report``: a struct of n_sentences, n_removed, removed_words."""
     names = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    later = later_spans(rows, names[key], sentences, max_words, min_words)
+    later = later_spans(rows, names[key], sentences, max_words, min_words, whole)
     met = rows.withColumn("text_key", F.xxhash64("text")).alias("d").join(later.alias("l"), (F.col("d.text_key") == F.col("l.text_key")) & F.col(f"d.{names[key]}").eqNullSafe(F.col("l.key")), "left")
     met = met.select(*[F.col(f"d.{n}") for n in names.values()], "l.later")
     schema = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names.values()]
-    out = met.mapInArrow(lambda batches: _remove(batches, sentences, max_words), ", ".join([*schema, "n_sentences bigint, n_removed bigint, removed_words bigint"]))
+    out = met.mapInArrow(lambda batches: _remove(batches, max_words, whole), ", ".join([*schema, "n_sentences bigint, n_removed bigint, removed_words bigint"]))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.struct("n_sentences", "n_removed", "removed_words").alias("span_report"))

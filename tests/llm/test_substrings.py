@@ -1,5 +1,6 @@
 import re
 
+from ratewright.llm import queries
 from ratewright.llm import substrings as S
 from ratewright.llm.common import read
 
@@ -65,3 +66,18 @@ def test_edges(spark):
     assert got(docs) == want
     assert S.dedup(docs).columns == ["doc_id", "text", "span", "span_report"]
     assert S.dedup(docs.limit(0)).count() == 0
+
+
+def test_query_finds_short_sentences_and_shifted_copies(spark, tmp_path):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    short = " ".join(f"s{i}." for i in range(155))
+    rows = [(0, short), (1, "Other. " + short + " End."), (2, "start " + words("p", 200))]
+    rows += [(10 + k, words(f"own{k}x", k) + " " + words("p", 200) + " " + words(f"more{k}x", 40)) for k in range(13)]
+    rows += [(30, "y. " * 20), (31, "z. " * 7)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got[0].text == short and got[2].text == rows[2][1] and got[31].text == rows[-1][1]
+    assert got[1].removed_words == 155 and got[1].text == "Other. End."
+    assert all(170 <= got[10 + k].removed_words <= 200 for k in range(13))
+    assert all(f"own{k}x{i}" in got[10 + k].text for k in range(13) for i in range(k))
+    assert got[30].text.split() == ["y."]
