@@ -23,11 +23,9 @@ except (OSError, AttributeError):
     _libc = None
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_ANY = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-_ANY ^= _ANY >> np.uint64(29)
-_ANY *= np.uint64(0xFF51AFD7ED558CCD)
+#: What stays of eight bytes of which so many belong to a range.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -84,32 +82,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers: dict[str, np.ndarray] = {}
+def _summed(values: np.ndarray, count: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """One hash for each range from its parts (``count`` of them, in order): each is scattered with its place, then they are added up.
 
+    No algebra ties the parts of a range together, so that regular texts don't meet, as they do in a polynomial.
+    """
+    place = (np.arange(len(values)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(mix(values ^ np.uint64(seed)) + place * _ODD), out=sums[1:])
+    ends = np.cumsum(count)
+    return mix(sums[ends] - sums[ends - count] + size.astype(np.uint64) * _STEP)
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    key = "inverse" if inverse else "odd"
-    if key not in _powers or len(_powers[key]) < n:
-        p = np.full(max(n, SLICE_BYTES) + 1, _ODD_INVERSE if inverse else _ODD, np.uint64)
-        p[0] = 1
-        _powers[key] = np.cumprod(p)
-    return _powers[key][:n]
 
+def bytes_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ranges of bytes; equal ranges have equal hashes wherever they lie. Work grows with the ranges' total length."""
+    size = end - start
+    count = (size + 7) >> 3
+    first = np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(start, count) + ((np.arange(len(first)) - first) << 3)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    return _summed(eights & _MASKS[np.minimum(np.repeat(end, count) - at, 8)], count, size, seed)
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums from which :func:`spans` takes the hash of any range of ``values`` (64-bit)."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
-    return out
 
-
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges; equal ranges have equal hashes wherever they lie."""
-    return mix((sums[end] - sums[start]) * powers(len(sums), True)[start] + (end - start).astype(np.uint64) * _STEP)
-
-
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _ANY[data]
+def run_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 0) -> np.ndarray:
+    """As :func:`bytes_hashes`, of ranges of 64-bit values (words)."""
+    size = high - low
+    first = np.repeat(np.cumsum(size) - size, size)
+    return _summed(hashes[np.repeat(low, size) + np.arange(len(first)) - first], size, size, seed)
 
 
 class Words:
@@ -131,7 +132,7 @@ class Words:
         self.text = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return spans(prefix(byte_values(self.data)), self.start, self.end)
+        return bytes_hashes(self.data, self.start, self.end)
 
 
 def grams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +140,10 @@ def grams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.
     if len(hashes) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(text[: len(text) - n + 1] == text[n - 1 :])
-    return spans(prefix(hashes), at, at + n), at
+    out = hashes[at]
+    for k in range(1, n):
+        out = mix(out * _ODD + hashes[at + k])
+    return out, at
 
 
 def within(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:

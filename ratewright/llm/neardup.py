@@ -1,22 +1,24 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five lower-case words (a shorter text is one shingle). A shingle weighs its count in the text times
-``1 + IDF_RANGE * log(N / df) / log(N)``; the range is small so that what an edit changes, which is always rare, doesn't
-outweigh what two copies share. Document frequencies come from a sketch of ``SLOTS`` counters over all documents, built in
-the map tasks and added up in a tree: it has a fixed size, and its error is a fixed share of N at any N.
+Shingles are five lower-case words (a shorter text is one shingle). A shingle weighs its count in the text times its inverse document
+frequency, ``1 + log((1 + N) / (1 + df))``. Two texts are linked if their weighted Jaccard similarity, the sum of the lesser weights
+over that of the greater ones, is 0.8 or more: what both have must outweigh what one has, and rare shingles (those of edits too) count
+for more than common ones. Document frequencies come from a sketch of ``SLOTS`` counters over all documents, built in the map tasks and
+added up in a tree: it has a fixed size, and its error is a fixed share of N at any N.
 
 1. Every text gets ``BANDS`` x ``ROWS`` consistent weighted samples (Ioffe's improved scheme: the least of
-   ``c / (y e^r)`` with ``y = e^(r (t - beta))`` and ``t = floor(log w / r + beta)``, all drawn from the shingle's hash), one key per band, and a
-   sketch of 512 bytes whose equal places estimate the plain Jaccard similarity. A text that repeats a shingle gets 512 more, in which
-   each occurrence counts; as weights differ by ``1 + IDF_RANGE`` at most, they bound the weighted similarity. Equal texts are one from here on.
-2. Texts with a band in common are candidates where one of the two estimates allows 0.8. Buckets are streamed in order of their keys and sizes: a text meets those
-   of its bucket within ``WINDOW`` before it, and is paired with the ``NEAREST`` best and the first.
-3. Pairs are verified on their whole texts: weighted Jaccard similarity, or the plain one of the shingle sets, of 0.8 or more.
+   ``c / (y e^r)`` with ``y = e^(r (t - beta))`` and ``t = floor(log w / r + beta)``, all drawn from the shingle's hash), one key per
+   band, and its weights added up in ``PLACES`` places. As sums hide differences and never make any, the weighted similarity of two
+   texts' places is at least their own: a pair that the places put below 0.8 has no link. Equal texts are one from here on.
+2. Texts with a band in common are candidates. First, buckets are dealt out in blocks of about ``NEAR`` texts, which all have the bucket's first
+   text, and every text is paired with the likeliest one before it in its block.
+3. Pairs are verified on their whole texts by the weighted similarity.
 4. Classes are connected components. Then buckets are gone through again with the classes known, and every pair between two
-   classes that the estimate allows is verified; so no link that joins classes is lost to the limits of step 2. Buckets of more than ``RUN`` texts are dealt out
-   in blocks, and every block meets every other of its bucket in some task; only blocks within the bucket's largest class need not.
+   classes that the places allow is verified, so that no link that joins classes is lost to the choice of step 2. Buckets of more than ``RUN``
+   texts are dealt out in blocks, and every block meets every other of its bucket in some task; only blocks within the bucket's
+   largest class need not.
 
-A pair of similarity 0.8 shares no band with probability ``(1 - 0.8**3)**10`` < 0.1 %.
+A pair of similarity 0.8 shares no band with probability ``(1 - 0.8**3)**10`` < 0.1 %; nothing else is left to chance.
 
 Defined cases: null and empty texts have no shingles and are copies of each other; repeated rows are copies; ties go to the
 smallest key, nulls last; an empty table gives an empty result; other columns are kept by :func:`dedup`, whatever their names.
@@ -40,15 +42,13 @@ from .graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
-IDF_RANGE = 0.2
 SLOTS = 1 << 20
 BLOCKS = 64
 FAN_IN = 64
-PLACES = 512
-EMPTY = 255
-WINDOW, NEAREST, RUN = 1000, 2, 20_000
-#: Of the estimates, in both passes over the buckets.
-DEVIATIONS = 3
+#: Places of a text's sums, and the steps between their codes, one byte each: relative, from a weight of 1 on.
+PLACES, CODE_STEP = 512, 0.045
+#: Texts of a bucket that meet in one task: in step 2, and in step 4.
+NEAR, RUN = 64, 500
 
 _rng = np.random.default_rng(20240229)
 _ODDS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,7 +77,7 @@ class Shingles:
         text = words.text[at]
         short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
         if len(short):
-            grams = np.concatenate((grams, K.spans(K.prefix(hashes), words.bounds[short], words.bounds[short + 1])))
+            grams = np.concatenate((grams, K.run_hashes(hashes, words.bounds[short], words.bounds[short + 1])))
             text = np.concatenate((text, short))
         codes, found = pd.factorize(K.within(text, grams))
         where = np.zeros(len(found), np.int64)
@@ -105,7 +105,7 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def weights(docs: DataFrame) -> np.ndarray:
-    """1 + the scaled inverse document frequency by slot; SLOTS numbers at any size of input."""
+    """The inverse document frequency by slot; SLOTS numbers at any size of input."""
     parts = cut(docs.select("text").mapInArrow(_frequencies, "block bigint, part bigint, counts binary"))
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
@@ -116,9 +116,9 @@ def weights(docs: DataFrame) -> np.ndarray:
     rows = sorted((r.block, r.counts) for r in parts.collect())  # BLOCKS + 1 rows
     if not rows:
         return np.ones(SLOTS, np.float32)
-    total = max(2, int(np.frombuffer(rows[-1][1], np.int64)[0]))
+    total = int(np.frombuffer(rows[-1][1], np.int64)[0])
     df = np.concatenate([np.frombuffer(c, np.int64) for _, c in rows[:-1]])
-    return (1 + IDF_RANGE * np.log(total / np.clip(df, 1, total)) / np.log(total)).astype(np.float32)
+    return (1 + np.log((1 + total) / (1 + np.minimum(df, total)))).astype(np.float32)
 
 
 def _bands(s: Shingles, weight: np.ndarray, n: int) -> np.ndarray:
@@ -142,36 +142,29 @@ def _bands(s: Shingles, weight: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
-def _sketch(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    low = np.full(n * PLACES, 1 << 62, np.int64)
-    np.minimum.at(low, text * PLACES + (hashes & np.uint64(PLACES - 1)).astype(np.int64), (hashes >> np.uint64(8)).astype(np.int64))
-    return np.where(low == 1 << 62, EMPTY, K.mix(low.view(np.uint64)) % np.uint64(EMPTY)).astype(np.uint8).reshape(n, PLACES)
+def _places(s: Shingles, weight: np.ndarray, n: int) -> list[bytes]:
+    """The codes of each text's weights, added up by place; 0 where there is none."""
+    at = s.text * PLACES + (s.hash >> np.uint64(20) & np.uint64(PLACES - 1)).astype(np.int64)
+    sums = np.bincount(at, weight, n * PLACES)
+    codes = np.zeros(n * PLACES, np.uint8)
+    some = sums > 0
+    codes[some] = np.clip(np.round(np.log(sums[some]) / CODE_STEP) + 1, 1, 255)
+    return [x.tobytes() for x in codes.reshape(n, PLACES)]
 
 
-def _sketches(s: Shingles, n: int) -> list[bytes]:
-    """Of the different shingles, and where a shingle is repeated of all occurrences after them: a shingle's first one is the shingle itself."""
-    plain = _sketch(s.text, s.hash, n)
-    again = np.bincount(s.text, s.count > 1, n) > 0
-    if not again.any():
-        return [x.tobytes() for x in plain]
-    many = again[s.text]
-    count = s.count[many]
-    nth = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-    hashes = np.repeat(s.hash[many], count)
-    row = np.cumsum(again) - 1
-    whole = _sketch(np.repeat(row[s.text[many]], count), np.where(nth == 0, hashes, K.mix(hashes + nth * np.uint64(0x9E3779B97F4A7C15))), int(again.sum()))
-    return [x.tobytes() + (whole[row[k]].tobytes() if again[k] else b"") for k, x in enumerate(plain)]
+_SUMS = np.concatenate(([0], np.exp(CODE_STEP * np.arange(255)))).astype(np.float32)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         s, n = Shingles(*K.raw(b.column("text"))), b.num_rows
-        keys = _bands(s, s.count * idf.value[(s.hash & np.uint64(SLOTS - 1)).astype(np.int64)], n)
+        weight = s.count * idf.value[(s.hash & np.uint64(SLOTS - 1)).astype(np.int64)]
+        keys = _bands(s, weight, n)
         some = np.diff(s.bounds) > 0
         row = np.repeat(np.arange(n), some * BANDS)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("text_key"), pa.array(np.diff(s.bounds)), K.listed(keys[some].ravel(), row, n), pa.array(_sketches(s, n), pa.binary())],
-            ["id", "text_key", "size", "bands", "sketch"],
+            [b.column("id"), b.column("text_key"), pa.array(np.diff(s.bounds)), K.listed(keys[some].ravel(), row, n), pa.array(_places(s, weight, n), pa.binary())],
+            ["id", "text_key", "size", "bands", "places"],
         )
 
 
@@ -179,117 +172,110 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _allowed(similarity: float, places: np.ndarray, deviations: float) -> np.ndarray:
-    """The least share of equal places of a pair of this similarity, but for so many standard deviations."""
-    return similarity - deviations * np.sqrt(similarity * (1 - similarity) / np.maximum(places, 1))
-
-
-def _share(a: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    used = ((a != EMPTY) | (one != EMPTY)).sum(1)
-    return ((a == one) & (a != EMPTY)).sum(1) / np.maximum(used, 1), used
-
-
-def _near(sketch: tuple[np.ndarray, np.ndarray | None], at: np.ndarray | slice, j: int, similarity: float) -> np.ndarray:
-    """Estimates for the rows ``at`` against row ``j``; -1 where neither similarity is in reach. Without repeats both sketches are one."""
-    plain, whole = sketch
-    # what the weighted similarity allows the one of occurrences, whose weights differ by 1 + IDF_RANGE at most
-    least = similarity / (similarity + (1 - similarity) * (1 + IDF_RANGE))
-    share, used = _share(plain[at], plain[j])
-    if whole is None:
-        return np.where(share >= _allowed(least, used, DEVIATIONS), share, -1)
-    counted, all_used = _share(whole[at], whole[j])
-    near = (share >= _allowed(similarity, used, DEVIATIONS)) | (counted >= _allowed(least, all_used, DEVIATIONS))
-    return np.where(near, np.maximum(share, counted), -1)
-
-
-def _bucket_pairs(key: int, rep: np.ndarray, sketch: tuple[np.ndarray, np.ndarray | None], bands: np.ndarray, label: np.ndarray | None, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Without labels, in order of size: the nearest within the window and the first. With: all pairs between classes, of two blocks those between them."""
-    if label is not None:
-        found, codes = np.unique(label, return_inverse=True)
-        if len(found) < 2:
-            return
-        most = np.bincount(codes).argmax()
-        rest = np.flatnonzero(codes != most)
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        for j in np.flatnonzero(side == 0) if side.any() else rest:
-            # each pair once: by its first common band, and by the later of two that aren't in the largest class
-            other = side == 1 if side.any() else (codes == most) | (np.arange(len(rep)) < j)
-            own = (codes != codes[j]) & other & ~(bands[:, :band] == bands[j, :band]).any(1)
-            at = np.flatnonzero(own)
-            for i in at[_near(sketch, at, j, similarity) >= 0]:
-                yield min(rep[i], rep[j]), max(rep[i], rep[j])
-        return
-    for j in range(1, len(rep)):
-        low = max(0, j - WINDOW)
-        near = _near(sketch, slice(low, j), j, similarity)
-        picked = {low + i for i in np.argsort(-near, kind="stable")[:NEAREST] if near[i] >= 0}
-        if 0 not in picked and _near(sketch, slice(1), j, similarity)[0] >= 0:
-            picked.add(0)
-        for i in picked:
-            yield min(rep[i], rep[j]), max(rep[i], rep[j])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, labelled: bool, run: int = RUN) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, so that a bucket's (or the blocks' of :func:`_dealt_blocks`) are together; no more than a run is held."""
-    held: list[tuple] = []
-
-    def close(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        rep, sketch, bands, label, side = (np.concatenate(x) if x[0] is not None else None for x in zip(*held, strict=True))
-        again = np.fromiter((len(x) > PLACES for x in sketch), bool, len(sketch))
-        plain = np.frombuffer(b"".join(x[:PLACES] for x in sketch), np.uint8).reshape(-1, PLACES)
-        whole = np.frombuffer(b"".join(x[-PLACES:] for x in sketch), np.uint8).reshape(-1, PLACES) if again.any() else None
-        pairs = set(_bucket_pairs(last[0], rep, (plain, whole), bands, label, side, similarity))
-        held = [] if final else [(rep[-WINDOW:], sketch[-WINDOW:], bands[-WINDOW:], None, None)]
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _bounds(places: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """What the weighted similarity of each row to ``one`` is at most, codes taken at their word; see :func:`_least`."""
+    low = _SUMS[np.minimum(places, one)].sum(1)
+    bound = low / np.maximum(_SUMS[np.maximum(places, one)].sum(1), 1e-9)
+    if one.max() == 255:  # a sum beyond the codes: nothing can be said against another such text
+        bound[places.max(1) == 255] = 1
+    return bound
+
+
+def _least(similarity: float) -> float:
+    """The least bound of a pair of that similarity: a code is off by half a step at most, either way."""
+    return similarity * float(np.exp(-CODE_STEP)) - 1e-6
+
+
+def _nearest(b: Block, least: float) -> Iterator[tuple[int, int]]:
+    """Every text with the likeliest before it (rows come in order of size, the bucket's first text foremost)."""
+    for j in range(1, len(b.rep)):
+        bound = _bounds(b.places[:j], b.places[j])
+        i = int(bound.argmax())
+        if bound[i] >= least and b.rep[i] != b.rep[j]:
+            yield i, j
+
 
+def _between(b: Block, least: float) -> Iterator[tuple[int, int]]:
+    """All pairs between classes, of two blocks those between them; each by its first common band only."""
+    found, codes = np.unique(b.label, return_inverse=True)
+    if len(found) < 2:
+        return
+    most = np.bincount(codes).argmax()
+    band = int(np.flatnonzero(b.bands[0] == b.key)[0])
+    two = b.side.any()
+    for j in np.flatnonzero(b.side == 0) if two else np.flatnonzero(codes != most):
+        other = b.side == 1 if two else (codes == most) | (np.arange(len(codes)) < j)
+        at = np.flatnonzero((codes != codes[j]) & other)
+        at = at[~(b.bands[at, :band] == b.bands[j, :band]).any(1)]
+        for i in at[_bounds(b.places[at], b.places[j]) >= least]:
+            yield i, j
+
+
+class Block:
+    """Texts of a bucket that meet in one task."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        column = lambda c: rows.column(c).to_numpy() if c in rows.column_names else None
+        self.key, self.rep, self.label, self.side = rows.column("key")[0].as_py(), column("rep"), column("label"), column("side")
+        self.places = np.frombuffer(b"".join(rows.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if "bands" in rows.column_names else None
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, pairs_of) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, i and j, so that those of a block are together; one block is held at a time."""
+    held: list[pa.RecordBatch] = []
     last = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        b = Block(held)
+        if pairs := {(min(b.rep[i], b.rep[j]), max(b.rep[i], b.rep[j])) for i, j in pairs_of(b, _least(similarity))}:
+            x, y = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
     for batch in batches:
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        rep, bands = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-        sketch = np.array(batch.column("sketch").to_pylist(), object)
-        label, side, i, j = (batch.column(c).to_numpy(zero_copy_only=False) if labelled else None for c in ("label", "side", "i", "j"))
-        group = np.stack((key, i, j), 1) if labelled else key[:, None]
-        edges = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(key)]))
+        group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        edges = np.concatenate(([0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(group)])) if len(group) else [0]
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             if held and tuple(group[s]) != last:
-                yield from close(True)
+                yield from close()
+                held = []
             last = tuple(group[s])
-            held.append((rep[s:e], sketch[s:e], bands[s:e], label[s:e] if labelled else None, side[s:e] if labelled else None))
-            if not labelled and sum(len(x[0]) for x in held) >= run:
-                yield from close(False)
+            held.append(batch.slice(s, e - s))
     if held:
-        yield from close(True)
+        yield from close()
     K.give_back()
 
 
+def _blocks(buckets: DataFrame, sizes: DataFrame, near: int) -> DataFrame:
+    """For step 2: ``buckets`` in blocks (``i``) of about ``near`` texts, each with the bucket's first one. sizes: key, n, first (size, rep and places)."""
+    rows = buckets.join(sizes.select("key", F.ceil(F.col("n") / near).cast("bigint").alias("blocks")), "key")
+    own = rows.select("key", "rep", "size", "places", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).alias("i"))
+    first = sizes.where(F.col("n") > near).select("key", "first.rep", F.lit(0).cast("bigint").alias("size"), "first.places", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / near).cast("bigint") - 1)).alias("i"))
+    return own.union(first).withColumn("j", F.lit(0).cast("bigint")).repartition("key", "i").sortWithinPartitions("key", "i", "j", "size", "rep")
+
+
 def _dealt_blocks(named: DataFrame, run: int) -> DataFrame:
-    """The rows of buckets of several classes, dealt out for the second pass: each bucket at once, or in pairs of blocks beyond ``run`` rows.
+    """The rows of buckets of several classes, dealt out for step 4: each bucket at once, or in pairs of blocks beyond ``run`` rows.
 
     Of such a bucket, the texts outside its largest class form blocks of half a run that meet themselves, each other (``i`` and ``j``) and
     all blocks of the largest class (``i`` and -1 - ``j``). A row goes out once for each block that its own meets.
     """
-    columns = ["key", "rep", "sketch", "bands", "label"]
-    # buckets whose texts are all in one class by now have nothing left to find
-    sizes = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
-    open_ = cut(sizes.select("key", "n"))
-    place = lambda i, j, side: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).cast("bigint").alias("side") if isinstance(side, int) else side.cast("bigint").alias("side"))
-    out = named.join(open_.where(F.col("n") <= run).select("key"), "key").select(*columns, F.inline(F.array(place(F.lit(0), F.lit(0), 0))))
-    large = open_.where(F.col("n") > run)
-    if large.limit(1).count():
-        rows = named.join(large, "key")
-        tops = rows.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"))
-        blocks = lambda n: F.ceil(n / max(1, run // 2))
-        rows = rows.join(tops, "key").withColumns({"most": F.col("label") == F.col("top.label"), "n_rest": blocks(F.col("n") - F.col("top.m")), "n_most": blocks(F.col("top.m"))})
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("n_most")).otherwise(F.col("n_rest"))))
-        own, all_of = F.col("own"), lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-        with_rest = F.transform(all_of("n_rest"), lambda y: place(F.least(own, y), F.greatest(own, y), (own > y).cast("bigint")))
-        with_most = F.transform(all_of("n_most"), lambda y: place(own, -1 - y, 0))
-        of_most = F.transform(all_of("n_rest"), lambda y: place(y, -1 - own, 1))
-        out = out.union(rows.select(*columns, F.inline(F.when(F.col("most"), of_most).otherwise(F.concat(with_rest, with_most)))))
-    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    columns = ["key", "rep", "places", "bands", "label"]
+    # buckets whose texts are all in one class by now have nothing left to find; a bucket's classes are counted in the map tasks first
+    per = cut(named.groupBy("key", "label").agg(F.count("*").alias("m")))
+    open_ = cut(per.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("classes"), F.max(F.struct("m", "label")).alias("top")).where("classes > 1"))
+    rows = named.join(open_, "key")
+    place = lambda i, j, side: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), (side if isinstance(side, Column) else F.lit(side)).cast("bigint").alias("side"))
+    blocks = lambda n: F.ceil(n / max(1, run // 2))
+    rows = rows.withColumns({"most": F.col("label") == F.col("top.label"), "n_rest": blocks(F.col("n") - F.col("top.m")), "n_most": blocks(F.col("top.m"))})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("most"), F.col("n_most")).otherwise(F.col("n_rest"))))
+    own, all_of = F.col("own"), lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    with_rest = F.transform(all_of("n_rest"), lambda y: place(F.least(own, y), F.greatest(own, y), (own > y).cast("bigint")))
+    with_most = F.transform(all_of("n_most"), lambda y: place(own, -1 - y, 0))
+    of_most = F.transform(all_of("n_rest"), lambda y: place(y, -1 - own, 1))
+    where = F.when(F.col("n") <= run, F.array(place(F.lit(0), F.lit(0), 0))).when(F.col("most"), of_most).otherwise(F.concat(with_rest, with_most))
+    return rows.select(*columns, F.inline(where)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], idf, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -303,29 +289,30 @@ def _verify(batches: Iterator[pa.RecordBatch], idf, similarity: float) -> Iterat
         row = np.zeros(len(found), np.int64)
         row[codes] = text
         weighted = np.bincount(row, np.minimum(one, two), n) / np.maximum(np.bincount(row, np.maximum(one, two), n), 1e-9)
-        plain = np.bincount(row, (one > 0) & (two > 0), n) / np.maximum(np.bincount(row, minlength=n), 1)
-        link = np.maximum(weighted, plain) >= similarity - 1e-9
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(link)), b.column("b").filter(pa.array(link)), pa.array(weighted[link]), pa.array(plain[link])], ["a", "b", "weighted", "plain"])
+        link = weighted >= similarity - 1e-9
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(link)), b.column("b").filter(pa.array(link)), pa.array(weighted[link])], ["a", "b", "similarity"])
 
 
-def classes(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """One row per document: the key, class_id (the smallest key of its class), class_size, and n_links, the links found of its text."""
-    return _classes(docs.select(F.col(key).alias("id"), "text"), similarity, run).select(F.col("id").alias(key), F.col("class_id"), "class_size", "n_links")
+def classes(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY, near: int = NEAR, run: int = RUN) -> DataFrame:
+    """One row per document: the key, class_id (the smallest key of its class) and class_size, its documents."""
+    return _classes(docs.select(F.col(key).alias("id"), "text"), similarity, near, run).select(F.col("id").alias(key), "class_id", "class_size")
 
 
-def _classes(rows: DataFrame, similarity: float, run: int = RUN) -> DataFrame:
+def _classes(rows: DataFrame, similarity: float, near: int = NEAR, run: int = RUN) -> DataFrame:
     """rows: id, text. Returns id, text_key, a label of the class, and the columns of :func:`classes`."""
     spark = rows.sparkSession
-    idf = spark.sparkContext.broadcast(weights(rows))
+    idf = spark.sparkContext.broadcast(weights(rows))  # SLOTS numbers
     keyed = rows.select("id", text_key(F.col("text")).alias("text_key"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    signed = keyed.mapInArrow(lambda batches: _signatures(batches, idf), f"id {kind}, text_key binary, size bigint, bands array<bigint>, sketch binary")
+    signed = keyed.mapInArrow(lambda batches: _signatures(batches, idf), f"id {kind}, text_key binary, size bigint, bands array<bigint>, places binary")
     # a row for each different text: copies meet in the map tasks first
-    texts = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = signed.groupBy("text_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("places").alias("places"))
     texts = cut(texts).withColumn("rep", F.monotonically_increasing_id())  # the rows and their places stay as they were written
-    members = texts.select("rep", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(members.join(shared, "key").join(texts.select("rep", "size", "sketch", "bands"), "rep").select("key", "rep", "size", "sketch", "bands"))
+    members = texts.select("rep", "size", F.explode("bands").alias("key"))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "rep")).alias("top")).where("n > 1"))
+    buckets = cut(members.select("key", "rep").join(sizes.select("key"), "key").join(texts.select("rep", "size", "places", "bands"), "rep").select("key", "rep", "size", "places", "bands"))
+    large = sizes.where(F.col("n") > near).select("key", F.col("top.rep").alias("rep")).join(texts.select("rep", "places"), "rep").select("key", F.struct("rep", "places").alias("first"))
+    sizes = sizes.join(large, "key", "left").select("key", "n", "first")
 
     # the one shuffle of texts: of those that share a band with another, one copy each
     involved = buckets.select("rep").distinct().join(texts.select("rep", "text_key"), "rep")
@@ -333,22 +320,20 @@ def _classes(rows: DataFrame, similarity: float, run: int = RUN) -> DataFrame:
 
     def verified(candidates: DataFrame) -> DataFrame:
         pairs = candidates.join(whole.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verify(batches, idf, similarity), "a bigint, b bigint, weighted double, plain double")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _verify(batches, idf, similarity), "a bigint, b bigint, similarity double")
 
-    dealt = lambda df: df.repartition("key").sortWithinPartitions("key", "size", "rep")
-    links = cut(verified(dealt(buckets).mapInArrow(lambda batches: _candidates(batches, similarity, False, run), "a bigint, b bigint").distinct()))
+    pairs = "a bigint, b bigint"
+    links = cut(verified(_blocks(buckets, sizes, near).mapInArrow(lambda batches: _candidates(batches, similarity, _nearest), pairs).distinct()))
     labels = components(links)
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = _dealt_blocks(named, run).mapInArrow(lambda batches: _candidates(batches, similarity, True), "a bigint, b bigint").distinct()
+    rest = _dealt_blocks(named, run).mapInArrow(lambda batches: _candidates(batches, similarity, _between), pairs).distinct()
     more = cut(verified(rest.join(links.select("a", "b"), ["a", "b"], "left_anti")))
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of = texts.select("rep", "text_key", "least", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    of = cut(of)
+    of = cut(texts.select("rep", "text_key", "least", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     whole_class = of.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_text = of.join(whole_class, "label").select("text_key", "label", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_text = of.join(whole_class, "label").select("text_key", "label", "class_id", "class_size")
     return keyed.select("id", "text_key").join(by_text, "text_key")
 
 

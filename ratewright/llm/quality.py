@@ -53,10 +53,8 @@ class Lines:
         self.words = high - low
         self.text = words.text[low]
         if raw:
-            self.exact = K.spans(K.prefix(K.byte_values(data)), self.start, self.end)
-        lower = K.Words.__new__(K.Words)
-        lower.data, lower.start, lower.end = K.LOWER[data], words.start, words.end
-        self.normal = K.spans(K.prefix(lower.hashes()), low, high)
+            self.exact = K.bytes_hashes(data, self.start, self.end)
+        self.normal = K.run_hashes(K.bytes_hashes(K.LOWER[data], words.start, words.end), low, high)
 
 
 def _hosts(batch: pa.RecordBatch) -> np.ndarray:

@@ -31,6 +31,8 @@ SENTENCES = 3
 MAX_WORDS = 12
 MIN_WORDS = 8
 NEAR = 4
+#: Seed of the second hash of a span.
+CHECK = 0x5851F42D4C957F2D
 
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]}", np.uint8))
@@ -70,9 +72,7 @@ class Sentences:
         w, n = self.words, len(self.words.start)
         size = np.diff(np.append(begin, n))
         sentence = np.repeat(np.arange(len(begin)), size)
-        lower = K.Words.__new__(K.Words)
-        lower.data, lower.start, lower.end = K.LOWER[data], w.start, w.end
-        value = lower.hashes()
+        value = K.bytes_hashes(K.LOWER[data], w.start, w.end)
         joint = value.copy()
         joint[:-1] += np.where(sentence[:-1] == sentence[1:], value[1:], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15)
         joint = K.mix(joint)
@@ -92,9 +92,7 @@ def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words:
     for b in K.slices(batches):
         data, offsets = K.raw(b.column("text"))
         s = Sentences(data, offsets, max_words, whole)
-        lower = K.Words.__new__(K.Words)
-        lower.data, lower.start, lower.end = K.LOWER[data], s.words.start, s.words.end
-        hashes = lower.hashes()
+        hashes = K.bytes_hashes(K.LOWER[data], s.words.start, s.words.end)
         at = np.flatnonzero(s.text[: max(0, len(s.text) - n + 1)] == s.text[n - 1 :]) if len(s.text) >= n else np.zeros(0, np.int64)
         last = at + n - 1
         if whole and len(at):
@@ -105,8 +103,7 @@ def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words:
             at, last = at[some], last[some]
         low, high = s.low[at], s.high[last]
         at, last, low, high = (x[high - low >= min_words] for x in (at, last, low, high))
-        span = K.spans(K.prefix(hashes), low, high)
-        check = K.spans(K.prefix(K.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))), low, high)
+        span, check = K.run_hashes(hashes, low, high), K.run_hashes(hashes, low, high, CHECK)
         base = s.bounds(b.num_rows)
         entries = pa.StructArray.from_arrays([pa.array(span.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at - base[s.text[at]]).astype(np.int32)), pa.array((last - at + 1).astype(np.int32))], ["span", "check", "at", "many"])
         counts = np.concatenate(([0], np.cumsum(np.bincount(s.text[at], minlength=b.num_rows)))).astype(np.int32)

@@ -9,6 +9,7 @@ the library whole. So ids are the library's in every case; tests compare both on
 from __future__ import annotations
 
 import json
+import os
 from functools import cache
 from itertools import chain
 
@@ -27,6 +28,8 @@ AT_ONCE = 2048
 BYTE_LEVEL_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Pieces are told apart by hashes that differ from worker to worker, so that no text can be made to meet another.
+_SEED = int.from_bytes(os.urandom(8), "little")
 _LETTER, _NUMBER, _SPACE, _OTHER, _ODD = range(5)
 
 
@@ -189,7 +192,7 @@ class Encoder:
             data, kind = data[stay], kind[stay]
         plain_offsets = np.concatenate(([0], np.cumsum(np.diff(offsets)[~whole])))
         start, end = _cut(data, plain_offsets, kind, self.words)
-        codes, found = pd.factorize(K.spans(K.prefix(K.byte_values(data)), start, end))
+        codes, found = pd.factorize(K.bytes_hashes(data, start, end, _SEED))
         if len(self.keys) > REMEMBERED:
             self.forget()
         order = np.argsort(found)
