@@ -5,8 +5,8 @@ hash (64 bits) a HyperLogLog sketch of its sites is built in the map tasks and m
 frequency sends one small sketch from each task. A line is cross-site boilerplate if ``min_sites`` different sites have it: lines whose estimate is
 further from that than the sketch's error are settled by it, the others get an exact distinct count.
 
-Boilerplate lines are removed, unless they make up more than ``max_share`` of a document's words: then the document as a
-whole is a copy of others, which is for near-dedup to settle, and it stays as it is.
+Boilerplate lines are removed, whatever they make up of a document. A caller whose next step settles whole copies can name a
+``max_share``: a document more than that share of whose words are in such lines then stays as it is.
 
 Up to ``LITERAL_LINES`` boilerplate lines are put into the plan of the last pass as constants, and no text is shuffled; beyond that, the hashes
 of each text are joined with them and the texts with what was found.
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 #: Sketches of 2**10 registers: a standard error of 3.3 %.
 LOG_REGISTERS, ERROR = 10, 0.033
 LITERAL_LINES, BUCKETS = 2000, 256
+#: Near-threshold lines (8 bytes each) that are broadcast at most.
+BROADCAST_LINES = 500_000
 
 
 def normal(line: Column) -> Column:
@@ -44,18 +45,22 @@ def site_pairs(docs: DataFrame, site: str = "source") -> DataFrame:
     return rows.where("form <> ''").select(F.xxhash64("form").alias("line"), "site")
 
 
-def boilerplate(pairs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(pairs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The hashes of lines that ``min_sites`` sites or more have."""
     spread = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("sites"))
     margin = max(1.0, 4 * ERROR * min_sites)
     spread = cut(spread.where(F.col("sites") >= min_sites - margin))
     sure = spread.where(F.col("sites") > min_sites + margin).select("line")
     near = spread.where(F.col("sites") <= min_sites + margin).select("line")
-    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("line")
+    if near.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        near = F.broadcast(near)
+    # the rows of a very frequent line are dealt out by its sites before any task counts them
+    sites = pairs.join(near, "line", "left_semi").repartition("line", "site").distinct()
+    exact = sites.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
     return sure.unionByName(exact)
 
 
-def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, literal_lines: int = LITERAL_LINES) -> DataFrame:
+def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None, literal_lines: int = LITERAL_LINES) -> DataFrame:
     """All documents and their columns, then ``line_report``: a struct of n_lines, n_boilerplate and n_removed."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = F.col(names["text"])
@@ -87,7 +92,9 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max
     judged = rows.withColumn("parts", F.transform("forms", one))
     count = lambda test, value: F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(test(p), value(p)).otherwise(0))
     judged = judged.withColumns({"bad_words": count(lambda p: p.bad, lambda p: p.words), "all_words": count(lambda p: F.lit(True), lambda p: p.words), "n_bad": count(lambda p: p.bad, lambda p: F.lit(1))})
-    removes = (F.col("n_bad") > 0) & (F.col("bad_words") <= max_share * F.col("all_words"))
+    removes = F.col("n_bad") > 0
+    if max_share is not None:
+        removes &= F.col("bad_words") <= max_share * F.col("all_words")
     left = F.array_join(F.transform(F.filter("parts", lambda p: ~p.bad), lambda p: p.line), "\n")
     zero = F.lit(0).cast("bigint")
     report = F.struct(F.when(text.isNull(), zero).otherwise(F.size("parts").cast("bigint")).alias("n_lines"), F.coalesce("n_bad", zero).alias("n_boilerplate"), F.when(removes, F.col("n_bad")).otherwise(zero).alias("n_removed"))

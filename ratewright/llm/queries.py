@@ -89,12 +89,12 @@ FROM d
 _LINES = r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
 f AS (SELECT *, trim(regexp_replace(lower(line), '[\x09-\x0D ]+', ' ', 'g'), ' ') AS form FROM l),
-b AS (SELECT form FROM f WHERE form <> '' GROUP BY form HAVING count(DISTINCT coalesce(source, '')) >= 10),
-j AS (SELECT f.*, b.form IS NOT NULL AS bad, CASE WHEN f.form = '' THEN 0 ELSE len(string_split(f.form, ' ')) END AS words FROM f LEFT JOIN b ON f.form = b.form),
-d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad, coalesce(sum(words) FILTER (WHERE bad), 0) <= 0.5 * sum(words) AS removes,
+b AS (SELECT form FROM f WHERE form <> '' GROUP BY form HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= 10),
+j AS (SELECT f.*, b.form IS NOT NULL AS bad FROM f LEFT JOIN b ON f.form = b.form),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_bad,
   coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '') AS rest FROM j GROUP BY doc_id)
-SELECT t.doc_id, CASE WHEN d.n_bad > 0 AND d.removes THEN d.rest ELSE t.text END AS text, CAST(coalesce(d.n_lines, 0) AS BIGINT) AS n_lines,
-  CAST(coalesce(d.n_bad, 0) AS BIGINT) AS n_boilerplate, CAST(CASE WHEN d.removes THEN d.n_bad ELSE 0 END AS BIGINT) AS n_removed
+SELECT t.doc_id, CASE WHEN d.n_bad > 0 THEN d.rest ELSE t.text END AS text, CAST(coalesce(d.n_lines, 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(d.n_bad, 0) AS BIGINT) AS n_boilerplate, CAST(coalesce(d.n_bad, 0) AS BIGINT) AS n_removed
 FROM documents t LEFT JOIN d USING (doc_id)
 """
 

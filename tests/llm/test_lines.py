@@ -11,7 +11,7 @@ def normal(x):
     return re.sub(r"[\x09-\x0D ]+", " ", x.lower()).strip(" ")
 
 
-def brute(rows, min_sites=10, max_share=0.5):
+def brute(rows, min_sites=10, max_share=1):
     sites = defaultdict(set)
     for _, text, site in rows:
         for x in (text or "").split("\n"):
@@ -43,6 +43,13 @@ def test_tables_both_ways(spark, sf):
         want = brute(rows_of(docs), n)
         assert got(docs, min_sites=n) == want and got(docs, min_sites=n, literal_lines=0) == want
         assert sum(r[4] for r in want) > 0
+    assert got(docs, max_share=0.5) == brute(rows_of(docs), max_share=0.5) != want
+
+
+def test_near_lines_joined_or_broadcast(spark, sf):
+    pairs = lines.site_pairs(read(spark, sf, "documents"))
+    found = [sorted(r.line for r in lines.boilerplate(pairs, 5, limit).collect()) for limit in (0, 10**6)]
+    assert found[0] == found[1] != []
 
 
 def test_sql(spark, sf):
