@@ -24,6 +24,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -153,11 +154,15 @@ def contexts(counts: DataFrame) -> list[DataFrame]:
 
 
 def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
-    """``key`` (grams, each once) and ``value``, the natural logarithm of the last byte's probability after the others."""
+    """``key`` (grams, each once) and ``value``, the natural logarithm of the last byte's probability after the others.
+
+    The orders of 0 and 1 byte have 257 rows at most in all and are broadcast, as all the grams that are left would meet at few keys.
+    """
+    settled = []
     rest = keys.select("key", F.lit(0.0).alias("value"), F.lit(None).cast("bigint").alias("total_"), F.lit(None).cast("bigint").alias("kinds_"), F.lit(False).alias("done"))
     for size in range(ORDER, -1, -1):
         byte = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-        met = rest.withColumn("context", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)), 8)).join(orders[size], "context", "left")
+        met = rest.withColumn("context", F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)), 8)).join(F.broadcast(orders[size]) if size < 2 else orders[size], "context", "left")
         n = F.try_element_at("kids", byte)
         total, kinds = F.coalesce("total_", "total"), F.coalesce("kinds_", "kinds")
         go = ~F.col("done") & F.col("total").isNotNull()
@@ -169,14 +174,14 @@ def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
             F.when(go & n.isNull(), F.col("left_kinds")).otherwise(F.col("kinds_")).alias("kinds_"),
             (F.col("done") | (go & n.isNotNull())).alias("done"),
         )
-        if size == ORDER:  # nearly all grams are settled in the longest context; the others go on
-            met = stored(met, "first-order")
-            settled = met.where("done").select("key", "value")
+        if size >= ORDER - 1:  # nearly all grams are settled in the longest contexts; the others go on
+            met = stored(met, f"order-{size}")
+            settled.append(met.where("done").select("key", "value"))
             rest = met.where("not done")
         else:
             rest = met
     last = rest.select("key", (F.col("value") + F.when(F.col("done"), 0.0).otherwise(-F.log(F.coalesce(F.col("kinds_"), F.lit(256)).cast("double")))).alias("value"))
-    return settled.union(last)
+    return reduce(DataFrame.union, [*settled, last])
 
 
 def _asked(table: pa.Table) -> pa.Table:
@@ -225,7 +230,7 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES)
     values = log_probabilities(counts.where("key >= 0").select("key"), orders).union(of_words)
     values = stored(values, "values")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
-    dealt = dealt.repartition(int(blocks), "block")
+    dealt = dealt.repartitionById(int(blocks), F.col("block").cast("int"))  # a block is a partition
     asked = dealt.groupBy("block").applyInArrow(_asked, "block bigint, key bigint")
     answered = asked.join(values, "key").select("block", "key", "value")
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
