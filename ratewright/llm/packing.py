@@ -5,9 +5,12 @@ table of at most ``CAPACITY`` rows at any size of input: the plan is made from i
 its place. Pieces are ranked within their length (by salted groups, whose sizes are added up, so no length is sorted in one
 task), and runs of ranks are joined with the runs of sequences that the plan fills with them.
 
-:func:`plan` is branch and bound over fillings of one sequence around the largest piece left: fillings that a larger piece
-could improve are dominated and dropped; a branch ends when the sequences it has used and those its remaining ids need reach
-the incumbent, which begins as best-fit decreasing. ``MAX_NODES`` bounds the search; what it finds is a full packing always.
+:func:`search` is bin completion: around the largest piece left it enumerates the fillings that no longer piece, single or put for two
+of theirs, improves (others are dominated), with less waste first. A filling is used once to as often as it can; each number is a
+branch. A branch ends when its waste, with what the rest must waste (the bounds of Martello and Toth), leaves no fewer sequences than
+the incumbent, which begins as best-fit decreasing and is replaced by better ones, found by the search or by best fit below its nodes.
+The number of sequences that can't be undercut is returned with the plan, so that a gap shows. ``max_nodes`` and ``max_fillings`` bound
+the search; None for both is exact.
 
 Defined cases: a null or empty text is one piece, the end id; repeated rows are documents of their own; an empty table gives
 an empty result; null keys are kept; other columns are ignored.
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,8 @@ from .tokens import encoder, public_path, with_ends
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-MAX_NODES = 1500
-#: Fillings looked at around one largest piece, and kept as branches.
-MAX_FILLINGS, MAX_BRANCHES = 300, 3
+#: Nodes that the search visits, and fillings that it tries around one largest piece; None: all.
+MAX_NODES, MAX_FILLINGS = 1000, 64
 #: Pieces of a length that are ranked together, on average at most.
 RANKED = 200_000
 
@@ -66,45 +69,82 @@ def pieces(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, c
     return docs.select(F.col(key).alias("id"), "text").mapInArrow(lambda batches: _pieces(batches, path, capacity, with_ids), schema)
 
 
-def fillings(counts: np.ndarray, room: int, limit: int = MAX_FILLINGS) -> list[tuple[int, list[int]]]:
-    """Undominated ways to fill ``room`` with lengths that ``counts`` has left, as (waste, lengths in falling order), least waste first."""
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: for each t, pieces over capacity - t, those over half, and what middle ones of t or more don't find room for there."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in histogram.items():
+        counts[size] = n
+    return _bound(counts, capacity)
+
+
+def _bound(counts: np.ndarray, capacity: int) -> int:
+    bytes_ = counts * np.arange(capacity + 1)
+    n, total = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(bytes_)))
+    half = capacity // 2
+    t = np.arange(half + 1)
+    alone = n[capacity + 1] - n[capacity - t + 1]  # longer than capacity - t
+    over = n[capacity - t + 1] - n[half + 1]  # of the others, over half
+    middle = total[half + 1] - total[t]  # from t to half
+    room = over * capacity - (total[capacity - t + 1] - total[half + 1])
+    return int((alone + over + np.maximum(0, -(-(middle - room) // capacity))).max(initial=0))
+
+
+def _reach(sizes: list[int], left: dict[int, int], room: int) -> list[int]:
+    """For each place in ``sizes``, the sums up to ``room`` that pieces from there on can have, as bits."""
+    out, sums, mask = [0] * (len(sizes) + 1), 1, (1 << room + 1) - 1
+    out[-1] = sums
+    for k in range(len(sizes) - 1, -1, -1):
+        s, n, step = sizes[k], min(left[sizes[k]], room // sizes[k]), 1
+        while n > 0:  # 1, 2, 4, ... of them, so any number is a sum of steps
+            take = min(step, n)
+            sums |= sums << s * take & mask
+            n, step = n - take, 2 * step
+        out[k] = sums
+    return out
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int, limit: int | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` up to ``most_waste`` with lengths that ``counts`` has left, each in falling order, with less waste first."""
     sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
-    if not sizes:
-        return [(room, [])]
     left = {s: int(counts[s]) for s in sizes}
-    found: list[tuple[int, list[int]]] = []
+    reach = _reach(sizes, left, room)
     chosen: list[int] = []
-    looked = 0
-
-    def undominated(waste: int) -> bool:
-        # no longer piece that is left fits in place of a chosen one with what is wasted
-        return not waste or not any(left[s] > 0 for y in set(chosen) for s in range(y + 1, y + waste + 1) if s in left)
-
-    def fill(first: int, space: int) -> bool:
-        nonlocal looked
-        looked += 1
-        fits = False
-        k = first
-        while k < len(sizes) and sizes[k] > space:
-            k += 1
-        while k < len(sizes):
+
+    def dominated(waste: int) -> bool:
+        # a longer piece that is left, for one of the chosen or for two of them, with what is wasted
+        if not waste:
+            return False
+        ones = set(chosen)
+        sums = ones | {x + y for i, x in enumerate(chosen) for y in chosen[i + 1 :]}
+        # for one, any longer; for two, as long or longer: one piece for two leaves the shorter ones for other sequences
+        return any(left.get(s, 0) > 0 for y in sums for s in range(y + (y in ones), y + waste + 1) if s not in ones or s > y)
+
+    def fill(first: int, space: int) -> Iterator[tuple[int, ...]]:
+        """Fillings that use up ``space`` whole."""
+        if not space:
+            yield tuple(chosen)
+            return
+        for k in range(first, len(sizes)):
+            if not reach[k] >> space & 1:
+                return
             s = sizes[k]
-            if left[s]:
-                fits = True
+            if s <= space and left[s] and reach[k] >> space - s & 1:
                 left[s] -= 1
                 chosen.append(s)
-                done = fill(k, space - s)
+                yield from fill(k, space - s)
                 chosen.pop()
                 left[s] += 1
-                if done:
-                    return True
-            k += 1
-        if not fits and undominated(space):
-            found.append((space, list(chosen)))
-        return looked >= limit or sum(not w for w, _ in found) >= MAX_BRANCHES
 
-    fill(0, room)
-    return sorted(found, key=lambda x: x[0])[:MAX_BRANCHES] or [(room, [])]
+    given = 0
+    for waste in range(min(most_waste, room) + 1):
+        if not reach[0] >> room - waste & 1:
+            continue
+        for filling in fill(0, room - waste):
+            if not dominated(waste):
+                yield filling
+                given += 1
+                if given == limit:
+                    return
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -131,58 +171,108 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return [(p, t) for r, c in open_.items() for p, t in c.items() if p]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[Pattern, int]]:
-    """Patterns ((length, times in a sequence), ...) and how many sequences have each, together all pieces."""
+class Plan(NamedTuple):
+    patterns: list[tuple[Pattern, int]]
+    sequences: int
+    #: No packing has fewer.
+    at_least: int
+
+
+class _Node:
+    """Fillings around the largest piece left, those from ``after`` on in order, and what is being tried of them."""
+
+    def __init__(self, top: int, choices: Iterator[tuple[int, ...]]):
+        self.top, self.choices = top, choices
+        self.pattern: Pattern = ()
+        self.used: dict[int, int] = {}
+        self.times = 0
+        self.gone: set[tuple[int, ...]] = set()  # tried at any number of times before, around this length
+
+
+def search(histogram: dict[int, int], capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> Plan:
+    """Pack pieces, given as {length: how many}, into as few sequences as the search finds."""
     if not histogram:
-        return []
+        return Plan([], 0, 0)
     best = best_fit_decreasing(histogram, capacity)
     used = sum(t for _, t in best)
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         counts[size] = n
     total = int((np.arange(capacity + 1) * counts).sum())
-    alone = int(counts[capacity // 2 + 1 :].sum())
-    least = max(-(-total // capacity), alone)
-    path: list[tuple[Pattern, int]] = []
-    stack: list[Iterator[list[int]]] = []
-    bins, rest, nodes = 0, total, 0
+    least = _bound(counts, capacity)
+    bins = waste = nodes = 0
+    whole = True  # whether all branches were looked at
+    stack: list[_Node] = []
 
-    def branches() -> Iterator[tuple[int, list[int]]]:
+    def node(gone: set[tuple[int, ...]]) -> _Node:
+        nonlocal whole
         top = int(np.flatnonzero(counts)[-1])
+        allowed = (used - 1) * capacity - total - waste  # what the rest may waste in all to be better than the incumbent
         counts[top] -= 1
-        out = fillings(counts, capacity - top)
+        found = list(islice((f for f in fillings(counts, capacity - top, allowed) if f not in gone), max_fillings)) if allowed >= 0 else []
         counts[top] += 1
-        return iter([[top, *f] for _, f in out])
-
-    stack.append(branches())
-    while stack and used > least and nodes < max_nodes + len(histogram):
-        choice = next(stack[-1], None)
-        if choice is None:
-            stack.pop()
-            if path:
-                pattern, times = path.pop()
-                for s, m in pattern:
-                    counts[s] += m * times
-                bins -= times
-                rest += times * sum(s * m for s, m in pattern)
-            continue
-        nodes += 1
-        pattern = tuple((s, len(list(g))) for s, g in groupby(choice))
-        times = min(int(counts[s]) // m for s, m in pattern)
-        for s, m in pattern:
+        whole &= max_fillings is None or len(found) < max_fillings
+        out = _Node(top, iter(found))
+        out.gone = set(gone)
+        return out
+
+    def take(pattern_of: dict[int, int], times: int) -> None:
+        for s, m in pattern_of.items():
             counts[s] -= m * times
-        bins += times
-        rest -= times * sum(choice)
-        path.append((pattern, times))
-        if not rest:
+
+    def below() -> bool:
+        """Whether the state can't be better than the incumbent; a better best fit of the rest becomes it."""
+        nonlocal best, used
+        if bins + _bound(counts, capacity) >= used:
+            return True
+        if waste > (used - 1) * capacity - total:
+            return True
+        if nodes <= 16 or not nodes & nodes - 1:
+            rest = best_fit_decreasing({int(s): int(counts[s]) for s in np.flatnonzero(counts)}, capacity)
+            if (now := bins + sum(t for _, t in rest)) < used:
+                best, used = [*((n.pattern, n.times) for n in stack if n.times), *rest], now
+        return used <= least
+
+    if used > least:
+        stack.append(node(set()))
+    while stack and used > least:
+        if max_nodes is not None and nodes >= max_nodes:
+            whole = False
+            break
+        at = stack[-1]
+        if at.times:  # back from below: one less of the same filling, or the next filling
+            size = sum(s * m for s, m in at.used.items())
+            take(at.used, -1)
+            bins, waste, at.times = bins - 1, waste - (capacity - size), at.times - 1
+        if not at.times:
+            if at.used:
+                at.gone.add(tuple(s for s, m in at.pattern for _ in range(m - (s == at.top))))
+            choice = next(at.choices, None)
+            if choice is None:
+                stack.pop()
+                continue
+            at.pattern = tuple((s, len(list(g))) for s, g in groupby((at.top, *choice)))
+            at.used = dict(at.pattern)
+            at.times = min(int(counts[s]) // m for s, m in at.pattern)
+            size = sum(s * m for s, m in at.used.items())
+            take(at.used, at.times)
+            bins, waste = bins + at.times, waste + at.times * (capacity - size)
+        nodes += 1
+        if not counts.any():
             if bins < used:
-                best, used = list(path), bins
-            stack.append(iter(()))
-        elif bins + -(-rest // capacity) >= used:
-            stack.append(iter(()))
-        else:
-            stack.append(branches())
-    return best
+                best, used = [(n.pattern, n.times) for n in stack], bins
+            continue
+        if below():
+            continue
+        # around the same length, a filling whose number is settled isn't used again
+        same = int(np.flatnonzero(counts)[-1]) == at.top
+        stack.append(node(at.gone | {tuple(s for s, m in at.pattern for _ in range(m - (s == at.top)))} if same else set()))
+    return Plan(best, used, used if whole else least)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> list[tuple[Pattern, int]]:
+    """Patterns ((length, times in a sequence), ...) and how many sequences have each, together all pieces."""
+    return search(histogram, capacity, max_nodes, max_fillings).patterns
 
 
 def runs(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -199,12 +289,12 @@ def runs(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id", "piece"), max_nodes: int = MAX_NODES) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id", "piece"), max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:
     """Give every row with a ``length`` of 1 to ``capacity`` its sequence_id and offset."""
     spark = items.sparkSession
     items = cut(items)  # two jobs need the same rows
     sizes = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = spark.createDataFrame(runs(plan(sizes, capacity, max_nodes)) or [(0, 0, 0, 0, 1, 0)], "size bigint, low bigint, high bigint, first_sequence bigint, each bigint, first_offset bigint")
+    table = spark.createDataFrame(runs(plan(sizes, capacity, max_nodes, max_fillings)) or [(0, 0, 0, 0, 1, 0)], "size bigint, low bigint, high bigint, first_sequence bigint, each bigint, first_offset bigint")
     salts = max(16, -(-sum(sizes.values()) // RANKED))
     salted = items.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -215,9 +305,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     return placed.select(*items.columns, (F.col("first_sequence") + F.floor(k / F.col("each"))).cast("bigint").alias("sequence_id"), (F.col("first_offset") + k % F.col("each") * F.col("length")).cast("bigint").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:
     """One row per piece: the key, piece, start, length, ids_crc32, sequence_id, offset, and the ids if wanted."""
-    out = pack(pieces(docs, key, tokenizer, capacity, with_ids), capacity)
+    out = pack(pieces(docs, key, tokenizer, capacity, with_ids), capacity, max_nodes=max_nodes, max_fillings=max_fillings)
     return out.withColumnRenamed("id", key)
 
 

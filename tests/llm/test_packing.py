@@ -55,6 +55,30 @@ def test_plan_is_optimal_on_small_cases():
         assert n <= bfd and n == exact(sizes, capacity)
 
 
+def test_search_is_exact_without_limits():
+    rng = random.Random(5)
+    for _ in range(200):
+        capacity = rng.choice([9, 20, 40])
+        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(1, 11))]
+        h = dict(Counter(sizes))
+        found, best = P.search(h, capacity, None, None), exact(sizes, capacity)
+        assert whole(found.patterns, h, capacity) == found.sequences == found.at_least == best >= P.lower_bound(h, capacity)
+        assert P.search(h, capacity).at_least <= best
+
+
+def test_planted_packings():
+    """Sequences cut at random into four or five pieces are put together again; of three pieces, one sequence more at most, and the gap shows."""
+    for sequences, pieces, more in ((30, 4, 0), (60, 5, 0), (60, 3, 1)):
+        for seed in range(4):
+            rng, sizes = random.Random(seed), []
+            for _ in range(sequences):
+                cuts = [0, *sorted(rng.sample(range(1, 2048), pieces - 1)), 2048]
+                sizes += [b - a for a, b in zip(cuts, cuts[1:])]
+            h = dict(Counter(sizes))
+            found = P.search(h, 2048)
+            assert whole(found.patterns, h, 2048) == found.sequences <= sequences + more and found.at_least == sequences
+
+
 def test_plan_at_scale():
     rng = np.random.default_rng(1)
     sizes = np.minimum(2048, rng.lognormal(6, 1.2, 200_000).astype(int) + 1)
