@@ -1,12 +1,12 @@
 """Quality rules: base counts of every text, and the frequency of its lines over the documents of its host.
 
-Lines are normalised (ASCII letters lower-cased, runs of white space as one) and hashed. A line counts once for each
-*different* text of a host, so that a group of exact copies counts as one document. A line in more than
-``max(min_documents, max_share * documents of the host)`` of them is boilerplate: it is removed, and a document that
-loses more than ``max_loss`` of its words that way is rejected, as one that fails the base rules is.
+Lines are normalised (ASCII letters lower-cased, runs of white space as one) and hashed, and each counts once for a document. A line in
+more than ``max(min_documents, max_share * documents of the host)`` documents of a host, or in more than ``max_documents`` of a host of
+any size, is boilerplate: it is removed, and a document that loses more than ``max_loss`` of its words that way is rejected, as one that
+fails the base rules is. With ``copies=False`` a group of equal texts of a host counts as one document, for callers whose next
+steps keep one of them.
 
-The share bounds the table of such lines: a host has at most ``lines per document / max_share`` of them, whatever its size.
-Up to ``BROADCAST_LINES`` entries it is broadcast and no text is shuffled; beyond that it is joined by host and text.
+The share bounds the table of such lines for all but the largest hosts: a host has at most ``lines per document / max_share`` of them. Up to ``BROADCAST_LINES`` entries it is broadcast and no text is shuffled; beyond that it is joined by host and text.
 
 Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows are
 judged alike and each comes back; an empty table gives an empty result; further columns are passed through by
@@ -29,6 +29,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MIN_DOCUMENTS = 10
 MAX_SHARE = 0.1
+MAX_DOCUMENTS = 1000
 MAX_LOSS = 0.5
 BROADCAST_LINES = 500_000
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -77,15 +78,16 @@ def _hosted(docs: DataFrame, host: str) -> DataFrame:
 
 def _by_host(docs: DataFrame, host: str) -> DataFrame:
     lists = _hosted(docs.select(host, "text"), host).select("host_key", "text_key", "text")
-    return lists.mapInArrow(_line_lists, "host_key bigint, text_key bigint, lines array<bigint>").groupBy("host_key", "text_key").agg(F.first("lines").alias("lines"))
+    return lists.mapInArrow(_line_lists, "host_key bigint, text_key bigint, lines array<bigint>").groupBy("host_key", "text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("documents"))
 
 
-def frequent_lines(by_host: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host_key, line: normal forms in too many of the host's different texts."""
-    counts = by_host.select("host_key", F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line")).groupBy("host_key", "line").agg(F.count("*").alias("n"))
-    # the null entry of each text counts the texts of the host
-    limits = counts.where("line is null").select("host_key", F.greatest(F.lit(float(min_documents)), F.col("n") * max_share).alias("most"))
-    return counts.where(F.col("line").isNotNull() & (F.col("n") > min_documents)).join(limits, "host_key").where("n > most").select("host_key", "line")
+def frequent_lines(by_host: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
+    """host_key, line: normal forms in too many of the host's documents."""
+    own = "documents" if copies else F.lit(1).cast("bigint").alias("documents")
+    counts = by_host.select("host_key", own, F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line")).groupBy("host_key", "line").agg(F.sum("documents").alias("n"))
+    # the null entry of each text counts the documents of the host
+    limits = counts.where("line is null").select("host_key", F.least(F.greatest(F.lit(float(min_documents)), F.col("n") * max_share), F.lit(float(max_documents))).alias("most"))
+    return counts.where(F.col("line").isNotNull() & (F.col("n") > min(min_documents, max_documents))).join(limits, "host_key").where("n > most").select("host_key", "line")
 
 
 def _judge(batches: Iterator[pa.RecordBatch], banned: np.ndarray | None, cleaned: bool, max_loss: float) -> Iterator[pa.RecordBatch]:
@@ -132,9 +134,9 @@ def _judge(batches: Iterator[pa.RecordBatch], banned: np.ndarray | None, cleaned
         yield pa.RecordBatch.from_pydict(columns | out)
 
 
-def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, min_documents: int, max_share: float, max_loss: float, broadcast_lines: int) -> DataFrame:
+def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, min_documents: int, max_share: float, max_loss: float, broadcast_lines: int, max_documents: int, copies: bool) -> DataFrame:
     by_host = _by_host(docs, host)
-    bad = frequent_lines(by_host, min_documents, max_share)
+    bad = frequent_lines(by_host, min_documents, max_share, max_documents, copies)
     rows = small(bad, broadcast_lines)
     carried = docs.select(*dict.fromkeys([*keep, "text"]), F.xxhash64(F.lit("host"), host).alias("host_key"), F.xxhash64("text").alias("text_key"))
     if rows is None:
@@ -147,16 +149,16 @@ def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, min_documen
     return carried.mapInArrow(lambda batches: _judge(batches, banned, cleaned, max_loss), ", ".join([*order, VERDICT]))
 
 
-def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
     """One row per document: the key, the counts, ``base_failed``, what was removed, and ``kept``."""
-    return _run(docs, [key], False, host, min_documents, max_share, max_loss, broadcast_lines)
+    return _run(docs, [key], False, host, min_documents, max_share, max_loss, broadcast_lines, max_documents, copies)
 
 
-def clean(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
     """The documents that are kept, all their columns, texts without the removed lines."""
     own = [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(docs.columns, own, strict=True))
     names["text"] = "text"
     inner = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns])
-    out = _run(inner, list(inner.columns), True, names[host], min_documents, max_share, max_loss, broadcast_lines)
+    out = _run(inner, list(inner.columns), True, names[host], min_documents, max_share, max_loss, broadcast_lines, max_documents, copies)
     return out.where("kept").select(*[F.col(names[c]).alias(c) for c in docs.columns])
