@@ -116,11 +116,20 @@ def _equal(a: K.Words, i: int, b: K.Words, j: int, n: int) -> bool:
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], ids: list, texts: list[str], short: tuple[int, ...], with_text: bool) -> Iterator[pa.RecordBatch]:
-    item, ih = words_of(pa.array(texts, pa.string()))
-    marks, at = _marks(item, ih, short, True)
-    order = np.argsort(marks, kind="stable")
-    marks, owner, at = marks[order], item.text[at[order]], (at - item.bounds[item.text[at]])[order]
+class Index:
+    """The items, their words' hashes and their fingerprints in order, built once on the driver (of a size that is checked) and broadcast."""
+
+    def __init__(self, ids: list, texts: list[str], short: tuple[int, ...]):
+        self.ids, self.short = ids, short
+        self.item, self.hashes = words_of(pa.array(texts, pa.string()))
+        marks, at = _marks(self.item, self.hashes, short, True)
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.owner, self.at = marks[order], self.item.text[at[order]], (at - self.item.bounds[self.item.text[at]])[order]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], index, with_text: bool) -> Iterator[pa.RecordBatch]:
+    x = index.value
+    ids, item, ih, marks, owner, at, short = x.ids, x.item, x.hashes, x.marks, x.owner, x.at, x.short
     for b in K.slices(batches):
         doc, dh = words_of(b.column("text"))
         own, where = _marks(doc, dh, short, False)
@@ -190,9 +199,9 @@ def _run(docs: DataFrame, benchmark: DataFrame, item_key: str, with_text: bool,
         out = _joined(docs, benchmark, item_key, short)
         return out if with_text else out.drop("text")
     rows = items.select("id", "text").collect()
-    ids, texts = [r.id for r in rows], [r.text for r in rows]
+    index = docs.sparkSession.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], short))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if with_text or c != "text"]
-    return docs.mapInArrow(lambda batches: _scan(batches, ids, texts, short, with_text), ", ".join([*schema, RESULT]))
+    return docs.mapInArrow(lambda batches: _scan(batches, index, with_text), ", ".join([*schema, RESULT]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

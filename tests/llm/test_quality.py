@@ -9,12 +9,14 @@ from ratewright.llm.common import read
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5):
+def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5, copies=True, max_documents=1000):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     normal = lambda line: " ".join(W.findall(line.translate(lower)))
-    by_host = defaultdict(set)
+    by_host = defaultdict(list)
     for _, text, host in rows:
-        by_host[host].add(text or "")
+        by_host[host].append(text or "")
+    if not copies:
+        by_host = {h: set(ts) for h, ts in by_host.items()}
     counts = {h: Counter(x for t in ts for x in {normal(y) for y in t.split("\n")} - {""}) for h, ts in by_host.items()}
     out = {}
     for i, text, host in rows:
@@ -23,7 +25,7 @@ def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5):
         lines = [x for x in text.split("\n") if W.search(x)]
         grams = Counter(zip(words, words[1:], words[2:]))
         hit = {k + j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(3)}
-        bad = [x for x in lines if counts[host][normal(x)] > max(min_documents, max_share * len(by_host[host]))]
+        bad = [x for x in lines if counts[host][normal(x)] > min(max_documents, max(min_documents, max_share * len(by_host[host])))]
         removed = sum(len(W.findall(x)) for x in bad)
         failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
         out[i] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed, len(bad), removed, not failed and removed <= max_loss * len(words))
@@ -41,6 +43,13 @@ def test_against_brute_force(spark, sf):
         want = brute(rows_of(docs), 2, share)
         assert got == want
         assert any(x[6] for x in want.values())
+    for how in ({"copies": False}, {"max_documents": 1}):
+        got = {r.doc_id: tuple(r)[1:] for r in quality.judge(docs, **how).collect()}
+        assert got == brute(rows_of(docs), **how)
+    copies = spark.createDataFrame([(i, "a line that comes back\n" + ("same" if i < 20 else f"own{i}"), "h") for i in range(30)], "doc_id long, text string, source string")
+    for how, n in (({}, 30), ({"copies": False}, 30), ({"min_documents": 25, "copies": False}, 0), ({"min_documents": 25}, 30)):
+        got = {r.doc_id: tuple(r)[1:] for r in quality.judge(copies, **how).collect()}
+        assert got == brute(rows_of(copies), **how) and sum(r[6] for r in got.values()) == n + (20 if how in ({}, {"min_documents": 10}) else 0)
 
 
 def test_edges(spark):
