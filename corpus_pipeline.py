@@ -14,6 +14,10 @@ from ratewright.llm import decontaminate, lines, neardup, packing, quality
 from ratewright.llm.common import read, small_batches, stored
 
 
+#: A document of which more than this share of the words is in cross-site lines is a copy as a whole: near-dedup keeps one of its class.
+WHOLE_COPY = 0.8
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars``, where there is one, follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -21,11 +25,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return _counted(quality.clean(docs))
+    return _counted(quality.clean(docs, copies=False))  # of equal texts the third stage keeps one
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(lines.dedup(docs).drop("line_report"))
+    return _counted(lines.dedup(docs, max_share=WHOLE_COPY).drop("line_report"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
