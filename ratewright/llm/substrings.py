@@ -8,8 +8,8 @@ With ``whole``, which the query uses, long sentences are cut before words whose
 The hashes of all documents are grouped; the first occurrence, by key and place, stays, and a sentence inside any other
 occurrence is removed.
 
-Grouping sums up in the map tasks; only hashes, keys and places are shuffled for it, and the join that finds the later
-occurrences is one Spark can split where one span is very frequent. Texts are shuffled once, to meet what they lose.
+Spans are counted first, summed up in the map tasks; a join that Spark can split where one span is very frequent keeps those that
+occur again, and their first places are found among them. Texts are shuffled once, to meet what they lose.
 
 Defined cases: a null text stays null; a text with fewer sentences or words than a span stays as it is; null keys come first
 in order; rows with equal key and text are one document that occurs twice, and each comes back with the same result; an empty
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import stored
 
 SENTENCES = 3
 MAX_WORDS = 12
@@ -152,8 +153,11 @@ def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words
     entries = rows.mapInArrow(lambda batches: _spans(batches, sentences, max_words, min_words, whole), f"key {kind}, text_key bigint, spans array<struct<span:bigint,check:int,at:int,many:int>>")
     entries = entries.select("key", "text_key", F.inline("spans"))
     where = F.struct("key", "text_key", "at")
-    firsts = entries.groupBy("span", "check").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("span", "check", "first")
-    later = entries.join(firsts, ["span", "check"]).where(where != F.col("first"))
+    # only the hashes and their counts are shuffled for all spans; keys and places follow for those that occur again
+    again = entries.groupBy("span", "check").agg(F.count("*").alias("n")).where("n > 1").select("span", "check")
+    met = stored(entries.join(again, ["span", "check"]), "repeated-spans")
+    firsts = met.groupBy("span", "check").agg(F.min(where).alias("first"))
+    later = met.join(firsts, ["span", "check"]).where(where != F.col("first"))
     return later.groupBy("key", "text_key").agg(F.collect_set(F.struct("at", "many")).alias("later"))
 
 
