@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored
+from .common import cut, stored
 
 SENTENCES = 3
 MAX_WORDS = 12
@@ -156,7 +156,7 @@ def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words
     # only the hashes and their counts are shuffled for all spans; keys and places follow for those that occur again
     again = entries.groupBy("span", "check").agg(F.count("*").alias("n")).where("n > 1").select("span", "check")
     met = stored(entries.join(again, ["span", "check"]), "repeated-spans")
-    firsts = met.groupBy("span", "check").agg(F.min(where).alias("first"))
+    firsts = cut(met.groupBy("span", "check").agg(F.min(where).alias("first")))  # on its own, so that Spark can split the join on a very frequent span
     later = met.join(firsts, ["span", "check"]).where(where != F.col("first"))
     return later.groupBy("key", "text_key").agg(F.collect_set(F.struct("at", "many")).alias("later"))
 
