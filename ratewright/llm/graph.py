@@ -9,7 +9,8 @@ from .common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``a`` and ``b`` (longs) to ``node`` and ``label``, the least node it is linked with; nodes without links have no row.
+    """``a`` and ``b`` (longs) to ``node`` and ``label``, the least node it is linked with; nodes without links have no row; links with a null or to themselves
+    count for nothing.
 
     Alternating large and small stars: every node's larger, then its smaller neighbours are linked with the least of them, until nothing
     changes. Rounds grow with the logarithm of the longest chain; neighbours are never gathered in one place, only their least.

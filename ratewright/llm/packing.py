@@ -294,15 +294,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     spark = items.sparkSession
     items = cut(items)  # two jobs need the same rows
     sizes = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = spark.createDataFrame(runs(plan(sizes, capacity, max_nodes, max_fillings)) or [(0, 0, 0, 0, 1, 0)], "size bigint, low bigint, high bigint, first_sequence bigint, each bigint, first_offset bigint")
+    table = spark.createDataFrame(runs(plan(sizes, capacity, max_nodes, max_fillings)) or [(0, 0, 0, 0, 1, 0)], "_size bigint, _low bigint, _high bigint, _sequence bigint, _each bigint, _first bigint")
     salts = max(16, -(-sum(sizes.values()) // RANKED))
-    salted = items.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    before = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
-    ranked = ranked.join(before.drop("n"), ["length", "salt"]).withColumn("rank", F.col("own") + F.coalesce("before", F.lit(0)))
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    k = F.col("rank") - F.col("low")
-    return placed.select(*items.columns, (F.col("first_sequence") + F.floor(k / F.col("each"))).cast("bigint").alias("sequence_id"), (F.col("first_offset") + k % F.col("each") * F.col("length")).cast("bigint").alias("offset"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = salted.withColumn("_own", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
+    ranked = ranked.join(before.drop("_n"), ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.coalesce("_before", F.lit(0)))
+    # the plan has a few rows for each length, whatever the number of pieces
+    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
+    k = F.col("_rank") - F.col("_low")
+    return placed.select(*items.columns, (F.col("_sequence") + F.floor(k / F.col("_each"))).cast("bigint").alias("sequence_id"), (F.col("_first") + k % F.col("_each") * F.col("length")).cast("bigint").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:

@@ -106,11 +106,11 @@ def place_groups(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET,
 def number(rows: DataFrame, order: list[str], shards: int = SHARDS, numbered: int = NUMBERED) -> DataFrame:
     """Add ``slot``: 0, 1, ... within each ``shard``. The rows must not change when computed again."""
     salts = max(8, -(-rows.count() // (shards * numbered)))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    before = salted.groupBy("shard", "salt").agg(F.count("*").alias("n"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = salted.withColumn("own", F.row_number().over(Window.partitionBy("shard", "salt").orderBy(*order)) - 1)
-    return own.join(before, ["shard", "salt"]).withColumn("slot", F.col("own") + F.col("before")).drop("salt", "own", "before")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    before = salted.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = salted.withColumn("_own", F.row_number().over(Window.partitionBy("shard", "_salt").orderBy(*order)) - 1)
+    return own.join(before, ["shard", "_salt"]).select(*rows.columns, (F.col("_own") + F.col("_before")).alias("slot"))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, bucket: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:

@@ -34,6 +34,8 @@ from .tokens import encoder, public_path, with_ends
 TOKENIZER = "byte_bpe_50k.json"
 FILE_BYTES = 32 << 20
 LEVEL = 3
+#: Files whose sums are run up together, and ids that a reader hands on at once.
+TOGETHER, HANDED = 1000, 1 << 20
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A5D
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -164,8 +166,9 @@ def _read(batches: Iterator[pa.RecordBatch], wanted: frozenset | None, with_ids:
             docs = reader.documents
             starts = row["before"] + np.cumsum(docs["n"].astype(np.int64)) - docs["n"]
             which = np.arange(len(docs)) if wanted is None else np.flatnonzero(np.isin(docs["key"], list(wanted)) & (docs["null"] == 0))
-            for k in range(0, len(which), 4000):
-                some = which[k : k + 4000]
+            # few documents or few ids at once; a longer document comes alone
+            chunk = np.maximum(np.arange(len(which)) // 4000, np.cumsum(docs["n"][which].astype(np.int64)) // HANDED) if len(which) else which
+            for some in np.split(which, np.flatnonzero(np.diff(chunk)) + 1) if len(which) else ():
                 keys = pa.array(docs["key"][some].astype(np.int64), mask=docs["null"][some].astype(bool))
                 frames = list(reader.ids(some.tolist()))
                 out = {"key": keys, "start": starts[some], "n_tokens": docs["n"][some].astype(np.int64), "ids_crc32": pa.array([zlib.crc32(f) for f in frames], pa.int64())}
@@ -177,8 +180,11 @@ def _read(batches: Iterator[pa.RecordBatch], wanted: frozenset | None, with_ids:
 
 def read_back(manifest: DataFrame, key: str = "doc_id", keys: list[int] | None = None, with_ids: bool = False) -> DataFrame:
     """The key, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids; of all documents or of some keys."""
-    # the manifest has one row for each file, so that this window sees a ten-millionth of the data
-    placed = manifest.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # running sums in two levels: within groups of files, and over the groups, of which there is one for each TOGETHER files
+    up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = manifest.withColumn("group", F.floor(F.col("part") / TOGETHER))
+    groups = grouped.groupBy("group").agg(F.sum("ids").alias("of_group")).withColumn("groups_before", F.coalesce(F.sum("of_group").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = grouped.withColumn("own_before", F.coalesce(F.sum("ids").over(up_to.partitionBy("group")), F.lit(0))).join(groups, "group").withColumn("before", F.col("own_before") + F.col("groups_before"))
     n = max(1, manifest.count())
     wanted = None if keys is None else frozenset(keys)
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids

@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import cut, scratch
 from .token_files import files
 
@@ -93,15 +94,14 @@ def _gzip(data: bytes) -> bytes:
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     out = path = None
     at = 0
-    for b in batches:
-        if out is None and b.num_rows:
+    for b in K.slices(batches, "html"):
+        if out is None:
             system, base = files(folder)
             system.create_dir(base)
             path = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
             out = system.open_output_stream(f"{base}/{path}", compression=None)
         found = []
-        for r in range(b.num_rows):
-            page_id, url, html, holder, first = (b.column(c)[r].as_py() for c in ("page_id", "url", "html", "holder", "first"))
+        for page_id, url, html, holder, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "holder", "first")), strict=True):
             payload = (html or "").encode()
             d = digest(payload)
             data = _gzip(record(page_id, url, payload, d, holder, not first))

@@ -121,3 +121,6 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "", 2), (None, "a b c", 3), (4, "word " * 9000, 4), (5, "日本語 <|endoftext|> x", 5), (6, "same text", 6), (7, "same text", 6)], "doc_id long, text string, length int")
     check(spark, docs)
     assert P.pack_documents(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("coalesce(doc_id, -1) as id", "0 as piece", "cast(7 as bigint) as length", "1 as size", "2 as rank", "3 as low", "4 as own", "5 as before", "6 as salt", "7 as n")
+    got = P.pack(clash, 20)
+    assert got.columns == [*clash.columns, "sequence_id", "offset"] and Counter(r.sequence_id for r in got.collect()) == {k: 2 for k in range(docs.count() // 2)}

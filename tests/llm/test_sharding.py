@@ -21,6 +21,26 @@ def test_difference_keeps_every_item():
         assert np.array_equal(got, sums)
 
 
+def plain_differencing(partials):
+    """Partitions as sorted lists of sums: the two of the largest spread become one, oppositely ordered, until one is left."""
+    parts = [sorted(map(int, p), reverse=True) for p in partials]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return parts[0]
+
+
+def test_difference_against_the_plain_way():
+    rng = np.random.default_rng(5)
+    for _ in range(80):
+        items = rng.integers(0, 10**9, (int(rng.integers(1, 60)), int(rng.integers(1, 9))))  # spreads hardly ever tie
+        assert S.difference(items)[0].tolist() == plain_differencing(items)
+    one = np.zeros((200, 40), np.int64)
+    one[:, 0] = rng.permutation(np.arange(1, 10**6, 5000))[:200]
+    assert sorted(S.difference(one)[0]) == sorted(plain_differencing(one))
+
+
 def test_two_way_is_the_textbook_result():
     one = np.zeros((5, 2), np.int64)
     one[:, 0] = [8, 7, 6, 5, 4]
@@ -57,3 +77,6 @@ def test_edges(spark):
     docs = spark.createDataFrame([(i, "hot copy", 0) for i in range(300)] + [(1000 + i, "x" * rng.randint(0, 900), 1) for i in range(600)] + [(None, None, 2), (7, None, 2), (8, "", 2), (8, "", 2), (9, "ü" * 50_000, 2)], "doc_id long, text string, shard int")
     check(docs, bucket=100)
     assert S.shard(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id as id", "0 as shard", "1 as n", "2 as salt", "3 as own", "4 as before")
+    got = S.number(clash, ["id"], 1)
+    assert got.columns == [*clash.columns, "slot"] and sorted(r.slot for r in got.collect()) == list(range(docs.count()))
