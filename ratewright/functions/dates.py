@@ -20,3 +20,10 @@ def anniversary(day: Column) -> Column:
 def freshness(day: Column, as_of: Column) -> Column:
     """Overdue begins the day after the anniversary."""
     return F.when(day.isNull(), "unusable").when(day > as_of, "future").when(as_of > anniversary(day), "overdue").otherwise("ok")
+
+
+def utc_date(text: Column) -> Column:
+    """The day in UTC of an ISO time with a zone (``Z`` or an offset); null for any other text."""
+    zoned = text.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})\z")
+    at = F.try_to_timestamp(F.regexp_replace(text, r"([+-][0-9]{2})([0-9]{2})\z", "$1:$2"))
+    return F.when(zoned, F.to_date(F.to_utc_timestamp(at, F.current_timezone())))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import one_line
+
 LOCAL_DIMENSIONS = ["conformance", "completeness", "interpretability", "freshness"]
 ALL_DIMENSIONS = ["retrievability", *LOCAL_DIMENSIONS]
 
@@ -76,6 +78,26 @@ def grade_distribution(grades: DataFrame, *by: str) -> DataFrame:
     return out.na.fill(0)
 
 
-def matrix(found: DataFrame, file_key: str) -> DataFrame:
-    """Per code: total occurrences and the ordered files, one entry for each emission."""
-    return found.groupBy("code").agg(F.sum("occurrences").alias("occurrences"), F.array_sort(F.collect_list(file_key)).alias("files"))
+def matrix(found: DataFrame) -> DataFrame:
+    """Per code: dimension and severity, total occurrences, and how many files have it; which they are is :func:`matrix_files`."""
+    first = F.min(F.struct("dimension", "severity"))
+    return found.groupBy("code").agg(first.alias("of"), F.sum("occurrences").alias("occurrences"), F.count("*").alias("files")).select("code", "of.dimension", "of.severity", "occurrences", "files")
+
+
+def matrix_files(found: DataFrame, file_key: str) -> DataFrame:
+    """A row for each code and file, in order: a code may be in any number of files, so they are never one value."""
+    return found.select("code", file_key, "occurrences").orderBy("code", file_key)
+
+
+SAMPLES, SAMPLE_LENGTH = 20, 300
+
+
+def samples(rows: DataFrame, group: str, order: str, value: str, most: int = SAMPLES, length: int = SAMPLE_LENGTH) -> DataFrame:
+    """The group, ``n`` (its exact number of rows) and ``samples``: the values of its first ``most`` rows by ``order``, each on one line of ``length`` characters.
+
+    A window drops later rows in the task that sorts a group, so no list is longer than ``most``.
+    """
+    k = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    first = rows.select(group, order, one_line(F.col(value), length).alias("shown_")).withColumn("k_", k).where(F.col("k_") <= most)
+    listed = first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k_", "shown_"))), lambda x: x["shown_"]).alias("samples"))
+    return rows.groupBy(group).agg(F.count("*").alias("n")).join(listed, group)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import file_date
+from ..sources import sinks
 from .contracts import CODE_TYPES, DRUG_TYPES, METHODOLOGIES, SETTINGS
 from .findings import check, failing, rollup
 
@@ -70,7 +71,7 @@ def resolve(cells: list[str] | None) -> dict:
     return {"names": names, "repeated": repeated, "placeholders": placeholders, "codes": [{"code": c.get("code"), "type": c.get("type")} for _, c in sorted(codes.items())], "combos": [{"combo": c, "at": at} for c, at in sorted(combos.items())]}
 
 
-_resolve = F.udf(resolve, _HEADER)
+_resolve = F.udf(lambda cells: resolve(cells), _HEADER)
 
 
 def filled(c: Column) -> Column:
@@ -215,7 +216,9 @@ def inspect(rows: DataFrame, as_of: date, attestation: str = ATTESTATION_BEGINS)
     first = F.aggregate(entries, F.array().cast("array<struct<key:string,value:string>>"), lambda s, x: F.when(F.exists(s, lambda y: y["key"] == x["key"]), s).otherwise(F.concat(s, F.array(x))))
     heads = heads.withColumns({"general": F.coalesce(F.map_from_entries(first), F.create_map().cast("map<string,string>")), "header": F.when(F.col("columns").isNotNull(), _resolve("columns"))}).drop("names", "values", "columns")
     # one row per file; computed once, as the helper is Python
-    heads = heads.persist()
+    kept = sinks.scratch(rows.sparkSession, "charge-headers")
+    heads.write.parquet(kept)
+    heads = rows.sparkSession.read.schema(heads.schema).parquet(kept)
     body = rows.where((F.col("row_index") > 2) & F.exists("cells", filled)).select("file_id", "row_index", "cells").join(heads.select("file_id", "header"), "file_id")
     body = body.withColumn("wide", F.size("header.combos") > 0)
     generic = filled(_named("additional_generic_notes"))

@@ -47,7 +47,7 @@ def _is_text(v: Column) -> Column:
 
 
 def _object(v: Column) -> Column:
-    return F.coalesce(N.kind_of(v) == "OBJECT", F.lit(False))
+    return F.coalesce(N.is_object(v), F.lit(False))
 
 
 def _field_ok(name: str) -> Column:
@@ -158,3 +158,26 @@ def inspect(rows: DataFrame, as_of: date) -> DataFrame:
     for level in levels:
         found = found.unionByName(level)
     return rollup(found, "file_id", position=["item_ordinal", "phase", "a", "b", "rule"])
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """One row per file: items, codes, charge groups, payer rates and of each kind, combinations of payer and plan, and the settings and methodologies seen.
+
+    Sets are of the values themselves, first made different in the map tasks; other than the accepted ones count too.
+    """
+    items = N.items(rows)
+    groups = N.groups(items)
+    payers = N.payers(groups)
+    count = lambda df, name: df.groupBy("file_id").agg(F.count("*").alias(name))
+    p = lambda name: N.field("p", f"$.{name}")
+    stated = lambda kind: F.count(F.when(N.usable(p(f"standard_charge_{kind}")), 1)).alias(f"{kind}_rate_count")
+    rates = payers.groupBy("file_id").agg(F.count("*").alias("payer_rate_count"), *map(stated, ("dollar", "percentage", "algorithm")))
+    combos = payers.select("file_id", N.string(p("payer_name")).alias("a"), N.string(p("plan_name")).alias("b")).where("a is not null and b is not null").distinct()
+    settings = groups.select("file_id", N.string(N.field("g", "$.setting")).alias("x")).where("x is not null").distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("settings"))
+    methods = payers.select("file_id", N.string(p("methodology")).alias("x")).where("x is not null").distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("methodologies"))
+    codes = items.select("file_id", F.explode(N.elements(N.field("v", "$.code_information"))).alias("c"))
+    out = N.envelope(rows).select("file_id", F.col("items").alias("item_count"), F.col("bad_items").alias("problem_count"))
+    for part in (count(codes, "code_count"), count(groups, "charge_group_count"), rates, count(combos, "payer_plan_combination_count"), settings, methods):
+        out = out.join(part, "file_id", "left")
+    numbers = [c for c in out.columns if c.endswith("_count")]
+    return out.na.fill(0, numbers).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("settings", "methodologies")})

@@ -5,7 +5,7 @@ Ids are SHA-256 of the file's id, a kind and ordinals, so that they are the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key
@@ -27,14 +27,20 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(True))
 
 
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def kind_of(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0)
+    """Lists and objects are told by a shallow cast: the schema of a whole value would walk all of it."""
+    scalar = F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0)
+    return F.when(elements(v).isNotNull(), "ARRAY").when(is_object(v), "OBJECT").otherwise(scalar)
 
 
 def string(v: Column) -> Column:
     """Text of a JSON string with something in it, else null; numbers and booleans aren't text."""
     value = F.try_variant_get(v, "$", "string")
-    return F.when((kind_of(v) == "STRING") & value.rlike(r"(?U)\S"), value)
+    return F.when((F.schema_of_variant(v) == "STRING") & value.rlike(r"(?U)\S"), value)
 
 
 def number(v: Column) -> Column:
@@ -44,7 +50,7 @@ def number(v: Column) -> Column:
 
 def elements(v: Column) -> Column:
     """An array's elements, or null if it isn't an array."""
-    return F.when(kind_of(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def key(kind: str, *ordinals: str) -> Column:
@@ -126,9 +132,97 @@ def envelope(rows: DataFrame) -> DataFrame:
         fields.alias("fields"), ends.alias("elements"), F.max("bom").alias("bom"), F.min(F.when(F.col("part") == "stream", F.col("problem"))).alias("broken"),
         F.count(F.when(F.col("part") == "standard_charge_information", F.col("problem"))).alias("bad_items"),
         F.count(F.when((F.col("part") == "standard_charge_information") & F.col("problem").isNull(), 1)).alias("items"),
+        F.max(F.when(F.col("part") == "source", F.col("payload_text"))).alias("source_sha256"), F.max(F.when(F.col("part") == "source", F.col("ordinal"))).alias("source_size"),
     )
 
 
+def by_content(rows: DataFrame) -> DataFrame:
+    """rows of ``charge_json`` with a ``file_id`` that is the SHA-256 of the file's bytes: equal files are one file."""
+    return rows.join(rows.where("part = 'source'").groupBy("file").agg(F.max("payload_text").alias("file_id")), "file")
+
+
+PROBLEM_SAMPLES, PROBLEM_LENGTH = 100, 300
+
+
+def problems(rows: DataFrame, most: int = PROBLEM_SAMPLES) -> DataFrame:
+    """file_id, problem_count (exact) and problem_samples: the first ``most`` elements that can't be used, as structs of part, ordinal and problem.
+
+    Only the first ``most`` of a file reach the task that lists them: a window keeps them in each partition first.
+    """
+    bad = rows.where("problem is not null and part <> 'stream'").select("file_id", "part", "ordinal", F.substring("problem", 1, PROBLEM_LENGTH).alias("problem"))
+    counts = bad.groupBy("file_id").agg(F.count("*").alias("problem_count"))
+    order = F.row_number().over(Window.partitionBy("file_id").orderBy("part", "ordinal"))
+    first = bad.withColumn("k", order).where(F.col("k") <= most).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("part", "ordinal", "problem"))).alias("problem_samples"))
+    return counts.join(first, "file_id")
+
+
+class WrongType(ValueError):
+    """Values of another JSON type than the model's; the message has each place and its count."""
+
+
+_TEXT, _NUMBER, _LIST, _OBJECT = "text", "number", "list", "object"
+
+
+def _mistyped(v: Column, kind: str) -> Column:
+    """A value is there, isn't null, and isn't of the kind."""
+    have = kind_of(v)
+    right = {_TEXT: have == "STRING", _NUMBER: have.isin(_NUMBERS), _LIST: have == "ARRAY", _OBJECT: have == "OBJECT"}[kind]
+    return usable(v) & ~F.coalesce(right, F.lit(False))
+
+
+def type_errors(rows: DataFrame) -> DataFrame:
+    """file_id, place (like ``payer.methodology``), expected, found and the number of values that the typed tables would lose as nulls."""
+    i = items(rows)
+    g = groups(i)
+    p = payers(g)
+    m = modifiers(rows)
+    at = lambda v, names, level: [(f"{level}.{n}", k, field(v, f'$["{n}"]')) for n, k in names.items()]
+    levels = [
+        (i, at("v", {"description": _TEXT, "code_information": _LIST, "standard_charges": _LIST, "drug_information": _OBJECT}, "item")),
+        (i.select("file_id", F.explode(elements(field("v", "$.code_information"))).alias("c")), [("code", _OBJECT, F.col("c")), *at("c", {"code": _TEXT, "type": _TEXT}, "code")]),
+        (g, [("charge", _OBJECT, F.col("g")), *at("g", {"setting": _TEXT, "billing_class": _TEXT, "gross_charge": _NUMBER, "discounted_cash": _NUMBER, "minimum": _NUMBER, "maximum": _NUMBER, "modifier_code": _LIST, "payers_information": _LIST, "additional_generic_notes": _TEXT}, "charge")]),
+        (p, [("payer", _OBJECT, F.col("p")), *at("p", {"payer_name": _TEXT, "plan_name": _TEXT, "methodology": _TEXT, "standard_charge_dollar": _NUMBER, "standard_charge_percentage": _NUMBER, "standard_charge_algorithm": _TEXT, "count": _TEXT, "median_amount": _NUMBER, "10th_percentile": _NUMBER, "90th_percentile": _NUMBER, "additional_payer_notes": _TEXT}, "payer")]),
+        (m, at("v", {"description": _TEXT, "code": _TEXT, "setting": _TEXT, "modifier_payer_information": _LIST}, "modifier")),
+    ]
+    out = None
+    for df, checks in levels:
+        wrong = F.filter(F.array(*[F.when(_mistyped(v, kind), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("expected"), kind_of(v).alias("found"))) for place, kind, v in checks]), lambda x: x.isNotNull())
+        part = df.select("file_id", F.inline(wrong))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("file_id", "place", "expected", "found").agg(F.count("*").alias("values"))
+
+
+def require_types(rows: DataFrame) -> None:
+    bad = type_errors(rows).groupBy("place", "expected", "found").agg(F.sum("values").alias("n")).orderBy("place", "found").collect()  # places times types
+    if bad:
+        raise WrongType("; ".join(f"{r.place} is {r.found}, not {r.expected}: {r.n}" for r in bad))
+
+
+class LoadRefused(ValueError):
+    """A file's envelope lacks what a load needs; the message says which files and why."""
+
+
+def load_refusals(envelopes: DataFrame, version: str, needed: tuple[str, ...]) -> DataFrame:
+    """Of :func:`envelope`: the files that can't be loaded, with the first reason: a needed field is missing, blank text, another version, no ISO date."""
+    v = lambda name: F.try_parse_json(F.try_element_at("fields", F.lit(name)))
+    text = lambda name: string(v(name))
+    missing = F.filter(F.array(*[F.when(F.try_element_at("fields", F.lit(n)).isNull(), F.lit(n)) for n in needed]), lambda x: x.isNotNull())
+    day = F.when(text("last_updated_on").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(text("last_updated_on"), "yyyy-MM-dd"))
+    reason = (
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
+        .when(text("hospital_name").isNull() | text("last_updated_on").isNull() | text("version").isNull(), "name, date or version isn't text")
+        .when(text("version") != version, F.concat(F.lit("another template version: "), text("version")))
+        .when(day.isNull(), F.concat(F.lit("not an ISO date: "), text("last_updated_on")))
+    )
+    return envelopes.select("file_id", reason.alias("reason"), text("version").alias("observed_version"), day.alias("period")).where(F.col("reason").isNotNull())
+
+
+def require_loadable(envelopes: DataFrame, version: str, needed: tuple[str, ...]) -> None:
+    bad = load_refusals(envelopes, version, needed).groupBy("reason").agg(F.count("*").alias("n"), F.min("file_id").alias("first")).orderBy("reason").limit(20).collect()
+    if bad:
+        raise LoadRefused("; ".join(f"{r.reason} ({r.n} files, such as {r.first})" for r in bad))
+
+
 def normalize(rows: DataFrame) -> dict[str, DataFrame]:
     """All tables of the model, from one read of the source; ``rows`` should be cached or stored by the caller."""
     i = items(rows)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOT_DOLLARS = {"percentage": "percentage rates are not dollar amounts", "algorithm": "algorithmic rates are not stated dollar amounts"}
@@ -98,9 +100,33 @@ def modifier_context(mapped: DataFrame) -> DataFrame:
 
 
 def safe_median(dollars: DataFrame, *segment: str, least_publishers: int = 2) -> DataFrame:
-    """Medians within segments of one methodology that at least so many publishers state."""
-    return (
-        dollars.groupBy(*segment)
-        .agg(F.countDistinct("publisher_id").alias("publisher_count"), F.count("*").alias("rate_count"), F.median(F.col("rate_numeric").cast("double")).alias("median_dollar"))
-        .where(F.col("publisher_count") >= least_publishers)
-    )
+    """Medians within segments of one methodology that at least so many publishers state.
+
+    Exact, and no task holds a segment's rates: equal amounts are counted in the map tasks, and the middle ones are found from the running
+    counts of different amounts, in two levels (blocks of amounts by their leading digits, then within the block that holds the middle).
+    """
+    value = F.col("rate_numeric").cast("double")
+    shape = dollars.groupBy(*segment).agg(F.countDistinct("publisher_id").alias("publisher_count"), F.count("*").alias("rate_count"), F.count(value).alias("stated_")).where(F.col("publisher_count") >= least_publishers)
+    amounts = dollars.where(value.isNotNull()).groupBy(*segment, value.alias("value_")).agg(F.count("*").alias("n_"))
+    amounts = amounts.withColumn("block_", F.floor(F.col("value_") / F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.greatest(F.abs("value_"), F.lit(1.0)))) - 1))) * F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.greatest(F.abs("value_"), F.lit(1.0)))) - 1)))
+    before = Window.partitionBy(*segment).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = amounts.groupBy(*segment, "block_").agg(F.sum("n_").alias("in_block_")).withColumn("before_", F.coalesce(F.sum("in_block_").over(before), F.lit(0)))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in segment], F.lit(True))
+    own = blocks.alias("b").join(shape.alias("s"), same("b", "s")).select("b.*", "s.stated_")
+    # places from 1 of the two middle amounts, which may be one
+    low, high = F.floor((F.col("stated_") + 1) / 2), F.floor(F.col("stated_") / 2) + 1
+    own = own.where((F.col("before_") < high) & (F.col("before_") + F.col("in_block_") >= low))
+    within = Window.partitionBy(*segment, "block_").orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)
+    near = amounts.alias("a").join(own.alias("o"), same("a", "o") & (F.col("a.block_") == F.col("o.block_"))).select("a.*", "o.before_", "o.stated_")
+    near = near.withColumn("from_", F.col("before_") + F.coalesce(F.sum("n_").over(within), F.lit(0)))
+    middle = near.where((F.col("from_") < high) & (F.col("from_") + F.col("n_") >= low)).groupBy(*segment).agg(F.avg("value_").alias("median_dollar"))
+    return shape.alias("s").join(middle.alias("m"), same("s", "m"), "left").select(*[F.col(f"s.{c}") for c in segment], "publisher_count", "rate_count", "median_dollar")
+
+
+def exploratory(mart: DataFrame, least_publishers: int = 2) -> DataFrame:
+    """Medians of the dollar mart by codes, methodology and setting, those of most publishers first."""
+    return safe_median(mart, "codes_json", "methodology", "setting", least_publishers=least_publishers).orderBy(F.desc("publisher_count"), "codes_json", "methodology", "setting")
+
+
+def ordered_profile(profile: DataFrame) -> DataFrame:
+    return profile.orderBy("methodology", "rate_kind")

@@ -80,6 +80,23 @@ VIEWS: dict[str, str] = {
         SELECT event_id, 'COMPLETENESS_B', 'completeness', 'ERROR', event_id * 2 + 1, concat('again at ', CAST(event_id AS VARCHAR(20))) FROM {events} WHERE event_id % 6 = 1
         UNION ALL
         SELECT event_id, 'COMPLETENESS_B', 'completeness', 'ERROR', event_id * 2, concat('first at ', CAST(event_id AS VARCHAR(20))) FROM {events} WHERE event_id % 12 = 1""",
+    "retrieval": """
+        SELECT file_id, publisher_id, concat('loc', CAST(file_id % 7 AS VARCHAR(20))) AS location_id, requested_url, CASE WHEN file_id % 53 = 0 THEN 'https://other.example/x' ELSE requested_url END AS url, day,
+          CASE WHEN file_id % 59 = 0 THEN 'yesterday' ELSE concat(CAST(day AS VARCHAR(20)), CASE file_id % 4 WHEN 0 THEN 'T23:30:00-02:00' WHEN 1 THEN 'T01:15:30+03:00' WHEN 2 THEN 'T12:00:00Z' ELSE 'T12:00:00.250+00:00' END) END AS attempted_at,
+          status, CASE WHEN status = 'http_error' THEN CASE file_id % 3 WHEN 0 THEN 401 WHEN 1 THEN 403 ELSE 500 END WHEN status IN ('fetched', 'not_modified') THEN 200 END AS http_status,
+          CASE WHEN status = 'invalid_url' THEN file_id % 2 WHEN status IN ('cache_miss', 'cache_error') THEN 0 ELSE 1 + file_id % 3 END AS attempts,
+          CASE WHEN status = 'invalid_url' AND file_id % 4 = 1 THEN 'unsafe redirect target: a host within' WHEN status = 'network_error' THEN 'timed out' END AS error,
+          CASE WHEN status IN ('fetched', 'not_modified') AND file_id % 79 <> 0 THEN concat('bytes-', CAST(file_id AS VARCHAR(20))) END AS content_sha256, CASE WHEN status IN ('fetched', 'not_modified') THEN file_id * 3 END AS size_bytes,
+          CASE file_id % 3 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/json' END AS content_type, CASE WHEN file_id % 83 = 0 THEN 'could not read it again' END AS problem
+        FROM (SELECT event_id AS file_id, user_id AS publisher_id, CAST(ts AS DATE) AS day, concat('https://files.example/', CAST(event_id AS VARCHAR(20)), '.json?key=', CAST(user_id AS VARCHAR(20))) AS requested_url,
+            CASE WHEN event_id % 26 < 14 THEN 'fetched' WHEN event_id % 26 < 16 THEN 'not_modified' WHEN event_id % 26 < 18 THEN 'http_error' WHEN event_id % 26 = 18 THEN 'network_error' WHEN event_id % 26 = 19 THEN 'content_error' WHEN event_id % 26 < 22 THEN 'invalid_url'
+              WHEN event_id % 26 = 22 THEN 'too_large' WHEN event_id % 26 = 23 THEN 'cache_miss' WHEN event_id % 26 = 24 THEN CASE WHEN event_id % 4 = 0 THEN 'cache_error' ELSE 'robots_disallowed' END ELSE 'tls_verification_failed' END AS status
+          FROM {events}) x""",
+    "inspection": """
+        SELECT file_id, CASE WHEN file_id % 61 = 0 THEN 'bytes-of-another' ELSE content_sha256 END AS source_sha256, CASE WHEN file_id % 67 = 0 THEN size_bytes + 1 ELSE size_bytes END AS source_size,
+          CASE WHEN file_id % 71 = 0 THEN day + 5 WHEN file_id % 4 = 0 THEN day + 1 WHEN file_id % 4 = 1 THEN day - 1 ELSE day END AS inspected_as_of, CASE WHEN file_id % 73 = 0 THEN publisher_id + 1 ELSE publisher_id END AS inspected_publisher,
+          file_id % 9 <> 0 AS scan_completed, file_id % 15 AS items, CAST(day AS VARCHAR(20)) AS last_updated_on, '3.0.0' AS version
+        FROM {retrieval} WHERE (status IN ('fetched', 'not_modified') AND file_id % 17 <> 0) OR file_id % 89 = 0""",
 }
 
 _NAME = re.compile(r"\{(\w+)\}")

@@ -1,5 +1,7 @@
 """A run of the charge pipeline: contracts first, then partitioned Parquet under the run's id, then a manifest.
 
+All tables of a run are written to a staging folder; only when all are there are they moved to their places, and the manifest comes last.
+
 Tables are written under ``<root>/<layer>/<model>/publisher_id=/period=/file_version=/run_id=``, so that a run is a set of partitions:
 readers prune to it, and writing a run again replaces exactly its partitions. The manifest is written last; a run without one doesn't
 exist. What a run is follows from its inputs and from the fingerprint of the model, so an unchanged run is found and reused.
@@ -49,8 +51,7 @@ def run_id(publisher: str, source_sha256: str, as_of: date) -> str:
 
 def _manifests(spark: SparkSession, root: str, run: str) -> list[dict]:
     path = f"{root}/manifests/{run}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not _exists(spark, path):
         return []
     return [json.loads(r.value) for r in spark.read.text(path).collect()]  # one line
 
@@ -63,29 +64,71 @@ def existing(spark: SparkSession, root: str, run: str) -> dict | None:
     [manifest] = found
     if not sealed(manifest):
         raise ValueError(f"the manifest of run {run} was changed")
-    have = {m: read(spark, root, m, run).count() for m in manifest["counts"]}
-    if have != manifest["counts"]:
-        raise ValueError(f"tables of run {run} don't have the rows of its manifest")
+    have = {m: artifact(read(spark, root, m, run).drop(*PARTITIONS)) for m in manifest["artifacts"]}
+    if have != manifest["artifacts"]:
+        raise ValueError(f"tables of run {run} aren't those of its manifest: {', '.join(sorted(m for m in have if have[m] != manifest['artifacts'][m]))}")
     return manifest
 
 
+def artifact(df: DataFrame) -> dict:
+    """Rows of a table and a digest of them that doesn't depend on their order or files."""
+    columns = sorted(df.columns)
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")).alias("b")).first()
+    return {"rows": r.n, "digest": hashlib.sha256(canonical([columns, str(r.a), str(r.b)])).hexdigest()}
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path(target), True)
+    system.mkdirs(path(target).getParent())
+    if not system.rename(path(source), path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def write(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, publisher: str, period: date, version: str, source_sha256: str, as_of: date) -> dict:
     """Enforce the contracts and write a run; an equal run that is there already is returned instead."""
     run = run_id(publisher, source_sha256, as_of)
     if found := existing(spark, root, run):
         return found | {"reused": True}
+    contracts.enforce_types(tables)
     contracts.enforce(tables)
     keys = {"publisher_id": publisher, "period": period.isoformat(), "file_version": version, "run_id": run}
-    counts = {}
-    for model, layer in LAYERS.items():
-        if model in tables:
-            marked = tables[model].withColumns({k: F.lit(v) for k, v in keys.items()})
-            marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(f"{root}/{layer}/{model}")
-            counts[model] = read(spark, root, model, run).count()
-    manifest = seal({**keys, "as_of": as_of.isoformat(), "source_sha256": source_sha256, "model": model_fingerprint(), "counts": counts})
+    models = [m for m in LAYERS if m in tables]
+    staging = f"{root}/_staging/{run}"
+    for model in models:
+        marked = tables[model].withColumns({k: F.lit(v) for k, v in keys.items()})
+        marked.write.mode("overwrite").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(f"{staging}/{model}")
+    place = "/".join(f"{k}={_escaped(spark, v)}" for k, v in keys.items())
+    kept = {}
+    for model in models:
+        written = spark.read.schema(tables[model].schema).parquet(f"{staging}/{model}/{place}") if _exists(spark, f"{staging}/{model}/{place}") else tables[model].limit(0)
+        kept[model] = artifact(written)
+    for model in models:
+        if _exists(spark, f"{staging}/{model}/{place}"):
+            _move(spark, f"{staging}/{model}/{place}", f"{root}/{LAYERS[model]}/{model}/{place}")
+        else:  # no rows: the table is there, empty
+            tables[model].limit(0).write.mode("append").parquet(f"{root}/{LAYERS[model]}/{model}/{place}")
+    _delete(spark, staging)
+    manifest = seal({**keys, "as_of": as_of.isoformat(), "source_sha256": source_sha256, "model": model_fingerprint(), "counts": {m: a["rows"] for m, a in kept.items()}, "artifacts": kept})
     spark.createDataFrame([(canonical(manifest).decode(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifests/{run}")
     return manifest | {"reused": False}
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    """A partition value as Spark writes it in paths."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read(spark: SparkSession, root: str, model: str, run: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{LAYERS[model]}/{model}").where(F.col("run_id") == run)

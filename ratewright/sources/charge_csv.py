@@ -2,7 +2,7 @@
 
 A row is one CSV row with its cells as an array, whatever their number (quoted newlines belong to a cell). A file that isn't UTF-8 is read as
 Latin-1 from its beginning; what a row says about its file is in ``encoding`` and ``bom``. A file that breaks off ends with a row
-that has a ``problem``. One task reads one file as a stream.
+that has a ``problem``. A row of index -1 has the SHA-256 of the file's bytes and their number as cells. One task reads one file as a stream.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, InputPartition
 
+from .charge_json import Hashed, batched
 from .charge_json import _Reader as _Files
-from .charge_json import batched
 
 COLUMNS = {"file": pa.string(), "row_index": pa.int64(), "cells": pa.list_(pa.string()), "encoding": pa.string(), "bom": pa.bool_(), "problem": pa.string()}
 SCHEMA = "file string, row_index bigint, cells array<string>, encoding string, bom boolean, problem string"
@@ -53,13 +53,19 @@ def rows(source, encoding: str, bom: bool) -> Iterator[tuple]:
 
 class _Reader(_Files):
     def read(self, partition: InputPartition):
+        yield from batched(((path, *row) for path in partition.value for row in self.file(path)), COLUMNS)
+
+    def file(self, path: str) -> Iterator[tuple]:
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(partition.value)
-        with system.open_input_stream(path, compression=None) as source:
-            encoding, bom = encoding_of(source)
-        with system.open_input_stream(path, compression=None) as source:
-            yield from batched(((partition.value, *row) for row in rows(source, encoding, bom)), COLUMNS)
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(name, compression=None) as source:
+            hashed = Hashed(source)
+            encoding, bom = encoding_of(hashed)
+            digest, size = hashed.identity()
+        with system.open_input_stream(name, compression=None) as source:
+            yield -1, [digest, str(size)], encoding, bom, None
+            yield from rows(source, encoding, bom)
 
 
 class ChargeCsv(DataSource):

@@ -2,7 +2,8 @@
 
 A row is one array element with its exact text, one top-level field (``part`` = 'envelope', ``name`` = its key), or the end of
 a stream that broke off (``part`` = 'stream'). Elements that can't be used (not UTF-8, not JSON, repeated keys, not an object) keep their place and
-carry a ``problem``. One task reads one file as a stream, a buffer of a few megabytes at a time, so memory follows the largest
+carry a ``problem``. A last row of each file (``part`` = 'source') has the SHA-256 of its bytes as text and their number as ordinal, so that files
+are told apart by content. With ``mode=envelope`` a file is read to its first array, or ``max_bytes``, for its top-level fields alone. One task reads one file as a stream, a buffer of a few megabytes at a time, so memory follows the largest
 element and not the file; files are read in parallel.
 
     spark.dataSource.register(ChargeJson)
@@ -12,6 +13,7 @@ element and not the file; files are read in parallel.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -21,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ARRAYS = ("standard_charge_information", "modifier_information")
 CHUNK = 1 << 20
+#: Bytes of small files that one task reads, about.
+TOGETHER = 16 << 20
 COLUMNS = {"file": pa.string(), "part": pa.string(), "name": pa.string(), "ordinal": pa.int64(), "payload_text": pa.string(), "problem": pa.string(), "bom": pa.bool_()}
 SCHEMA = "file string, part string, name string, ordinal bigint, payload_text string, problem string, bom boolean"
 
@@ -147,8 +151,27 @@ def problem(raw: str) -> str | None:
         return f"not usable: {e}"[:300]
 
 
-def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK) -> Iterator[tuple]:
-    """(part, name, ordinal, payload_text, problem, bom) of a binary stream."""
+class Hashed:
+    """A stream that knows the digest of what was read from it, and ends after ``most`` bytes."""
+
+    def __init__(self, source, most: int | None = None):
+        self.source, self.most, self.size, self.digest = source, most, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.source.read(n if self.most is None else min(n, self.most - self.size))
+        self.size += len(data)
+        self.digest.update(data)
+        return data
+
+    def identity(self) -> tuple[str, int]:
+        """Of all bytes: those that nobody read are read now."""
+        while self.read(CHUNK):
+            pass
+        return self.digest.hexdigest(), self.size
+
+
+def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK, peek: bool = False) -> Iterator[tuple]:
+    """(part, name, ordinal, payload_text, problem, bom) of a binary stream. peek: fields before the first array only, as far as they can be read."""
     text = Text(source, chunk)
     bom = text.bom
     seen: set[str] = set()
@@ -169,6 +192,8 @@ def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK) -> Iterat
                 seen.add(key)
                 text.expect(":", "after a key")
                 if key in arrays and text.peek() == "[":
+                    if peek:
+                        return
                     text.at += 1
                     ordinal = 0
                     if text.peek() == "]":
@@ -197,7 +222,8 @@ def scan(source, arrays: tuple[str, ...] = ARRAYS, chunk: int = CHUNK) -> Iterat
         if text.peek():
             raise Broken("content after the document")
     except Broken as e:
-        yield "stream", None, None, None, str(e), bom
+        if not peek:
+            yield "stream", None, None, None, str(e), bom
 
 
 def batched(rows: Iterator[tuple], columns: dict[str, pa.DataType], rows_each: int = 500, bytes_each: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -220,6 +246,8 @@ def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
+        self.peek = options.get("mode", "") == "envelope"
+        self.most = int(options.get("max_bytes", CHUNK)) if self.peek else None
 
     def partitions(self):
         from pyarrow import fs
@@ -228,14 +256,32 @@ class _Reader(DataSourceReader):
         info = system.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
         root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        return [InputPartition(root + f.path) for f in sorted(found, key=lambda f: -f.size)]
+        # the largest first; small files share a task
+        share = min(TOGETHER, max(1 << 20, sum(f.size for f in found) // 64))
+        parts, room = [], 0
+        for f in sorted(found, key=lambda f: -f.size):
+            if f.size > room:
+                parts.append([])
+                room = share
+            parts[-1].append(root + f.path)
+            room -= f.size
+        return [InputPartition(p) for p in parts]
 
     def read(self, partition):
+        yield from batched(((path, *row) for path in partition.value for row in self.file(path)), COLUMNS)
+
+    def file(self, path: str) -> Iterator[tuple]:
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(partition.value)
-        with system.open_input_stream(path, compression=None) as source:
-            yield from batched(((partition.value, *row) for row in scan(source, chunk=self.chunk)), COLUMNS)
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(name, compression=None) as source:
+            yield from self.rows(Hashed(source, self.most))
+
+    def rows(self, hashed: Hashed) -> Iterator[tuple]:
+        yield from scan(hashed, chunk=self.chunk, peek=self.peek)
+        if not self.peek:
+            digest, size = hashed.identity()
+            yield "source", "sha256", size, digest, None, None
 
 
 class ChargeJson(DataSource):

@@ -48,6 +48,11 @@ def _table(batches: Iterator[pa.RecordBatch], head: list[list[str]]) -> Iterator
             begun = True
 
 
+def write_each(documents: DataFrame, path: str) -> None:
+    """One file for each row of ``k`` (a key, each once) and ``value`` (a whole document), under ``k=<key>/``."""
+    documents.select("k", "value").repartition("k").write.partitionBy("k").text(path)
+
+
 def write_csv(rows: DataFrame, general: dict[str, str], path: str) -> None:
     """rows: string columns named as the charge header's columns; nulls are blank cells."""
     head = [list(general), list(general.values()), list(rows.columns)]

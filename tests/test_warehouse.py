@@ -35,6 +35,20 @@ def test_runs(spark, tmp_path, monkeypatch):
     with pytest.raises(contracts.ContractViolation, match="accepted_setting: 1"):
         W.write(spark, bad, root, "p", date(2026, 5, 1), "3.0.0", SOURCE, date(2026, 8, 9))
     assert W.existing(spark, root, W.run_id("p", SOURCE, date(2026, 8, 9))) is None
+    assert not list((tmp_path / "w/_staging").glob("*"))
+    wrong = tables(spark) | {"charge_code": tables(spark)["charge_code"].withColumn("code_ordinal", F.col("code_ordinal").cast("string"))}
+    with pytest.raises(contracts.ContractViolation, match="charge_code.code_ordinal: string, not bigint"):
+        W.write(spark, wrong, *args[:1], "q", *args[2:])
+    rows = W.read(spark, root, "charge_code", other["run_id"])
+    where = tmp_path / "w/staging/charge_code/publisher_id=a b%2Fc/period=2026-05-01/file_version=3.0.0" / f"run_id={other['run_id']}"
+    assert rows.count() == 1 and where.is_dir()
+    rows.drop(*W.PARTITIONS).withColumn("code", F.lit("99999")).write.mode("overwrite").parquet(f"file://{tmp_path}/other")
+    for old in where.glob("*"):
+        old.unlink()
+    for new in (tmp_path / "other").glob("part-*"):
+        new.rename(where / new.name)
+    with pytest.raises(ValueError, match="charge_code"):
+        W.existing(spark, root, other["run_id"])
     [part] = (tmp_path / "w/manifests" / first["run_id"]).glob("part-*")
     part.write_text(part.read_text().replace('"charge_code":1', '"charge_code":2'))
     for crc in part.parent.glob(".*.crc"):
@@ -56,9 +70,17 @@ def test_seals():
 def test_comparison(spark):
     files = spark.createDataFrame([("b", "p1", "s", "A", True, True, True, "x"), ("a", "p2", "s", "NOT_GRADED", True, False, False, None)], "slug string, publisher string, scope string, grade string, network_attempted boolean, verified_body_available boolean, inspection_scan_completed boolean, content_sha256 string")
     found = spark.createDataFrame([("a", "C1", 2), ("b", "C1", 3), ("b", "C0", 1)], "slug string, code string, occurrences long")
-    out = compare.build(files, found, ["scope"], ["publisher"])
+    found = found.withColumns({"dimension": F.lit("conformance"), "severity": F.lit("ERROR")})
+    dated = files.withColumn("as_of", F.lit("2026-08-09"))
+    manifest = {"cohort_id": "c", "collection": {"operator_controlled_single_run": True, "utc_date": "2026-08-09"}}
+    out = compare.build(dated, found, ["scope"], ["publisher"], manifest)
+    assert out["header"]["comparison_scope"] == {"scope": "s"} and out["header"]["cohort_id"] == "c" and len(out["header"]["grade_policy"]["fingerprint"]) == 64
+    for wrong, match in (({}, "attest"), ({"collection": {"operator_controlled_single_run": True}}, "lacks"), (manifest | {"collection": manifest["collection"] | {"utc_date": "2026-08-10"}}, "2 assessments are of another day")):
+        with pytest.raises(compare.NotComparable, match=match):
+            compare.build(dated, found, ["scope"], ["publisher"], wrong)
     assert [r.slug for r in out["files"].collect()] == ["a", "b"]
-    assert [tuple(r) for r in out["finding_matrix"].collect()] == [("C0", 1, ["b"]), ("C1", 5, ["a", "b"])]
+    assert [tuple(r) for r in out["finding_matrix"].collect()] == [("C0", "conformance", "ERROR", 1, 1), ("C1", "conformance", "ERROR", 5, 2)]
+    assert [tuple(r) for r in out["finding_files"].collect()] == [("C0", "b", 1), ("C1", "a", 2), ("C1", "b", 3)]
     assert out["summary"].first().asDict() == {"targeted": 2, "network_attempted": 2, "verified_body_available": 1, "inspection_scan_completed": 1, "graded": 1, "not_graded": 1, "A": 1, "B": 0, "C": 0, "D": 0, "F": 0}
     for bad, match in ((files.limit(1), "at least 2"), (files.withColumn("scope", F.col("slug")), "2 scopes"), (files.withColumn("publisher", F.lit("p")), "repeat a subject")):
         with pytest.raises(compare.NotComparable, match=match):
