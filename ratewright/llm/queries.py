@@ -32,7 +32,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,36 @@ SELECT t.doc_id, CASE WHEN d.n_bad > 0 THEN d.rest ELSE t.text END AS text, CAST
 FROM documents t LEFT JOIN d USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": _LINES, "op10_warc": _BASE32}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_WINNOWED = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN n ON len(w) >= n)),
+h AS (SELECT dw.doc_id, dw.k, dw.n, iw.item FROM dw JOIN iw ON iw.gram = dw.gram AND iw.n = dw.n),
+p AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT doc_id, k, n FROM h) JOIN (SELECT unnest(range(13)) AS j) ON j < n GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, array_to_string(list_transform(lw, lambda x: translate(x, '{_UPPER}', '{_LOWER}')), ' ') AS form
+  FROM (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(lw) > 0),
+m AS (SELECT source, least(greatest(10, 0.1 * count(*)), 1000) AS most FROM d GROUP BY source),
+f AS (SELECT c.source, c.form FROM (SELECT source, form, count(DISTINCT doc_id) AS n FROM l GROUP BY source, form) c JOIN m ON m.source IS NOT DISTINCT FROM c.source WHERE n > most),
+r AS (SELECT l.doc_id, count(*) AS removed_lines, sum(len(lw)) AS removed_words FROM l JOIN f ON f.form = l.form AND f.source IS NOT DISTINCT FROM l.source GROUP BY l.doc_id),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (SELECT doc_id, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2))),
+v AS (SELECT doc_id, count(DISTINCT k + j) AS n_repeat_words FROM g CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
+x AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_lines, 0) AS removed_lines, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words
+  FROM d LEFT JOIN u USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN r USING (doc_id)),
+y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND removed_words <= 0.5 * n_words AS kept FROM y
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _WINNOWED, "op6_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op10_warc": _BASE32}
