@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, as its rows are in the shared folder by then; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them from there: lineage ends, and later jobs don't compute them again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -39,7 +54,8 @@ def small_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as a Parquet table of the shared folder, which is smaller."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
