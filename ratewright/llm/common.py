@@ -59,6 +59,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstore(*tables: DataFrame) -> None:
+    """Delete the files of tables that nothing will read any more (those that :func:`stored` wrote, found by their paths in the shared folder)."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_folder(spark).rstrip("/").removeprefix("file://")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

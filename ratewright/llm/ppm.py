@@ -29,14 +29,16 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored
+from .common import stored, unstore
 
 ORDER = 5
 BLOCK_BYTES = 24 << 20
+#: Blocks that get a partition of their own; among more of them, some share one.
+NUMBERED = 1 << 16
 #: Keys that a task holds before it merges equal ones, and merged ones before it hands them over.
 HELD, HANDED = 1_000_000, 500_000
 HELD_OUT = (7, 2)
@@ -174,8 +176,8 @@ def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
             F.when(go & n.isNull(), F.col("left_kinds")).otherwise(F.col("kinds_")).alias("kinds_"),
             (F.col("done") | (go & n.isNotNull())).alias("done"),
         )
-        if size >= ORDER - 1:  # nearly all grams are settled in the longest contexts; the others go on
-            met = stored(met, f"order-{size}")
+        if size == ORDER:  # nearly all grams are settled in the longest context; the others go on
+            met = stored(met, "first-order")
             settled.append(met.where("done").select("key", "value"))
             rest = met.where("not done")
         else:
@@ -216,6 +218,12 @@ def _score(docs: pa.Table, values: pa.Table, end_count: int, n: int, v: int) ->
     return pa.Table.from_batches(out)
 
 
+def numbers(spark: SparkSession, n: int) -> DataFrame:
+    """For each of ``n`` slots a number that hashing by key into ``n`` partitions puts into the slot's own, so that no two blocks share a task. NUMBERED rows at most."""
+    found = spark.range(20 * n).select(F.pmod(F.hash("id"), F.lit(n)).cast("bigint").alias("slot"), "id")
+    return found.groupBy("slot").agg(F.min("id").alias("number"))
+
+
 def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: the key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_bytes."""
     kind = docs.schema[key].dataType.simpleString()
@@ -227,10 +235,12 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES)
     n, v, end = words.n or 0, words.v, words.end or 0
     orders = contexts(counts)
     of_words = counts.where("key < 0").select("key", F.col("n").cast("double").alias("value"))
-    values = log_probabilities(counts.where("key >= 0").select("key"), orders).union(of_words)
-    values = stored(values, "values")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
-    dealt = dealt.repartitionById(int(blocks), F.col("block").cast("int"))  # a block is a partition
+    found = log_probabilities(counts.where("key >= 0").select("key"), orders).union(of_words)
+    values = stored(found, "values")
+    unstore(found)  # nothing else of the counts and contexts is needed
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
+    dealt = dealt.join(F.broadcast(numbers(docs.sparkSession, min(blocks, NUMBERED))), "slot", "left").withColumn("block", F.coalesce("number", "slot")).select("block", "id", "text", "train")
+    dealt = dealt.repartition(int(blocks), "block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block bigint, key bigint")
     answered = asked.join(values, "key").select("block", "key", "value")
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
