@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, packing, ppm, quality, sharding, substrings, token_files, warc
+from . import decontaminate, lines, negatives, neardup, packing, ppm, quality, sharding, substrings, token_files, topk, warc
 from .common import read, small_batches
 
 
@@ -59,6 +59,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_top_k": op12_exact_top_k,
 }
 #: op1 hands millions of short rows to Python, for which Spark's own number is better.
 QUERIES = {name: query if name == "op1_lm_scores" else _small(query) for name, query in QUERIES.items()}
@@ -130,4 +141,26 @@ y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND removed_words <= 0.5 * n_words AS kept FROM y
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _WINNOWED, "op6_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op10_warc": _BASE32}
+#: Vectors of whole numbers; NaN and the infinities aren't finite.
+_WHOLE = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+"""
+_SCORE = "CAST(list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * c.v[i])) AS BIGINT)"
+
+_NEGATIVES = rf"""{_WHOLE}
+k AS (SELECT * FROM e WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, {_SCORE} AS score FROM k a JOIN k c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+_TOP_K = rf"""{_WHOLE}
+s AS (SELECT a.vec_id AS query_id, c.vec_id, {_SCORE} AS score FROM e a JOIN e c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _WINNOWED, "op6_quality_rules": _QUALITY, "op7_line_dedup": _LINES, "op10_warc": _BASE32, "op11_hard_negatives": _NEGATIVES, "op12_exact_top_k": _TOP_K}

@@ -7,7 +7,7 @@ from ratewright.llm import queries as Q
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(Q.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
