@@ -1,17 +1,17 @@
 """Substring dedup over sliding spans of sentences.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` (closing quotes and brackets may follow) or at a newline; one of
-more than ``MAX_WORDS`` words is cut into pieces of that many, which count as sentences, so that prose without stops is covered too.
-Every run of ``SENTENCES`` consecutive ones with ``MIN_WORDS`` words or more is a span; its words, in lower case (ASCII), are hashed (96 bits).
-With ``whole``, which the query uses, long sentences are cut before words whose hash is the least of those within ``NEAR`` words (and every
-``MAX_WORDS`` from there), so that copies are cut alike at any offset, and a run of short sentences is lengthened until it has ``MIN_WORDS``.
+more than ``MAX_WORDS`` words is cut into pieces, which count as sentences, so that prose without stops is covered too: before words whose hash
+is the least of those within ``NEAR`` words, and every ``MAX_WORDS`` from there, so that copies are cut alike at any offset.
+Every run of ``SENTENCES`` consecutive ones is a span, whatever its words; they are hashed (96 bits) in lower case (ASCII). A caller who names
+``min_words`` has runs lengthened until they have so many; one that its text's end keeps below that is no span then.
 The hashes of all documents are grouped; the first occurrence, by key and place, stays, and a sentence inside any other
 occurrence is removed.
 
 Spans are counted first, summed up in the map tasks; a join that Spark can split where one span is very frequent keeps those that
 occur again, and their first places are found among them. Texts are shuffled once, to meet what they lose.
 
-Defined cases: a null text stays null; a text with fewer sentences or words than a span stays as it is; null keys come first
+Defined cases: a null text stays null; a text with fewer sentences than a span stays as it is; null keys come first
 in order; rows with equal key and text are one document that occurs twice, and each comes back with the same result; an empty
 table gives an empty result; other columns are kept, whatever their names.
 """
@@ -30,7 +30,7 @@ from .common import cut, stored
 
 SENTENCES = 3
 MAX_WORDS = 12
-MIN_WORDS = 8
+MIN_WORDS = 0
 NEAR = 4
 #: Seed of the second hash of a span.
 CHECK = 0x5851F42D4C957F2D
@@ -42,7 +42,7 @@ _CLOSE = np.isin(np.arange(256), np.frombuffer(b"\"')]}", np.uint8))
 class Sentences:
     """The sentences of some texts, as ranges of their words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS, whole: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, max_words: int = MAX_WORDS):
         self.words = w = K.Words(data, offsets, K.SPACED)
         n = len(w.start)
         if not n:
@@ -60,9 +60,8 @@ class Sentences:
         first = np.ones(n, bool)
         first[1:] = stop[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]]) | (w.text[1:] != w.text[:-1])
         begin = np.flatnonzero(first)
-        if whole:
-            first = first | self._content_cuts(data, begin, max_words)
-            begin = np.flatnonzero(first)
+        first = first | self._content_cuts(data, begin, max_words)
+        begin = np.flatnonzero(first)
         place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
         self.low = np.flatnonzero(place % max_words == 0)
         self.high = np.append(self.low[1:], n)
@@ -89,21 +88,20 @@ class Sentences:
         return np.searchsorted(self.text, np.arange(texts + 1))
 
 
-def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words: int) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         data, offsets = K.raw(b.column("text"))
-        s = Sentences(data, offsets, max_words, whole)
+        s = Sentences(data, offsets, max_words)
         hashes = K.bytes_hashes(K.LOWER[data], s.words.start, s.words.end)
         at = np.flatnonzero(s.text[: max(0, len(s.text) - n + 1)] == s.text[n - 1 :]) if len(s.text) >= n else np.zeros(0, np.int64)
         last = at + n - 1
-        if whole and len(at):
+        if min_words and len(at):
             # the first sentence by which the run has enough words, if its text has one
             last = np.maximum(last, np.searchsorted(s.high, s.low[at] + min_words))
             some = last < len(s.low)
             some[some] = s.text[last[some]] == s.text[at[some]]
             at, last = at[some], last[some]
         low, high = s.low[at], s.high[last]
-        at, last, low, high = (x[high - low >= min_words] for x in (at, last, low, high))
         span, check = K.run_hashes(hashes, low, high), K.run_hashes(hashes, low, high, CHECK)
         base = s.bounds(b.num_rows)
         entries = pa.StructArray.from_arrays([pa.array(span.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((at - base[s.text[at]]).astype(np.int32)), pa.array((last - at + 1).astype(np.int32))], ["span", "check", "at", "many"])
@@ -111,10 +109,10 @@ def _spans(batches: Iterator[pa.RecordBatch], n: int, max_words: int, min_words:
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("text_key"), pa.ListArray.from_arrays(pa.array(counts), entries)], ["key", "text_key", "spans"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], max_words: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[pa.RecordBatch]:
     for b in K.slices(batches):
         data, offsets = K.raw(b.column("text"))
-        s = Sentences(data, offsets, max_words, whole)
+        s = Sentences(data, offsets, max_words)
         base = s.bounds(b.num_rows)
         lists = b.column("later")
         lists = lists.fill_null([]) if lists.null_count else lists
@@ -146,11 +144,11 @@ def _remove(batches: Iterator[pa.RecordBatch], max_words: int, whole: bool) -> I
         yield pa.RecordBatch.from_pydict(out | {"n_sentences": np.diff(base).astype(np.int64), "n_removed": removed, "removed_words": words})
 
 
-def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """key, text_key and ``later``: where spans begin, in sentences, that are not the first of their kind, and how many each has."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_key"), F.col("text"))
-    entries = rows.mapInArrow(lambda batches: _spans(batches, sentences, max_words, min_words, whole), f"key {kind}, text_key bigint, spans array<struct<span:bigint,check:int,at:int,many:int>>")
+    entries = rows.mapInArrow(lambda batches: _spans(batches, sentences, max_words, min_words), f"key {kind}, text_key bigint, spans array<struct<span:bigint,check:int,at:int,many:int>>")
     entries = entries.select("key", "text_key", F.inline("spans"))
     where = F.struct("key", "text_key", "at")
     # only the hashes and their counts are shuffled for all spans; keys and places follow for those that occur again
@@ -161,13 +159,13 @@ def later_spans(docs: DataFrame, key: str, sentences: int = SENTENCES, max_words
     return later.groupBy("key", "text_key").agg(F.collect_set(F.struct("at", "many")).alias("later"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", sentences: int = SENTENCES, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents and columns, texts without what is repeated, then ``span_report``: a struct of n_sentences, n_removed, removed_words."""
     names = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    later = later_spans(rows, names[key], sentences, max_words, min_words, whole)
+    later = later_spans(rows, names[key], sentences, max_words, min_words)
     met = rows.withColumn("text_key", F.xxhash64("text")).alias("d").join(later.alias("l"), (F.col("d.text_key") == F.col("l.text_key")) & F.col(f"d.{names[key]}").eqNullSafe(F.col("l.key")), "left")
     met = met.select(*[F.col(f"d.{n}") for n in names.values()], "l.later")
     schema = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names.values()]
-    out = met.mapInArrow(lambda batches: _remove(batches, max_words, whole), ", ".join([*schema, "n_sentences bigint, n_removed bigint, removed_words bigint"]))
+    out = met.mapInArrow(lambda batches: _remove(batches, max_words), ", ".join([*schema, "n_sentences bigint, n_removed bigint, removed_words bigint"]))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.struct("n_sentences", "n_removed", "removed_words").alias("span_report"))

@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+
+from ratewright.llm import kernels as K
 from ratewright.llm import queries
 from ratewright.llm import substrings as S
 from ratewright.llm.common import read
@@ -19,10 +22,26 @@ def sentences(text, most=12):
         cur.append(i)
     if cur:
         out.append(cur)
-    return [s[k : k + most] for s in out for k in range(0, len(s), most)], words
+    pieces = []
+    for s in out:
+        start = 0
+        for i in [*content_cuts([words[k].group() for k in s], most), len(s)]:
+            pieces += [s[k : min(k + most, i)] for k in range(start, i, most)]
+            start = i
+    return pieces, words
+
+
+def content_cuts(words, most):
+    """Of a long sentence, the words whose hash (with the next word's) is under those of all within four words."""
+    if len(words) <= most:
+        return []
+    data = [np.frombuffer(w.translate(LOWER).encode(), np.uint8) for w in words]
+    h = [int(K.bytes_hashes(d, np.array([0]), np.array([len(d)]))[0]) for d in data]
+    joint = [int(K.mix(np.array([(a + (b * 0x9E3779B97F4A7C15 if b is not None else 0)) % 2**64], np.uint64))[0]) for a, b in zip(h, [*h[1:], None])]
+    return [i for i in range(4, len(words)) if all(joint[i] < joint[k] for k in range(max(0, i - 4), min(len(words), i + 5)) if k != i)]
 
 
-def brute(rows, n=3, least=8):
+def brute(rows, n=3):
     docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, {}
     for i, text in docs:
@@ -31,9 +50,8 @@ def brute(rows, n=3, least=8):
         gone = set()
         for k in range(len(parts) - n + 1):
             span = tuple(low[parts[k][0] : parts[k + n - 1][-1] + 1])
-            if len(span) >= least:
-                if first.setdefault(span, (i, text, k)) != (i, text, k):
-                    gone.update(range(k, k + n))
+            if first.setdefault(span, (i, text, k)) != (i, text, k):
+                gone.update(range(k, k + n))
         cut = [(words[p[0]].start(), words[p[-1] + 1].start() if p[-1] + 1 < len(words) else len(text)) for k, p in enumerate(parts) if k in gone]
         rest, at = "", 0
         for a, b in cut:
@@ -76,8 +94,17 @@ def test_query_finds_short_sentences_and_shifted_copies(spark, tmp_path):
     rows += [(30, "y. " * 20), (31, "z. " * 7)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
-    assert got[0].text == short and got[2].text == rows[2][1] and got[31].text == rows[-1][1]
+    assert got[0].text == short and got[2].text == rows[2][1] and len(got) == len(rows)
     assert got[1].removed_words == 155 and got[1].text == "Other. End."
     assert all(170 <= got[10 + k].removed_words <= 200 for k in range(13))
     assert all(f"own{k}x{i}" in got[10 + k].text for k in range(13) for i in range(k))
-    assert got[30].text.split() == ["y."]
+    assert got[30].text.split() == ["y."] and got[31].text.split() == ["z."]
+
+
+def test_short_runs_at_the_end_of_texts(spark):
+    rows = [(1, "Buy now. Call us. Go home."), (2, "Buy now. Call us. Go home."), (3, "Some words before it. Buy now. Call us. Go home.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == brute(rows)
+    assert [r[1].strip() for r in got(docs)] == [rows[0][1], "", "Some words before it."]
+    # with a least number of words, runs grow as far as their text goes
+    assert [r.text for r in S.dedup(docs, min_words=7).orderBy("doc_id").collect()] == [t for _, t in rows]
