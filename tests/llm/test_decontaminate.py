@@ -19,7 +19,7 @@ def brute(docs, items):
     windows = defaultdict(set)
     for i, text in items:
         w = words(text)
-        if w and i is not None:
+        if w:
             for k in range(max(1, len(w) - 12)):
                 windows[tuple(w[k : k + 13])].add(i)
     sizes = {len(x) for x in windows}
@@ -31,8 +31,8 @@ def brute(docs, items):
                 if got := windows.get(tuple(w[k : k + n])):
                     found |= got
                     hit.update(range(k, k + n))
-        ids = sorted(map(str, found))
-        out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        ids = sorted(str(x) for x in found if x is not None)
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
 
 
@@ -73,3 +73,22 @@ def test_winnowing_guarantee():
         for k in range(n - 8):
             low = h[k : k + 9]
             assert k + 8 - int(np.argmin(low[::-1])) in kept
+
+
+def test_null_item_ids_hit(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "three four"), (8, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "One two three four"), (2, "three four five")], "doc_id long, text string")
+    want = both_ways(docs, bench)
+    assert [r[1:4] for r in want] == [(4, 4, 2), (3, 2, 1)]
+
+
+def test_stock_phrases_join_nothing(spark):
+    """A phrase of five words in every document and item, beside one document that holds an item."""
+    stock = "as we all know well"
+    items = [(i, " ".join(f"i{i}a{k}" for k in range(9)) + f" {stock} " + " ".join(f"i{i}b{k}" for k in range(9))) for i in range(1000)]
+    docs = [(i, f"d{i} x{i} {stock} y{i} z{i}") for i in range(3000)] + [(5000, "so " + items[7][1] + " end")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    keys = lambda df, key, items: D.fingerprints(df, key, (), items, True).selectExpr("explode(marks) m")
+    assert keys(docs, "doc_id", False).join(keys(bench, "item_id", True), "m").count() < 100
+    got = D.contamination(docs, bench, broadcast_rows=0).where("n_hit > 0").collect()
+    assert [(r.doc_id, r.n_hit, r.item_ids) for r in got] == [(5000, 23, ["7"])]
