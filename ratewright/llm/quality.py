@@ -1,10 +1,10 @@
 """Quality rules: base counts of every text, and the frequency of its lines over the documents of its host.
 
-Lines are normalised (ASCII letters lower-cased, runs of white space as one) and hashed, and each counts once for a document. A line in
+Lines are normalised (ASCII letters lower-cased, runs of white space as one) and hashed (by ``xxhash64``-sized hashes that are no defence against made-up collisions), and each counts once for a document: rows of one key are
+one document, whatever their texts, and a row without a key is one of its own. A line in
 more than ``max(min_documents, max_share * documents of the host)`` documents of a host, or in more than ``max_documents`` of a host of
 any size, is boilerplate: it is removed, and a document that loses more than ``max_loss`` of its words that way is rejected, as one that
-fails the base rules is. With ``copies=False`` a group of equal texts of a host counts as one document, for callers whose next
-steps keep one of them.
+fails the base rules is.
 
 The share bounds the table of such lines for all but the largest hosts: a host has at most ``lines per document / max_share`` of them. Up to ``BROADCAST_LINES`` entries it is broadcast and no text is shuffled; beyond that it is joined by host and text.
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -68,24 +68,27 @@ def _line_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(data, offsets, K.Words(data, offsets, K.SPACED), raw=False)
         new = K.firsts(lines.text, lines.normal)
         yield pa.RecordBatch.from_arrays(
-            [b.column("host_key"), b.column("text_key"), K.listed(lines.normal[new], lines.text[new], b.num_rows)], ["host_key", "text_key", "lines"]
+            [b.column("host_key"), b.column("own_key"), K.listed(lines.normal[new], lines.text[new], b.num_rows)], ["host_key", "own_key", "lines"]
         )
 
 
-def _hosted(docs: DataFrame, host: str) -> DataFrame:
-    return docs.withColumns({"host_key": F.xxhash64(F.lit("host"), host), "text_key": F.xxhash64("text")})
+def _listed(docs: DataFrame, host: str, own: Column) -> DataFrame:
+    """host_key, own_key and the hashes of a text's different lines."""
+    rows = docs.select(F.xxhash64(F.lit("host"), host).alias("host_key"), own.alias("own_key"), "text")
+    return rows.mapInArrow(_line_lists, "host_key bigint, own_key bigint, lines array<bigint>")
 
 
-def _by_host(docs: DataFrame, host: str) -> DataFrame:
-    lists = _hosted(docs.select(host, "text"), host).select("host_key", "text_key", "text")
-    return lists.mapInArrow(_line_lists, "host_key bigint, text_key bigint, lines array<bigint>").groupBy("host_key", "text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("documents"))
-
-
-def frequent_lines(by_host: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str, key: str, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """host_key, line: normal forms in too many of the host's documents."""
-    own = "documents" if copies else F.lit(1).cast("bigint").alias("documents")
-    counts = by_host.select("host_key", own, F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line")).groupBy("host_key", "line").agg(F.sum("documents").alias("n"))
-    # the null entry of each text counts the documents of the host
+    # the null entry of each document counts the documents of the host
+    each = lambda lists: lists.select("host_key", "own_key", F.explode(F.concat("lines", F.array(F.lit(None).cast("bigint")))).alias("line"))
+    if docs.where(F.col(key).isNotNull()).groupBy(host, key).count().where("count > 1").limit(1).count():
+        # keys come again: a line counts once for a key
+        own = F.when(F.col(key).isNull(), F.xxhash64(F.lit("row"), F.monotonically_increasing_id())).otherwise(F.xxhash64(F.lit("key"), key))
+        entries = each(_listed(docs, host, own)).distinct()
+    else:
+        entries = each(_listed(docs, host, F.lit(0).cast("bigint")))
+    counts = entries.groupBy("host_key", "line").agg(F.count("*").alias("n"))
     limits = counts.where("line is null").select("host_key", F.least(F.greatest(F.lit(float(min_documents)), F.col("n") * max_share), F.lit(float(max_documents))).alias("most"))
     return counts.where(F.col("line").isNotNull() & (F.col("n") > min(min_documents, max_documents))).join(limits, "host_key").where("n > most").select("host_key", "line")
 
@@ -134,14 +137,14 @@ def _judge(batches: Iterator[pa.RecordBatch], banned: np.ndarray | None, cleaned
         yield pa.RecordBatch.from_pydict(columns | out)
 
 
-def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, min_documents: int, max_share: float, max_loss: float, broadcast_lines: int, max_documents: int, copies: bool) -> DataFrame:
-    by_host = _by_host(docs, host)
-    bad = frequent_lines(by_host, min_documents, max_share, max_documents, copies)
+def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, key: str, min_documents: int, max_share: float, max_loss: float, broadcast_lines: int, max_documents: int) -> DataFrame:
+    bad = frequent_lines(docs, host, key, min_documents, max_share, max_documents)
     rows = small(bad, broadcast_lines)
     carried = docs.select(*dict.fromkeys([*keep, "text"]), F.xxhash64(F.lit("host"), host).alias("host_key"), F.xxhash64("text").alias("text_key"))
     if rows is None:
         banned = None
-        gone = by_host.select("host_key", "text_key", F.explode("lines").alias("line")).join(bad, ["host_key", "line"]).groupBy("host_key", "text_key").agg(F.collect_set("line").alias("banned"))
+        lists = _listed(docs, host, F.xxhash64("text")).withColumnRenamed("own_key", "text_key").dropDuplicates(["host_key", "text_key"])
+        gone = lists.select("host_key", "text_key", F.explode("lines").alias("line")).join(bad, ["host_key", "line"]).groupBy("host_key", "text_key").agg(F.collect_set("line").alias("banned"))
         carried = carried.join(gone, ["host_key", "text_key"], "left")
     else:
         banned = np.sort(K.mix(np.array([r.line for r in rows], np.int64).view(np.uint64) ^ np.array([r.host_key for r in rows], np.int64).view(np.uint64)))
@@ -149,16 +152,16 @@ def _run(docs: DataFrame, keep: list[str], cleaned: bool, host: str, min_documen
     return carried.mapInArrow(lambda batches: _judge(batches, banned, cleaned, max_loss), ", ".join([*order, VERDICT]))
 
 
-def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """One row per document: the key, the counts, ``base_failed``, what was removed, and ``kept``."""
-    return _run(docs, [key], False, host, min_documents, max_share, max_loss, broadcast_lines, max_documents, copies)
+    return _run(docs, [key], False, host, key, min_documents, max_share, max_loss, broadcast_lines, max_documents)
 
 
-def clean(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS, copies: bool = True) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, broadcast_lines: int = BROADCAST_LINES, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The documents that are kept, all their columns, texts without the removed lines."""
     own = [f"c{i}" for i in range(len(docs.columns))]
     names = dict(zip(docs.columns, own, strict=True))
     names["text"] = "text"
     inner = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in docs.columns])
-    out = _run(inner, list(inner.columns), True, names[host], min_documents, max_share, max_loss, broadcast_lines, max_documents, copies)
+    out = _run(inner, list(inner.columns), True, names[host], names[key], min_documents, max_share, max_loss, broadcast_lines, max_documents)
     return out.where("kept").select(*[F.col(names[c]).alias(c) for c in docs.columns])

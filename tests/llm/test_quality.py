@@ -9,15 +9,14 @@ from ratewright.llm.common import read
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5, copies=True, max_documents=1000):
+def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5, max_documents=1000):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     normal = lambda line: " ".join(W.findall(line.translate(lower)))
     by_host = defaultdict(list)
-    for _, text, host in rows:
-        by_host[host].append(text or "")
-    if not copies:
-        by_host = {h: set(ts) for h, ts in by_host.items()}
-    counts = {h: Counter(x for t in ts for x in {normal(y) for y in t.split("\n")} - {""}) for h, ts in by_host.items()}
+    for n, (i, text, host) in enumerate(rows):  # of each document its different lines
+        by_host[host].append((("row", n) if i is None else i, text or ""))
+    documents = {h: {i: {normal(y) for j, t in ts if j == i for y in t.split("\n")} - {""} for i in {i for i, _ in ts}} for h, ts in by_host.items()}
+    counts = {h: Counter(x for own in ds.values() for x in own) for h, ds in documents.items()}
     out = {}
     for i, text, host in rows:
         text = text or ""
@@ -25,10 +24,10 @@ def brute(rows, min_documents=10, max_share=0.1, max_loss=0.5, copies=True, max_
         lines = [x for x in text.split("\n") if W.search(x)]
         grams = Counter(zip(words, words[1:], words[2:]))
         hit = {k + j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(3)}
-        bad = [x for x in lines if counts[host][normal(x)] > min(max_documents, max(min_documents, max_share * len(by_host[host])))]
+        bad = [x for x in lines if counts[host][normal(x)] > min(max_documents, max(min_documents, max_share * len(documents[host])))]
         removed = sum(len(W.findall(x)) for x in bad)
         failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
-        out[i] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed, len(bad), removed, not failed and removed <= max_loss * len(words))
+        out[i, text] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed, len(bad), removed, not failed and removed <= max_loss * len(words))
     return out
 
 
@@ -36,20 +35,31 @@ def rows_of(df):
     return [(r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect()]
 
 
+def verdicts(docs, **how):
+    """What judge finds, by key and text."""
+    texts = {(r.doc_id, r.text, r.source): None for r in docs.collect()}
+    assert len({k[0] for k in texts}) == len(texts)
+    return {(r.doc_id, next(t or "" for i, t, _ in texts if i == r.doc_id)): tuple(r)[1:] for r in quality.judge(docs, **how).collect()}
+
+
 def test_against_brute_force(spark, sf):
     docs = read(spark, sf, "documents")
-    for share, limit in ((0.1, 500_000), (0.03, 500_000), (0.03, 0)):
-        got = {r.doc_id: tuple(r)[1:] for r in quality.judge(docs, max_share=share, min_documents=2, broadcast_lines=limit).collect()}
-        want = brute(rows_of(docs), 2, share)
-        assert got == want
+    for how in ({"max_share": 0.1, "min_documents": 2}, {"max_share": 0.03, "min_documents": 2}, {"max_share": 0.03, "min_documents": 2, "broadcast_lines": 0}, {"max_documents": 1}):
+        want = brute(rows_of(docs), **{k: v for k, v in how.items() if k != "broadcast_lines"})
+        assert verdicts(docs, **how) == want
         assert any(x[6] for x in want.values())
-    for how in ({"copies": False}, {"max_documents": 1}):
-        got = {r.doc_id: tuple(r)[1:] for r in quality.judge(docs, **how).collect()}
-        assert got == brute(rows_of(docs), **how)
-    copies = spark.createDataFrame([(i, "a line that comes back\n" + ("same" if i < 20 else f"own{i}"), "h") for i in range(30)], "doc_id long, text string, source string")
-    for how, n in (({}, 30), ({"copies": False}, 30), ({"min_documents": 25, "copies": False}, 0), ({"min_documents": 25}, 30)):
-        got = {r.doc_id: tuple(r)[1:] for r in quality.judge(copies, **how).collect()}
-        assert got == brute(rows_of(copies), **how) and sum(r[6] for r in got.values()) == n + (20 if how in ({}, {"min_documents": 10}) else 0)
+
+
+def test_documents_not_rows_are_counted(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    line = "a line of three documents"
+    rows = [(i % 3, f"{line}\n{body} {i % 3}", "h") for i in range(12)] + [(None, f"without a key\n{body} {i}", "h") for i in range(11)] + [(50, f"own {i}\nof one key\n{body}", "h") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = brute(rows)
+    for limit in (500_000, 0):
+        got = sorted((str(r.doc_id), r.n_words, r.removed_lines, r.kept) for r in quality.judge(docs, broadcast_lines=limit).collect())
+        assert got == sorted((str(i), *(want[i, t][k] for k in (0, 6, 8))) for i, t, _ in rows)
+    assert {i: want[i, t][6] for i, t, _ in rows} == {0: 0, 1: 0, 2: 0, None: 1, 50: 0}
 
 
 def test_edges(spark):
