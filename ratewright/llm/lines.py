@@ -5,8 +5,7 @@ hash (64 bits) a HyperLogLog sketch of its sites is built in the map tasks and m
 frequency sends one small sketch from each task. A line is cross-site boilerplate if ``min_sites`` different sites have it: lines whose estimate is
 further from that than the sketch's error are settled by it, the others get an exact distinct count.
 
-Boilerplate lines are removed, whatever they make up of a document. A caller whose next step settles whole copies can name a
-``max_share``: a document more than that share of whose words are in such lines then stays as it is.
+Boilerplate lines are removed, whatever they make up of a document. Lines are told apart by ``xxhash64``, which is no defence against made-up collisions.
 
 Up to ``LITERAL_LINES`` boilerplate lines are put into the plan of the last pass as constants, and no text is shuffled; beyond that, the hashes
 of each text are joined with them and the texts with what was found.
@@ -60,7 +59,7 @@ def boilerplate(pairs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: i
     return sure.unionByName(exact)
 
 
-def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None, literal_lines: int = LITERAL_LINES) -> DataFrame:
+def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, literal_lines: int = LITERAL_LINES) -> DataFrame:
     """All documents and their columns, then ``line_report``: a struct of n_lines, n_boilerplate and n_removed."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = F.col(names["text"])
@@ -85,16 +84,13 @@ def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max
 
     def one(x: Column) -> Column:
         form = x["form"]
-        return F.struct(x["line"].alias("line"), F.when(form == "", 0).otherwise(F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1).alias("words"), ((form != "") & is_bad(form)).alias("bad"))
+        return F.struct(x["line"].alias("line"), ((form != "") & is_bad(form)).alias("bad"))
 
     # the normal form first, on its own: a function of a list's elements computes what it uses twice twice
     rows = rows.withColumn("forms", F.transform(_lines(text), lambda x: F.struct(x.alias("line"), normal(x).alias("form"))))
     judged = rows.withColumn("parts", F.transform("forms", one))
-    count = lambda test, value: F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(test(p), value(p)).otherwise(0))
-    judged = judged.withColumns({"bad_words": count(lambda p: p.bad, lambda p: p.words), "all_words": count(lambda p: F.lit(True), lambda p: p.words), "n_bad": count(lambda p: p.bad, lambda p: F.lit(1))})
+    judged = judged.withColumn("n_bad", F.aggregate("parts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(p.bad, 1).otherwise(0)))
     removes = F.col("n_bad") > 0
-    if max_share is not None:
-        removes &= F.col("bad_words") <= max_share * F.col("all_words")
     left = F.array_join(F.transform(F.filter("parts", lambda p: ~p.bad), lambda p: p.line), "\n")
     zero = F.lit(0).cast("bigint")
     report = F.struct(F.when(text.isNull(), zero).otherwise(F.size("parts").cast("bigint")).alias("n_lines"), F.coalesce("n_bad", zero).alias("n_boilerplate"), F.when(removes, F.col("n_bad")).otherwise(zero).alias("n_removed"))

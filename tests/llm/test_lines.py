@@ -11,7 +11,7 @@ def normal(x):
     return re.sub(r"[\x09-\x0D ]+", " ", x.lower()).strip(" ")
 
 
-def brute(rows, min_sites=10, max_share=1):
+def brute(rows, min_sites=10):
     sites = defaultdict(set)
     for _, text, site in rows:
         for x in (text or "").split("\n"):
@@ -23,8 +23,7 @@ def brute(rows, min_sites=10, max_share=1):
             continue
         parts = text.split("\n")
         bad = [bool(normal(x)) and len(sites[normal(x)]) >= min_sites for x in parts]
-        size = lambda x: len(normal(x).split(" ")) if normal(x) else 0
-        gone = any(bad) and sum(size(x) for x, b in zip(parts, bad) if b) <= max_share * sum(map(size, parts))
+        gone = any(bad)
         out.append((i, "\n".join(x for x, b in zip(parts, bad) if not b) if gone else text, len(parts), sum(bad), sum(bad) * gone))
     return sorted(out, key=str)
 
@@ -43,7 +42,6 @@ def test_tables_both_ways(spark, sf):
         want = brute(rows_of(docs), n)
         assert got(docs, min_sites=n) == want and got(docs, min_sites=n, literal_lines=0) == want
         assert sum(r[4] for r in want) > 0
-    assert got(docs, max_share=0.5) == brute(rows_of(docs), max_share=0.5) != want
 
 
 def test_near_lines_joined_or_broadcast(spark, sf):
