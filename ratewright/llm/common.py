@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,16 +24,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_LOCK = threading.Lock()
+#: How many are within, and the setting before, by session.
+_INSIDE: dict[int, tuple[int, str]] = {}
+
+
 @contextmanager
 def _tidy(spark: SparkSession) -> Iterator[None]:
     """Within, a query's shuffle files go when it ends, as its rows are in the shared folder by then; else they stay until the driver collects its garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    with _LOCK:  # threads may be within at once: the last one out puts back what the first one found
+        own = id(spark._jsparkSession)
+        n, was = _INSIDE.get(own, (0, spark.conf.get(key, "false")))
+        _INSIDE[own] = n + 1, was
+        spark.conf.set(key, "true")
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        with _LOCK:
+            n, was = _INSIDE.pop(own)
+            if n > 1:
+                _INSIDE[own] = n - 1, was
+            else:
+                spark.conf.set(key, was)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,13 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of fewer rows where nobody chose a number: rows are whole texts, and both sides hold a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as a Parquet table of the shared folder, which is smaller."""
     path = scratch(df.sparkSession, name)

@@ -169,7 +169,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], idf) -> Iterator[pa.RecordBat
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def _bounds(places: np.ndarray, one: np.ndarray) -> np.ndarray:

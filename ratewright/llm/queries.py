@@ -7,16 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, negatives, neardup, packing, ppm, quality, sharding, substrings, token_files, topk, warc
-from .common import read, small_batches
-
-
-def _small(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        small_batches(spark)
-        return query(spark, sf_dir)
-
-    return run
+from . import conversations, decontaminate, lines, negatives, neardup, packing, ppm, quality, sharding, substrings, token_files, topk, warc
+from .common import read
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +20,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(read(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "span_report.n_sentences", "span_report.n_removed", "span_report.removed_words")
+    return substrings.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "span_report.n_sentences", "span_report.n_removed", "span_report.removed_words")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +60,10 @@ def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_conversation_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.structure(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,9 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_exact_top_k": op12_exact_top_k,
+    "op13_conversation_structure": op13_conversation_structure,
 }
-#: op1 hands millions of short rows to Python, for which Spark's own number is better.
-QUERIES = {name: query if name == "op1_lm_scores" else _small(query) for name, query in QUERIES.items()}
 
 #: SHA-1 in base 32: five hex digits are four characters.
 _BASE32 = """

@@ -148,7 +148,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", tokenizer: str | No
     path = tokenizer or public_path(TOKENIZER)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), "text")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    # the second column splits a key with very many rows; "+ 1" keeps one more file than needed on average
+    # equal keys are in order of their texts' xxhash64, which splits a key with very many rows; "+ 1" keeps one more file than needed on average
     dealt = rows.repartitionByRange(int(total // file_bytes) + 1, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     return cut(dealt.mapInArrow(lambda batches: _write(batches, folder, path, level), MANIFEST))
 

@@ -21,9 +21,9 @@ def test_stages_against_brute_force(spark, sf):
             assert all(r.n_chars == len(r.text) and (r.lang, r.source) == (before[i].lang, before[i].source) for i, r in got.items())
             kept = {i: r.text for i, r in got.items()}
         if name == "quality_rules":
-            assert set(kept) == {i for i, v in test_quality.brute(rows, copies=False).items() if v[-1]}
+            assert set(kept) == {i for (i, _), v in test_quality.brute(rows).items() if v[-1]}
         elif name == "line_dedup":
-            assert kept == {i: t for i, t, *_ in test_lines.brute(rows, max_share=corpus_pipeline.WHOLE_COPY)}
+            assert kept == {i: t for i, t, *_ in test_lines.brute(rows)}
         elif name == "near_dedup":
             label, _ = test_neardup.brute([(i, t) for i, t, _ in rows])
             loose, _ = test_neardup.brute([(i, t) for i, t, _ in rows], 0.78)
