@@ -2,7 +2,8 @@
 
 Each stage works on all that the one before it kept, and its decisions take effect: documents that the quality rules reject go, and
 boilerplate lines go from the others; cross-site lines go; one document of each near-duplicate class stays; contaminated documents
-go; what is left is packed into sequences. All but the last return the columns of ``documents``.
+go; what is left is packed into sequences. All but the last return the columns of ``documents``. In every stage repeated rows are judged alike,
+further columns pass through whatever their names, texts of any length are taken whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.llm import decontaminate, lines, neardup, packing, quality
-from ratewright.llm.common import read, small_batches, stored
+from ratewright.llm.common import read, stored
 
 
-#: A document of which more than this share of the words is in cross-site lines is a copy as a whole: near-dedup keeps one of its class.
-WHOLE_COPY = 0.8
-
 
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars``, where there is one, follows the text."""
@@ -24,26 +22,30 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return _counted(quality.clean(docs, copies=False))  # of equal texts the third stage keeps one
+    """Operator 6. Documents that fail the base rules, null and empty texts among them, and those depleted of their host's frequent lines go; the lines go from the others.
+
+    A null host is a host of its own; a null key is a document of its own, rows of one key are one document when lines are counted, and each row is judged.
+    """
+    return _counted(quality.clean(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(lines.dedup(docs, max_share=WHOLE_COPY).drop("line_report"))
+    """Operator 7. Lines of ten sites or more go; every document stays, one that is nothing but such lines with an empty text, a null text as it is."""
+    return _counted(lines.dedup(docs).drop("line_report"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Operator 8. One row of each class of near-duplicates stays, the one with the least key; equal texts are one class, null texts with empty ones."""
     return neardup.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Operator 4. Contaminated documents go; null and empty texts hold nothing and stay, without benchmark rows all stay."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    """Operator 2. A row for each piece of each document's ids and its place in a sequence; a null text is the end id alone, a long one several pieces."""
     return packing.pack_documents(docs)
 
 
