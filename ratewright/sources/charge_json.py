@@ -243,28 +243,35 @@ def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), columns.values(), strict=True)], list(columns))
 
 
+def listing(path: str) -> list[tuple[str, int]]:
+    """The files at a path, with their sizes; names that begin with ``_`` or ``.`` are left out."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else fs.FileSystem.from_uri("file:" + path.removeprefix("file:"))
+    info = system.get_file_info(inner)
+    found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+    root = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+    return [(root + f.path, f.size) for f in found]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.chunk = options["path"], int(options.get("chunk", CHUNK))
+        self.path, self.chunk = options.get("path", ""), int(options.get("chunk", CHUNK))
+        self.files = json.loads(options.get("files", "null"))  # [file, size] of each, instead of a path
         self.peek = options.get("mode", "") == "envelope"
         self.most = int(options.get("max_bytes", CHUNK)) if self.peek else None
 
     def partitions(self):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("/") else fs.FileSystem.from_uri("file:" + self.path.removeprefix("file:"))
-        info = system.get_file_info(path)
-        found = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-        root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        found = listing(self.path) if self.files is None else self.files
         # the largest first; small files share a task
-        share = min(TOGETHER, max(1 << 20, sum(f.size for f in found) // 64))
+        share = min(TOGETHER, max(1 << 20, sum(size for _, size in found) // 64))
         parts, room = [], 0
-        for f in sorted(found, key=lambda f: -f.size):
-            if f.size > room:
+        for file, size in sorted(found, key=lambda f: -f[1]):
+            if size > room:
                 parts.append([])
                 room = share
-            parts[-1].append(root + f.path)
-            room -= f.size
+            parts[-1].append(file)
+            room -= size
         return [InputPartition(p) for p in parts]
 
     def read(self, partition):
