@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.dates import file_date
 from ..sources import sinks
-from .contracts import CODE_TYPES, DRUG_TYPES, METHODOLOGIES, SETTINGS
+from .contracts import CODE_TYPES, DRUG_TYPES, METHODOLOGIES, SETTINGS, accepted_count
 from .findings import check, failing, rollup
 
 # The columns of the template.
@@ -89,7 +89,7 @@ def positive(c: Column) -> Column:
 
 
 def count_ok(c: Column) -> Column:
-    return folded(c).rlike(r"\A(?:0|1 through 10|1[1-9]|[2-9][0-9]|[1-9][0-9]{2,})\z")
+    return accepted_count(folded(c))
 
 
 def _at(k: Column) -> Column:

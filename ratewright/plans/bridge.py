@@ -65,6 +65,31 @@ VIEWS: dict[str, str] = {
         FROM {payer_rate} p JOIN {charge_group} g ON g.charge_group_id = p.charge_group_id
         JOIN (SELECT 'dollar' AS rate_kind UNION ALL SELECT 'percentage' UNION ALL SELECT 'algorithm') k
           ON (k.rate_kind = 'dollar' AND p.standard_charge_dollar IS NOT NULL) OR (k.rate_kind = 'percentage' AND p.standard_charge_percentage IS NOT NULL) OR (k.rate_kind = 'algorithm' AND p.standard_charge_algorithm IS NOT NULL)""",
+    # the model again with rows that break every rule of a contract that the views above keep
+    "faulty_charge_item": """
+        SELECT * FROM {charge_item} UNION ALL SELECT * FROM {charge_item} WHERE item_id % 43 = 0
+        UNION ALL SELECT -item_id AS item_id, description, drug_unit, drug_type FROM {charge_item} WHERE item_id % 47 = 0""",
+    "faulty_charge_code": """
+        SELECT * FROM {charge_code} UNION ALL SELECT * FROM {charge_code} WHERE item_id % 53 = 0
+        UNION ALL SELECT item_id + 100000000 AS item_id, code_ordinal, code, code_type FROM {charge_code} WHERE item_id % 59 = 0 AND code_ordinal = 0""",
+    "faulty_charge_group": "SELECT * FROM {charge_group} UNION ALL SELECT * FROM {charge_group} WHERE charge_group_id % 61 = 0",
+    "faulty_payer_rate": """
+        SELECT payer_rate_id, charge_group_id, payer_ordinal, payer_name, plan_name, CASE WHEN charge_group_id % 73 = 0 THEN '' ELSE canonical_payer_plan_key END AS canonical_payer_plan_key, methodology,
+          standard_charge_dollar, standard_charge_percentage, standard_charge_algorithm, allowed_count, median_amount, p10_amount, p90_amount FROM {payer_rate}
+        UNION ALL SELECT * FROM {payer_rate} WHERE charge_group_id % 67 = 0 AND payer_ordinal = 0
+        UNION ALL SELECT concat('orphan of ', payer_rate_id) AS payer_rate_id, charge_group_id + 100000000 AS charge_group_id, payer_ordinal, payer_name, plan_name, canonical_payer_plan_key, methodology,
+          standard_charge_dollar, standard_charge_percentage, standard_charge_algorithm, allowed_count, median_amount, p10_amount, p90_amount FROM {payer_rate} WHERE charge_group_id % 71 = 0 AND payer_ordinal = 0""",
+    "faulty_modifier": "SELECT * FROM {modifier} UNION ALL SELECT * FROM {modifier} WHERE modifier_id = 4",
+    "faulty_modifier_payer": "SELECT * FROM {modifier_payer} UNION ALL SELECT * FROM {modifier_payer} WHERE modifier_payer_id % 5 = 0",
+    "faulty_charge_modifier": """
+        SELECT * FROM {charge_modifier} UNION ALL SELECT * FROM {charge_modifier} WHERE charge_group_id % 89 = 0
+        UNION ALL SELECT charge_group_id + 100000000 AS charge_group_id, modifier_ordinal, modifier_code, canonical_modifier_code FROM {charge_modifier} WHERE charge_group_id % 97 = 0""",
+    "faulty_observation": """
+        SELECT rate_observation_id, CASE WHEN payer_rate_id LIKE '%3:2' THEN concat('gone ', payer_rate_id) ELSE payer_rate_id END AS payer_rate_id, methodology,
+          CASE WHEN payer_rate_id LIKE '%9:0' THEN 'barter' ELSE rate_kind END AS rate_kind, CASE WHEN payer_rate_id LIKE '%1:0' THEN NULL ELSE rate_numeric END AS rate_numeric, rate_algorithm,
+          CASE WHEN payer_rate_id LIKE '%9:1' THEN NOT eligible_for_segmented_comparison ELSE eligible_for_segmented_comparison END AS eligible_for_segmented_comparison
+        FROM {observation} WHERE payer_rate_id NOT LIKE '%7:0'
+        UNION ALL SELECT rate_observation_id, payer_rate_id, methodology, rate_kind, rate_numeric, rate_algorithm, eligible_for_segmented_comparison FROM {observation} WHERE payer_rate_id LIKE '%3:1'""",
     "inspected": """
         SELECT event_id AS file_id, user_id AS publisher_id, CAST(ts AS DATE) AS day, event_type,
           CASE event_type WHEN 'click' THEN 'fetched' WHEN 'view' THEN 'not_modified' WHEN 'purchase' THEN 'http_error' WHEN 'signup' THEN 'too_large' ELSE 'network_error' END AS status,
