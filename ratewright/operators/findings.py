@@ -41,18 +41,27 @@ def dimension_status(files: DataFrame, found: DataFrame, key: str, scan_complete
     return met.select(key, "dimension", status.alias("status"), count("errors"), count("warnings"))
 
 
-# What each fetch status says about retrievability.
+# What each fetch status says about retrievability, and how a refused redirect is told.
 OBSERVED = ["fetched", "not_modified"]
-FINDINGS = ["http_error", "network_error", "content_error", "unsafe_redirect"]
+FINDINGS = ["http_error", "network_error", "content_error"]
+UNSAFE_REDIRECT = "unsafe redirect target:"
 BARRIER_CODES = [401, 403]
 
 
-def retrievability(status: Column, http_status: Column) -> Column:
-    """A struct of status and finding code: the two codes tell a barrier to automation from another failure."""
+def retrievability(status: Column, http_status: Column, attempts: Column | None = None, error: Column | None = None, inspected: Column | None = None, problems: Column | None = None) -> Column:
+    """A struct of status and finding code: the two codes tell a barrier to automation from another failure.
+
+    A success counts as observed if it was ``inspected`` without ``problems`` (where these are told); an invalid address is the publisher's
+    doing if something was asked and redirected where nobody may follow.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    redirected = (status == "invalid_url") & (attempts > 0) & F.coalesce(F.startswith(error, F.lit(UNSAFE_REDIRECT)), no) if attempts is not None and error is not None else no
+    failed = status.isin(FINDINGS) | redirected
+    seen = status.isin(OBSERVED) & (yes if inspected is None else inspected) & (yes if problems is None else ~problems)
     barrier = (status == "http_error") & http_status.isin(BARRIER_CODES)
     return F.struct(
-        F.when(status.isin(OBSERVED), "OBSERVED").when(status.isin(FINDINGS), "FINDINGS").otherwise("NOT_ASSESSED").alias("status"),
-        F.when(barrier, "MRF_AUTOMATION_BARRIER_OBSERVED").when(status.isin(FINDINGS), "MRF_DIRECT_DOWNLOAD_FAILED").alias("code"),
+        F.when(seen, "OBSERVED").when(failed, "FINDINGS").otherwise("NOT_ASSESSED").alias("status"),
+        F.when(barrier, "MRF_AUTOMATION_BARRIER_OBSERVED").when(failed, "MRF_DIRECT_DOWNLOAD_FAILED").alias("code"),
     )
 
 

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import utc_date
 from ..functions.text import media_type, redact_problem, redact_url
-from .findings import ALL_DIMENSIONS, BARRIER_CODES, LOCAL_DIMENSIONS, OBSERVED
+from ..functions.canonical import json_digest
+from .findings import ALL_DIMENSIONS, LOCAL_DIMENSIONS, OBSERVED, retrievability
 
-# Statuses that are the publisher's doing, those that aren't the file's at all, and how a refused redirect is told.
-PUBLISHER_FAILURES = ["http_error", "network_error", "content_error"]
+# Statuses that aren't the file's doing at all, and the kinds of web pages.
 INFRASTRUCTURE = ["cache_error", "cache_miss"]
-UNSAFE_REDIRECT = "unsafe redirect target:"
 WEB_PAGES = ["text/html", "application/xhtml+xml"]
 
 
@@ -26,12 +25,6 @@ class NotComposed(ValueError):
     """Some inspections can't belong to the retrievals they came with; the message says why and how many."""
 
 
-def _failed() -> Column:
-    c = F.col
-    redirected = (c("status") == "invalid_url") & (c("attempts") > 0) & F.coalesce(F.startswith(c("error"), F.lit(UNSAFE_REDIRECT)), F.lit(False))
-    return c("status").isin(PUBLISHER_FAILURES) | redirected
-
-
 def compose(retrievals: DataFrame, inspections: DataFrame) -> DataFrame:
     """Retrievals with their inspection's columns, ``as_of``, ``inspected``, the retrievability and ``refusals``, why the two can't be one assessment."""
     c = F.col
@@ -49,9 +42,8 @@ def compose(retrievals: DataFrame, inspections: DataFrame) -> DataFrame:
         (c("inspected") & unlike("inspected_as_of", "as_of"), "the days of inspection and retrieval differ"),
         (c("inspected") & unlike("inspected_publisher", "publisher_id"), "the inspection is of another publisher"),
     ]
-    status = F.when(success & c("inspected") & ~problems, "OBSERVED").when(~success & _failed(), "FINDINGS").otherwise("NOT_ASSESSED")
-    barrier = (c("status") == "http_error") & c("http_status").isin(BARRIER_CODES)
-    code = F.when(status == "FINDINGS", F.when(barrier, "MRF_AUTOMATION_BARRIER_OBSERVED").otherwise("MRF_DIRECT_DOWNLOAD_FAILED"))
+    told = retrievability(c("status"), c("http_status"), c("attempts"), c("error"), c("inspected"), problems)
+    status, code = told["status"], F.when(told["status"] == "FINDINGS", told["code"])
     return met.withColumns({"retrievability": status, "retrieval_code": code, "note": _note(status), "refusals": F.filter(F.array(*[F.when(test, text) for test, text in reasons]), lambda x: x.isNotNull())})
 
 
@@ -163,5 +155,7 @@ def file_rows(assessed: DataFrame, graded: DataFrame, cards: DataFrame, covered:
         F.concat_ws("/", "publisher_id", "location_id").alias("slug"), "publisher_id", have("publisher_name").alias("publisher_name") if "publisher_name" not in assessed.columns else F.col("publisher_name"), "location_id", redact_url(F.col("requested_url")).alias("requested_url"), F.sha2("requested_url", 256).alias("requested_url_sha256"),
         F.col("attempted_at").alias("observed_at"), "as_of", "content_sha256", "size_bytes", "grade", "dimensions", "coverage", have("items").alias("counts"), have("last_updated_on").alias("last_updated_on"), have("version").alias("template_version"), "lakehouse",
     )
-    identity = F.to_json(F.struct("as_of", "content_sha256", "observed_at", "requested_url_sha256", "slug"))
-    return body.withColumn("assessment_id", F.sha2(identity, 256)).withColumn("assessment_body_sha256", F.sha2(F.to_json(F.struct(*body.columns, "assessment_id")), 256))
+    # sealed as assessment records are: canonical JSON, nulls in it, without the two seals themselves
+    text = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    own = body.columns
+    return body.withColumns({"assessment_id": json_digest(text("as_of", "content_sha256", "observed_at", "requested_url_sha256", "slug")), "assessment_body_sha256": json_digest(text(*own))})

@@ -17,6 +17,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import digest, dump, seal, sealed
 from ..operators import contracts
 
 LAYERS = {
@@ -26,23 +27,8 @@ LAYERS = {
 PARTITIONS = ["publisher_id", "period", "file_version", "run_id"]
 
 
-def canonical(value: object) -> bytes:
-    """JSON with sorted keys and no spare spaces: equal values have equal bytes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
-
-
-def seal(body: Mapping) -> dict:
-    """The record with the digest of everything else in it."""
-    body = {k: v for k, v in body.items() if k != "body_sha256"}
-    return body | {"body_sha256": hashlib.sha256(canonical(body)).hexdigest()}
-
-
-def sealed(record: Mapping) -> bool:
-    return seal(record) == dict(record)
-
-
 def model_fingerprint() -> str:
-    return hashlib.sha256(canonical({"layers": LAYERS, "rules": [f"{r.model}.{r.name}" for r in contracts.RULES], "partitions": PARTITIONS})).hexdigest()
+    return digest({"layers": LAYERS, "rules": [f"{r.model}.{r.name}" for r in contracts.RULES], "partitions": PARTITIONS})
 
 
 def run_id(publisher: str, source_sha256: str, as_of: date) -> str:
@@ -74,7 +60,7 @@ def artifact(df: DataFrame) -> dict:
     """Rows of a table and a digest of them that doesn't depend on their order or files."""
     columns = sorted(df.columns)
     r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")).alias("b")).first()
-    return {"rows": r.n, "digest": hashlib.sha256(canonical([columns, str(r.a), str(r.b)])).hexdigest()}
+    return {"rows": r.n, "digest": digest([columns, str(r.a), str(r.b)])}
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
@@ -111,7 +97,7 @@ def write(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, publi
             tables[model].limit(0).write.mode("append").parquet(f"{root}/{LAYERS[model]}/{model}/{place}")
     _delete(spark, staging)
     manifest = seal({**keys, "as_of": as_of.isoformat(), "source_sha256": source_sha256, "model": model_fingerprint(), "counts": {m: a["rows"] for m, a in kept.items()}, "artifacts": kept})
-    spark.createDataFrame([(canonical(manifest).decode(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifests/{run}")
+    spark.createDataFrame([(dump(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifests/{run}")
     return manifest | {"reused": False}
 
 

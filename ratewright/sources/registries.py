@@ -1,4 +1,4 @@
-"""Registries of one JSON record a line: attempts (fetches and discoveries) and assessments, checked record by record.
+"""Registries of one JSON record a line: attempts (fetches and discoveries), checked record by record; assessments are checked by :mod:`..operators.records`.
 
 A record is never trusted for being there: a line that isn't one, or says two different things, has a ``problem``.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Versions of attempt records that can be read, and of assessments.
+#: Versions of attempt records that can be read.
 ATTEMPT_VERSIONS = [1, 2]
 FETCH, DISCOVERY = "fetch", "discovery"
 ATTEMPT = """version int, domain string, kind string, url string, attempted_at string, problems array<string>,
@@ -47,39 +47,6 @@ def attempts(lines_: DataFrame) -> DataFrame:
     return r.withColumns({"problem": problem, "ok": no(c("fetch.status").isin("fetched", "not_modified")) & no(usable) & empty("problems")})
 
 
-def canonical_json(v: Column) -> Column:
-    """A variant's text with sorted keys and no spare spaces."""
-    return F.to_json(v)
-
-
-def _without(record: Column, *keys: str) -> Column:
-    """Canonical text of an object (a map of variants) less some of its keys."""
-    rest = F.array_sort(F.filter(F.map_keys(record), lambda k: ~k.isin(*keys)))
-    return F.concat(F.lit("{"), F.array_join(F.transform(rest, lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), canonical_json(record[k]))), ","), F.lit("}"))
-
-
-def digest(text: Column) -> Column:
-    return F.sha2(text, 256)
-
-
-def assessments(lines_: DataFrame, version: int = 1) -> DataFrame:
-    """lines (``value``) with ``assessment_id``, ``as_of``, ``publisher_id``, ``status`` and ``problem``: seals, dates and addresses must agree."""
-    from ..functions.dates import utc_date
-
-    r = lines_.withColumn("m", F.from_json("value", "map<string,variant>")).withColumn("v", F.try_parse_json("value"))
-    text = lambda path: F.try_variant_get("v", f"$.{path}", "string")
-    part = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
-    policy = F.from_json(canonical_json(part("retrieval_policy")), "map<string,variant>")
-    problem = _first(
-        (F.col("v").isNull() | F.col("m").isNull(), "not a record"), (F.try_variant_get("v", "$.version", "int") != version, "another version"),
-        (digest(_without(F.col("m"), "assessment_id", "assessment_body_sha256")) != text("assessment_body_sha256"), "the body isn't what was sealed"), (digest(canonical_json(part("retrieval"))) != text("retrieval_evidence_sha256"), "the retrieval isn't what was sealed"),
-        (digest(_without(policy, "fingerprint")) != text("retrieval_policy.fingerprint"), "the policy isn't what was sealed"), (text("subject.requested_url") != text("retrieval.url"), "another address was retrieved"),
-        (text("observed_at") != text("retrieval.attempted_at"), "the times of observation differ"), (utc_date(text("observed_at")).cast("string") != text("as_of"), "the day isn't that of the retrieval"),
-        (text("comparison_scope.as_of") != text("as_of"), "the scope is of another day"), (text("comparison_scope.retrieval_policy_fingerprint") != text("retrieval_policy.fingerprint"), "the scope is of another policy"),
-    )
-    return r.select(*lines_.columns, text("assessment_id").alias("assessment_id"), text("as_of").alias("as_of"), text("subject.publisher.identifier").alias("publisher_id"), text("retrieval.status").alias("status"), problem.alias("problem"))
-
-
 def require_good(records: DataFrame) -> DataFrame:
     bad = records.where("problem is not null").groupBy("problem").count().orderBy("problem").collect()  # as many rows as there are reasons
     if bad:

@@ -1,46 +1,12 @@
 import hashlib
-import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ratewright.operators import sampling, scorecard
-from ratewright.sources import registries as R
 from ratewright.sources import snapshots as S
 
-dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-sha = lambda x: hashlib.sha256(dump(x).encode()).hexdigest()
-
-
-def record(**changes):
-    policy = {"max_bytes": 5000, "user_agent": "ünï", "waits": [1, 2.5]}
-    policy |= {"fingerprint": sha(policy)}
-    retrieval = {"url": "https://a.org/x", "attempted_at": "2026-08-01T23:30:00-02:00", "status": "fetched", "attempts": 1, "error": None}
-    body = {"version": 1, "as_of": "2026-08-02", "observed_at": retrieval["attempted_at"], "retrieval": retrieval, "retrieval_policy": policy, "subject": {"requested_url": "https://a.org/x", "publisher": {"identifier": "p", "name": 'quote " and \\ é'}}, "comparison_scope": {"as_of": "2026-08-02", "retrieval_policy_fingerprint": policy["fingerprint"]}}
-    body |= changes
-    body["retrieval_evidence_sha256"] = sha(body["retrieval"])
-    return body | {"assessment_id": "id", "assessment_body_sha256": sha(body)}
-
-
-def test_assessments_are_checked(spark):
-    good = record()
-    cases = {
-        None: good, "not a record": "{oops", "another version": record(version=2), "the body isn't what was sealed": good | {"as_of": "2026-08-03"}, "another address was retrieved": record(subject={"requested_url": "https://b.org", "publisher": {"identifier": "p"}}),
-        "the times of observation differ": record(observed_at="2026-08-01T00:00:00Z"), "the day isn't that of the retrieval": record(as_of="2026-08-01"), "the scope is of another day": record(comparison_scope=good["comparison_scope"] | {"as_of": "2026-08-01"}),
-        "the policy isn't what was sealed": record(retrieval_policy=good["retrieval_policy"] | {"max_bytes": 1}), "the scope is of another policy": record(comparison_scope={"as_of": "2026-08-02", "retrieval_policy_fingerprint": "x"}),
-    }
-    late = good | {"retrieval": good["retrieval"] | {"attempts": 9}}
-    late["assessment_body_sha256"] = sha({k: v for k, v in late.items() if k not in ("assessment_id", "assessment_body_sha256")})
-    cases["the retrieval isn't what was sealed"] = late
-    lines = spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in cases.values()], "value string")
-    got = [r.problem for r in R.assessments(lines).collect()]
-    assert got == list(cases)
-    assert [tuple(r)[1:5] for r in R.require_good(R.assessments(lines).where("problem is null")).collect()] == [("id", "2026-08-02", "p", "fetched")]
-    with pytest.raises(R.BadRecords, match="not a record: 1"):
-        R.require_good(R.assessments(lines))
-
-
 def test_seeded_sample_is_pythons(spark):
     ids = random.Random(1).sample(range(10**6), 500)
     got = sampling.seeded(spark.createDataFrame([(f"{i:07d}", i) for i in ids], "id string, n long"), "id", 20260819, 48)
