@@ -25,19 +25,25 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 _LOCK = threading.Lock()
-#: How many are within, and the setting before, by session.
-_INSIDE: dict[int, tuple[int, str]] = {}
+#: How many jobs are within, and the settings before, by session.
+_INSIDE: dict[int, tuple[int, dict[str, str]]] = {}
+#: Rows of an Arrow batch that goes to Python, where nobody chose another number: rows are whole texts, and both sides hold a batch at a time.
+BATCH = 1000
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it ends, as its rows are in the shared folder by then; else they stay until the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    with _LOCK:  # threads may be within at once: the last one out puts back what the first one found
-        own = id(spark._jsparkSession)
-        n, was = _INSIDE.get(own, (0, spark.conf.get(key, "false")))
+def _tidy(spark: SparkSession, batch: int | None) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends, as its rows are in the shared folder by then (else they stay until the driver collects its garbage), and batches are small.
+
+    Threads may be within at once: the last one out puts back what the first one found.
+    """
+    cleanup, rows, own = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark._jsparkSession)
+    with _LOCK:
+        n, was = _INSIDE.get(own, (0, {k: spark.conf.get(k, v) for k, v in ((cleanup, "false"), (rows, "10000"))}))
         _INSIDE[own] = n + 1, was
-        spark.conf.set(key, "true")
+        spark.conf.set(cleanup, "true")
+        if batch and was[rows] == "10000":
+            spark.conf.set(rows, str(batch))
     try:
         yield
     finally:
@@ -46,22 +52,23 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
             if n > 1:
                 _INSIDE[own] = n - 1, was
             else:
-                spark.conf.set(key, was)
+                for k, v in was.items():
+                    spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them from there: lineage ends, and later jobs don't compute them again."""
+def cut(df: DataFrame, batch: int | None = BATCH) -> DataFrame:
+    """Write the rows to the shared folder and read them from there: lineage ends, and later jobs don't compute them again. batch: None for Spark's own Arrow batches."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    with _tidy(df.sparkSession):
+    with _tidy(df.sparkSession, batch):
         return df.select("*").checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch: int | None = BATCH) -> DataFrame:
     """As :func:`cut`, but as a Parquet table of the shared folder, which is smaller."""
     path = scratch(df.sparkSession, name)
-    with _tidy(df.sparkSession):
+    with _tidy(df.sparkSession, batch):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -144,7 +144,7 @@ def contexts(counts: DataFrame) -> list[DataFrame]:
             grams_ = grams_.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         kids = F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")))
         table = grams_.groupBy(F.shiftright("key", 8).alias("context")).agg(kids.alias("kids"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        orders.append(stored(table, f"contexts-{size}"))
+        orders.append(stored(table, f"contexts-{size}", None))
     orders.reverse()
     out = [orders[0].withColumns({"left_total": F.lit(0).cast("bigint"), "left_kinds": 256 - F.col("kinds")})]
     for size in range(1, ORDER + 1):
@@ -177,7 +177,7 @@ def log_probabilities(keys: DataFrame, orders: list[DataFrame]) -> DataFrame:
             (F.col("done") | (go & n.isNotNull())).alias("done"),
         )
         if size == ORDER:  # nearly all grams are settled in the longest context; the others go on
-            met = stored(met, "first-order")
+            met = stored(met, "first-order", None)
             settled.append(met.where("done").select("key", "value"))
             rest = met.where("not done")
         else:
@@ -230,13 +230,13 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES)
     rows = docs.select(F.col(key).alias("id"), "text", (~held_out(F.col(key))).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
     blocks = -(-size // block_bytes) + 1
-    counts = stored(tally(rows), "counts")
+    counts = stored(tally(rows), "counts", None)
     words = counts.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == F.lit(int(END)), F.col("n"))).alias("end")).first()
     n, v, end = words.n or 0, words.v, words.end or 0
     orders = contexts(counts)
     of_words = counts.where("key < 0").select("key", F.col("n").cast("double").alias("value"))
     found = log_probabilities(counts.where("key >= 0").select("key"), orders).union(of_words)
-    values = stored(found, "values")
+    values = stored(found, "values", None)
     unstore(found)  # nothing else of the counts and contexts is needed
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
     dealt = dealt.join(F.broadcast(numbers(docs.sparkSession, min(blocks, NUMBERED))), "slot", "left").withColumn("block", F.coalesce("number", "slot")).select("block", "id", "text", "train")
