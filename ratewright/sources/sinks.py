@@ -57,3 +57,23 @@ def write_csv(rows: DataFrame, general: dict[str, str], path: str) -> None:
     """rows: string columns named as the charge header's columns; nulls are blank cells."""
     head = [list(general), list(general.values()), list(rows.columns)]
     rows.mapInArrow(lambda batches: _table(batches, head), "value string").write.text(path)
+
+
+def _bodies(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    for b in batches:
+        names = b.column("name").to_pylist()
+        for name, body in zip(names, b.column("body").to_pylist(), strict=True):
+            aside = f"{root}/.{name}-{uuid.uuid4().hex}"  # a task that runs twice replaces a file by the same
+            with system.open_output_stream(aside) as out:
+                out.write(body or b"")
+            system.move(aside, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names]), pa.array([len(x or b"") for x in b.column("body").to_pylist()], pa.int64())], ["file", "size"])
+
+
+def write_bodies(bodies: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``body`` (binary; null: nothing) as a file of its ``name`` when the result is read: a row of ``file`` and ``size`` for each."""
+    return bodies.select("name", "body").mapInArrow(lambda batches: _bodies(batches, folder), "file string, size bigint")
