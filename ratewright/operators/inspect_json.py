@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import one_line, redact_problem
 from . import normalize as N
 from .contracts import METHODOLOGIES, SETTINGS
 from .findings import check, failing, rollup
@@ -20,6 +21,8 @@ TEXT_FIELDS = ["hospital_name", "last_updated_on", "version"]
 LIST_FIELDS = ["location_name", "hospital_address", "type_2_npi"]
 VERSION = "3.0.0"
 ARRAY = "standard_charge_information"
+#: Characters of a value that a message shows.
+SHOWN = 80
 
 
 def error(condition: Column, code: str, dimension: str, message: str) -> Column:
@@ -30,10 +33,15 @@ def missing(condition: Column, code: str, message: str) -> Column:
     return error(condition, f"CMS_V3_{code}", "completeness", message)
 
 
-def wrong(condition: Column, code: str, message: str) -> Column:
+def wrong(condition: Column, code: str, message: str | Column) -> Column:
     return error(condition, f"CMS_V3_{code}", "conformance", message)
 
 
+def with_value(message: str, value: Column) -> Column:
+    """The message and the value that it is about, as JSON of one line, short and fit for publication; the roll-up keeps that of the first place."""
+    return F.concat(F.lit(f"{message}: "), F.coalesce(redact_problem(one_line(F.to_json(value)), SHOWN), F.lit("absent")))
+
+
 def no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
@@ -74,8 +82,8 @@ def file_checks(files: DataFrame, as_of: date) -> DataFrame:
     complete = F.col("broken").isNull()
     checks = [wrong(~_field_ok(f), f"ENVELOPE_{f.upper()}_MISSING", f"required envelope field {f} is absent or unusable") for f in [*TEXT_FIELDS, *LIST_FIELDS, "license_information", "attestation"]]
     checks += [
-        wrong(version.isNotNull() & (version != VERSION), "VERSION_UNEXPECTED", f"the template version isn't {VERSION}"),
-        wrong(N.usable(raw_day) & day.isNull(), "LAST_UPDATED_ON_INVALID", "last_updated_on isn't a date of the form YYYY-MM-DD"),
+        wrong(version.isNotNull() & (version != VERSION), "VERSION_UNEXPECTED", with_value(f"the template version isn't {VERSION}", v("version"))),
+        wrong(N.usable(raw_day) & day.isNull(), "LAST_UPDATED_ON_INVALID", with_value("last_updated_on isn't a date of the form YYYY-MM-DD", raw_day)),
         check(_object(v("attestation")) & (confirmed == F.lit(False)), "CMS_V3_ATTESTATION_NOT_CONFIRMED", "conformance", "WARNING", "the attestation is explicitly not confirmed"),
         wrong(F.col("elements").isNull() & (F.col("items") + F.col("bad_items") == 0), f"ENVELOPE_{ARRAY.upper()}_MISSING", f"there is no {ARRAY} array"),
         missing(complete & (F.col("elements") >= 0) & (F.col("items") == 0), f"{ARRAY.upper()}_EMPTY", "the scan completed and saw no item"),
@@ -103,10 +111,10 @@ def _group_checks() -> list[Column]:
     payers = N.elements(g("payers_information"))
     dollars = F.coalesce(F.exists(payers, lambda p: N.present(N.field(p, "$.standard_charge_dollar"))), F.lit(False))
     return [
-        wrong(~is_object, "CHARGE_GROUP_NOT_OBJECT", "a charge group isn't an object"),
-        wrong(is_object & no(F.when(N.kind_of(g("setting")) == "STRING", F.try_variant_get("g", "$.setting", "string")).isin(SETTINGS)), "SETTING_INVALID", "a setting isn't one of the accepted values"),
+        wrong(~is_object, "CHARGE_GROUP_NOT_OBJECT", with_value("a charge group isn't an object", F.col("g"))),
+        wrong(is_object & no(F.when(N.kind_of(g("setting")) == "STRING", F.try_variant_get("g", "$.setting", "string")).isin(SETTINGS)), "SETTING_INVALID", with_value("a setting isn't one of the accepted values", g("setting"))),
         missing(is_object & g("gross_charge").isNull() & g("discounted_cash").isNull() & (_size(payers) == 0), "CHARGE_VALUE_MISSING", "a charge group has no charge of any kind"),
-        wrong(is_object & N.usable(g("payers_information")) & (_size(payers) == 0), "PAYERS_INFORMATION_INVALID", "payers_information is neither absent, null nor a list with entries"),
+        wrong(is_object & N.usable(g("payers_information")) & (_size(payers) == 0), "PAYERS_INFORMATION_INVALID", with_value("payers_information is neither absent, null nor a list with entries", g("payers_information"))),
         *[missing(is_object & dollars & g(f).isNull(), f"DOLLAR_RANGE_{f.upper()}_MISSING", f"a group with dollar rates has no {f}") for f in ("minimum", "maximum")],
     ]
 
@@ -121,9 +129,9 @@ def _payer_checks() -> list[Column]:
     no_notes = ~_is_text(p("additional_payer_notes"))
     zero = F.coalesce(count == "0", F.lit(False))
     return [
-        wrong(~is_object, "PAYER_RATE_NOT_OBJECT", "a payer rate isn't an object"),
+        wrong(~is_object, "PAYER_RATE_NOT_OBJECT", with_value("a payer rate isn't an object", F.col("p"))),
         *[missing(is_object & ~_is_text(p(f)), f"PAYER_{f.upper()}_MISSING", f"a payer rate has no usable {f}") for f in ("payer_name", "plan_name")],
-        wrong(is_object & no(method.isin(METHODOLOGIES)), "METHODOLOGY_INVALID", "a methodology isn't one of the accepted values"),
+        wrong(is_object & no(method.isin(METHODOLOGIES)), "METHODOLOGY_INVALID", with_value("a methodology isn't one of the accepted values", p("methodology"))),
         missing(is_object & (method == "other") & no_notes, "OTHER_METHODOLOGY_NOTES_MISSING", "methodology 'other' needs notes"),
         missing(is_object & ~kinds[0] & ~kinds[1] & ~kinds[2], "PAYER_CHARGE_MISSING", "a payer rate states no charge"),
         missing(derived & ~_is_text(p("count")), "DERIVED_RATE_COUNT_MISSING", "a derived rate has no count"),

@@ -94,6 +94,10 @@ def dimensions(assessed: DataFrame, found: DataFrame) -> DataFrame:
     return met.select("file_id", "dimension", status.alias("status"), *map(local, ("errors", "warnings", "infos")))
 
 
+#: The letters that :func:`grades` gives, and when; a comparison publishes them with their digest.
+LETTERS = {"by_failed_dimensions": ["A", "C", "D", "F", "F"], "warned": "B", "not_read": "F", "not_retrievable": "F", "not_known": "NOT_GRADED"}
+
+
 def grades(assessed: DataFrame, cards: DataFrame, unread: str = "the charge table") -> DataFrame:
     """file_id, grade, reason, error_dimensions (in their fixed order), warning_findings and info_findings. cards: of :func:`dimensions`."""
     c = F.col
@@ -106,9 +110,10 @@ def grades(assessed: DataFrame, cards: DataFrame, unread: str = "the charge tabl
     met = assessed.join(per, "file_id")
     seen = (c("retrievability") == "OBSERVED") & c("scan_completed")
     n = F.size("failed")
+    by_errors = F.create_map(*[F.lit(x) for k, letter in enumerate(LETTERS["by_failed_dimensions"]) for x in (k, letter)])
     letter = (
-        F.when(c("retrievability") == "FINDINGS", "F").when(c("retrievability") == "NOT_ASSESSED", "NOT_GRADED").when(~c("scan_completed"), "F")
-        .when(n == 0, F.when(c("warned") == 0, "A").otherwise("B")).when(n == 1, "C").when(n == 2, "D").otherwise("F")
+        F.when(c("retrievability") == "FINDINGS", LETTERS["not_retrievable"]).when(c("retrievability") == "NOT_ASSESSED", LETTERS["not_known"]).when(~c("scan_completed"), LETTERS["not_read"])
+        .when((n == 0) & (c("warned") > 0), LETTERS["warned"]).otherwise(by_errors[n])
     )
     kind = media_type(c("content_type"))
     declared = F.when(F.coalesce(kind, F.lit("")) == "", "").when(kind.isin(WEB_PAGES), F.concat(F.lit("; the server called it "), kind, F.lit(", a web page"))).otherwise(F.concat(F.lit("; the server called it "), kind))

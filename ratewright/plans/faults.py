@@ -132,11 +132,16 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+def without_faulty_items() -> str:
+    """Documents whose items have no faults."""
+    return ", ".join(map(str, (*_NO_ITEMS, _NO_PAYERS)))
+
+
 def json_sql() -> str:
     items = [(k, *f) for k, (_, found) in JSON_ITEMS.items() for f in found]
     documents = [(k, *f) for k, found in JSON_DOCUMENTS.items() for f in found]
     several = [(k, "JSON_ARRAY_ITEM_PROBLEM", _CONFORM, "ERROR", 0) for k in _BAD] + [(k, "INTERPRETABILITY_PERCENTAGE_RATES", "interpretability", "INFO", 1) for k in _PERCENTAGES] + [(k, "INTERPRETABILITY_ALGORITHM_RATES", "interpretability", "INFO", 1) for k in _ALGORITHMS]
-    without = ", ".join(map(str, (*_NO_ITEMS, _NO_PAYERS)))
+    without = without_faulty_items()
     return f"""WITH l AS (SELECT l_suppkey AS supplier, l_suppkey % {DOCUMENTS} AS e, {ITEM_FAULT} AS f FROM {{lineitem}})
     SELECT supplier, code, dimension, severity, count(*) AS occurrences FROM l JOIN (VALUES {_values(items)}) x(k, code, dimension, severity) ON f = k WHERE e NOT IN ({without}) GROUP BY ALL
     UNION ALL SELECT DISTINCT supplier, code, dimension, severity, 1 FROM l JOIN (VALUES {_values(several)}) x(k, code, dimension, severity, whole) ON f = k WHERE e NOT IN ({without}) AND NOT (whole = 1 AND e = {_BROKEN})

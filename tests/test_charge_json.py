@@ -124,6 +124,19 @@ def test_defects(read):
     }
 
 
+def test_messages_show_the_first_value(read):
+    doc = document(version="2.0", last_updated_on=["https://user:pw@a.org/x?key=1", "/home/me/f"])
+    group = doc["standard_charge_information"][1]["standard_charges"][0]
+    doc["standard_charge_information"] = [{"description": "a", "code_information": [{"code": "1", "type": "CPT"}], "standard_charges": [group | {"setting": x}]} for x in ("abroad\n again", None, "x" * 500)] + [{"description": "b", "code_information": [{"code": "1", "type": "CPT"}], "standard_charges": [[1, {"a": 2}], "later"]}]
+    got = {r.code: r.message for r in inspect_json.inspect(read(doc), date(2026, 8, 9)).collect()}
+    assert got["CMS_V3_SETTING_INVALID"].endswith(': "abroad\\n again"') and got["CMS_V3_CHARGE_GROUP_NOT_OBJECT"].endswith(': [1,{"a":2}]') and got["CMS_V3_VERSION_UNEXPECTED"].endswith(': "2.0"')
+    assert "pw" not in got["CMS_V3_LAST_UPDATED_ON_INVALID"] and "key" not in got["CMS_V3_LAST_UPDATED_ON_INVALID"] and "/home" not in got["CMS_V3_LAST_UPDATED_ON_INVALID"]
+    long = document()
+    long["standard_charge_information"][0]["standard_charges"][0]["setting"] = "y" * 500
+    [message] = [r.message for r in inspect_json.inspect(read(long), date(2026, 8, 9)).collect() if r.code == "CMS_V3_SETTING_INVALID"]
+    assert len(message) < 150
+
+
 def test_files_are_told_apart(read):
     old, future, none = document(last_updated_on="2025-08-08"), document(last_updated_on="2026-08-10"), document(standard_charge_information=[])
     rows = read(old, future, none, b'\xef\xbb\xbf{"standard_charge_information": [42', json.dumps({"x": 1}).encode())
