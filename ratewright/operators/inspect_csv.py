@@ -106,8 +106,8 @@ def err(condition: Column, code: str, dimension: str, message: str) -> Column:
     return check(condition, f"CMS_CSV_{code}", dimension, "ERROR", message)
 
 
-def _entry_checks() -> list[Column]:
-    e = lambda n: F.col(f"entry.{n}")
+def _entry_checks(entry: Column) -> list[Column]:
+    e = lambda n: entry[n]
     derived = filled(e("percentage")) | filled(e("algorithm"))
     charged = derived | filled(e("dollar"))
     method = folded(e("methodology"))
@@ -117,10 +117,10 @@ def _entry_checks() -> list[Column]:
     return [
         err(charged & ~(filled(method) & (named | F.col("wide"))), "PAYER_CONTEXT_MISSING", "completeness", "a charge without payer, plan or methodology"),
         err(~F.col("wide") & (filled(e("payer")) | filled(e("plan"))) & ~charged, "PAYER_WITHOUT_CHARGE", "completeness", "a payer or plan without a charge"),
-        err((method == "other") & ~F.col("entry.notes"), "OTHER_METHODOLOGY_NOTES_MISSING", "completeness", "methodology 'other' needs a note"),
+        err((method == "other") & ~entry["notes"], "OTHER_METHODOLOGY_NOTES_MISSING", "completeness", "methodology 'other' needs a note"),
         err(derived & ~filled(e("count")), "DERIVED_RATE_COUNT_MISSING", "completeness", "a derived rate has no count"),
         err(derived & filled(e("count")) & ~zero & ~quantiles, "DERIVED_RATE_PERCENTILES_MISSING", "completeness", "a derived rate lacks an allowed amount"),
-        err(derived & zero & ~F.col("entry.notes"), "ZERO_COUNT_NOTES_MISSING", "completeness", "a derived rate with count 0 needs a note"),
+        err(derived & zero & ~entry["notes"], "ZERO_COUNT_NOTES_MISSING", "completeness", "a derived rate with count 0 needs a note"),
         err(filled(e("count")) & ~count_ok(e("count")), "COUNT_VALUE_INVALID", "conformance", "a count isn't one of the accepted forms"),
         err(filled(method) & ~method.isin(METHODOLOGIES), "METHODOLOGY_INVALID", "conformance", "a methodology isn't one of the accepted values"),
     ]
@@ -231,20 +231,27 @@ def inspect(rows: DataFrame, as_of: date, attestation: str = ATTESTATION_BEGINS)
         "entries": F.when(F.col("wide"), F.transform("header.combos", wide_entry)).otherwise(F.array(tall_entry)),
     })
     numbers = F.concat(F.array(*map(_named, NUMERIC)), F.flatten(F.transform("entries", lambda e: F.array(*[e[short[n]] for n in ENTRY_NUMERIC]))))
+    f = lambda e, n: filled(e[n])
     # a combination whose cells are all blank can't fail a check
-    entry = body.select("file_id", "row_index", "wide", F.explode("entries").alias("entry")).where(F.exists(F.array(*[F.col(f"entry.{s}") for s in ("payer", "plan", *short.values())]), filled))
-    parts = [
-        failing(body, _row_checks(), "file_id", "row_index"),
-        failing(entry, _entry_checks(), "file_id", "row_index"),
-        failing(body.select("file_id", "row_index", F.explode("pairs").alias("p")), [err(filled(F.col("p.type")) & ~folded(F.col("p.type")).isin([x.lower() for x in CODE_TYPES]), "CODE_TYPE_INVALID", "conformance", "a code type isn't one of the accepted values")], "file_id", "row_index"),
-        failing(body.select("file_id", "row_index", F.explode(numbers).alias("x")), [err(filled(F.col("x")) & ~positive(F.col("x")), "NUMERIC_VALUE_INVALID", "conformance", "a number isn't positive or isn't a number")], "file_id", "row_index"),
-    ]
-    f = lambda s: filled(F.col(f"entry.{s}"))
-    seen = entry.groupBy("file_id").agg(
-        F.count(F.when(f("dollar") | f("percentage") | f("algorithm") | f("payer") | f("plan"), 1)).alias("payers"), F.count(F.when(f("percentage"), 1)).alias("percentages"), F.count(F.when(f("algorithm"), 1)).alias("algorithms")
+    body = body.withColumn("entries", F.filter("entries", lambda e: F.exists(F.array(*[e[s] for s in ("payer", "plan", *short.values())]), filled)))
+    some = lambda checks: F.filter(F.array(*checks), lambda x: x.isNotNull())
+    each = F.concat(some(_row_checks()), F.flatten(F.transform("entries", lambda e: some(_entry_checks(e)))))
+    counted = lambda n, code, message: F.struct(F.lit(f"CMS_CSV_{code}").alias("code"), F.lit("conformance").alias("dimension"), F.lit("ERROR").alias("severity"), F.lit(message).alias("message"), n.cast("bigint").alias("n"))
+    types = F.size(F.filter("pairs", lambda p: filled(p["type"]) & ~folded(p["type"]).isin([x.lower() for x in CODE_TYPES])))
+    wrong = F.size(F.filter(numbers, lambda x: filled(x) & ~positive(x)))
+    found = F.concat(
+        F.transform(each, lambda x: F.struct(x["code"].alias("code"), x["dimension"].alias("dimension"), x["severity"].alias("severity"), x["message"].alias("message"), F.lit(1).cast("bigint").alias("n"))),
+        F.filter(F.array(counted(types, "CODE_TYPE_INVALID", "a code type isn't one of the accepted values"), counted(wrong, "NUMERIC_VALUE_INVALID", "a number isn't positive or isn't a number")), lambda x: x["n"] > 0),
     )
+    paid = lambda e: f(e, "dollar") | f(e, "percentage") | f(e, "algorithm") | f(e, "payer") | f(e, "plan")
+    size = lambda test: F.size(F.filter("entries", test))
+    # every row is judged in one pass, of which the findings and a few numbers are kept
+    light = body.select("file_id", "row_index", found.alias("found"), size(paid).alias("payers"), size(lambda e: f(e, "percentage")).alias("percentages"), size(lambda e: f(e, "algorithm")).alias("algorithms"))
+    kept = sinks.scratch(rows.sparkSession, "csv-findings")
+    light.write.parquet(kept)
+    light = rows.sparkSession.read.schema(light.schema).parquet(kept)
+    seen = light.groupBy("file_id").agg(*[F.sum(c).alias(c) for c in ("payers", "percentages", "algorithms")])
     files = heads.join(seen, "file_id", "left").na.fill(0, ["payers", "percentages", "algorithms"])
-    found = _file_checks(files, as_of, attestation).withColumn("row_index", F.lit(-1).cast("bigint"))
-    for p in parts:
-        found = found.unionByName(p.withColumn("n", F.lit(1).cast("bigint")))
-    return rollup(found, "file_id", position=["row_index", "rule"], occurrences="n")
+    of_files = _file_checks(files, as_of, attestation).withColumn("row_index", F.lit(-1).cast("bigint"))
+    of_rows = light.where(F.size("found") > 0).select("file_id", "row_index", F.posexplode("found").alias("rule", "f")).select("file_id", "row_index", "rule", "f.*")
+    return rollup(of_files.unionByName(of_rows), "file_id", position=["row_index", "rule"], occurrences="n")

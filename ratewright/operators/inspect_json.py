@@ -1,7 +1,7 @@
 """Row-level checks of JSON charge documents, rolled up to findings.
 
-Each level of the document (file, item, code, charge group, payer rate) is unfolded once from VARIANT and checked by one array of
-conditions; a missing key and a null are told apart. Messages of a code are those of its first place in the document.
+Each payload is parsed once and unfolded to its payer rates; every level (item, code, charge group, payer rate) is checked by one array of
+conditions at its first row, and what was found is kept before files are judged. A missing key and a null are told apart. Messages of a code are those of its first place in the document.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import one_line, redact_problem
+from ..sources import sinks
 from . import normalize as N
 from .contracts import METHODOLOGIES, SETTINGS
 from .findings import check, failing, rollup
@@ -100,8 +101,7 @@ def file_checks(files: DataFrame, as_of: date) -> DataFrame:
     return failing(files, checks, "file_id")
 
 
-def _code_checks() -> list[Column]:
-    c = F.col("c")
+def _code_checks(c: Column) -> list[Column]:
     return [missing(~_is_text(N.field(c, "$.code")), "CODE_VALUE_MISSING", "a code has no usable value"), missing(~_is_text(N.field(c, "$.type")), "CODE_TYPE_MISSING", "a code has no usable type")]
 
 
@@ -140,6 +140,19 @@ def _payer_checks() -> list[Column]:
     ]
 
 
+_FOUND = "array<struct<phase:int,a:int,b:int,rule:int,code:string,dimension:string,severity:string,message:string>>"
+
+
+def _nothing() -> Column:
+    return F.array().cast(_FOUND)
+
+
+def placed(checks: list[Column], phase: int, a: Column, b: Column) -> Column:
+    """The checks that fail, with their place in the item."""
+    failed = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return F.transform(failed, lambda x, k: F.struct(F.lit(phase).alias("phase"), a.cast("int").alias("a"), b.cast("int").alias("b"), k.alias("rule"), x["code"].alias("code"), x["dimension"].alias("dimension"), x["severity"].alias("severity"), x["message"].alias("message"))).cast(_FOUND)
+
+
 def inspect(rows: DataFrame, as_of: date) -> DataFrame:
     """Findings of every file among rows of ``charge_json`` (with a ``file_id``): code, dimension, severity, message, occurrences."""
     items = N.items(rows)
@@ -149,23 +162,24 @@ def inspect(rows: DataFrame, as_of: date) -> DataFrame:
         missing(_size(N.elements(codes_value)) == 0, "ITEM_CODE_INFORMATION_MISSING", "an item has no codes"),
         missing(_size(N.elements(charges_value)) == 0, "ITEM_STANDARD_CHARGES_MISSING", "an item has no charges"),
     ]
-    codes = items.select("file_id", "item_ordinal", F.posexplode(N.elements(codes_value)).alias("k", "c"))
-    groups = N.groups(items)
-    payers = N.payers(groups)
-    none = F.lit(-1)
-    levels = [
-        failing(items, item_checks, "file_id", "item_ordinal").withColumns({"phase": F.lit(0), "a": none, "b": none}),
-        failing(codes, _code_checks(), "file_id", "item_ordinal", "k").withColumns({"phase": F.lit(1), "a": F.col("k"), "b": none}).drop("k"),
-        failing(groups, _group_checks(), "file_id", "item_ordinal", "group_ordinal").withColumns({"phase": F.lit(2), "a": F.col("group_ordinal"), "b": none}).drop("group_ordinal"),
-        failing(payers, _payer_checks(), "file_id", "item_ordinal", "group_ordinal", "payer_ordinal").withColumns({"phase": F.lit(2), "a": F.col("group_ordinal"), "b": F.col("payer_ordinal")}).drop("group_ordinal", "payer_ordinal"),
-    ]
-    seen = lambda kind: F.count(F.when(N.present(N.field("p", f"$.standard_charge_{kind}")), 1)).alias(f"{kind}_rates")
-    rates = payers.groupBy("file_id").agg(F.count("*").alias("payer_rates"), seen("percentage"), seen("algorithm"))
+    # each payload is parsed once and unfolded to its payers; an item is checked at its first row, a group at its first payer's
+    unfolded = items.select("file_id", "item_ordinal", "v", F.posexplode_outer(N.elements(charges_value)).alias("gk", "g"))
+    unfolded = unfolded.select("*", F.posexplode_outer(N.elements(N.field("g", "$.payers_information"))).alias("pk", "p"))
+    first_payer, none = F.coalesce(F.col("pk"), F.lit(0)) == 0, F.lit(-1)
+    found = F.concat(
+        F.when(first_payer & (F.coalesce(F.col("gk"), F.lit(0)) == 0), F.concat(placed(item_checks, 0, none, none), F.flatten(F.transform(F.coalesce(N.elements(codes_value), F.array().cast("array<variant>")), lambda c, k: placed(_code_checks(c), 1, k, none))))).otherwise(_nothing()),
+        F.when(first_payer & F.col("gk").isNotNull(), placed(_group_checks(), 2, F.col("gk"), none)).otherwise(_nothing()), F.when(F.col("pk").isNotNull(), placed(_payer_checks(), 2, F.col("gk"), F.col("pk"))).otherwise(_nothing()),
+    )
+    stated = lambda kind: N.present(N.field("p", f"$.standard_charge_{kind}")).alias(kind)
+    light = unfolded.select("file_id", "item_ordinal", found.alias("found"), F.col("pk").isNotNull().alias("payer"), stated("percentage"), stated("algorithm"))
+    kept = sinks.scratch(rows.sparkSession, "json-findings")
+    light.write.parquet(kept)
+    light = rows.sparkSession.read.schema(light.schema).parquet(kept)
+    rates = light.groupBy("file_id").agg(F.count(F.when(F.col("payer"), 1)).alias("payer_rates"), *[F.count(F.when(F.col(k), 1)).alias(f"{k}_rates") for k in ("percentage", "algorithm")])
     files = N.envelope(rows).join(rates, "file_id", "left").na.fill(0, ["payer_rates", "percentage_rates", "algorithm_rates"])
-    found = file_checks(files, as_of).withColumns({"item_ordinal": F.lit(-1).cast("bigint"), "phase": F.lit(3), "a": none, "b": none})
-    for level in levels:
-        found = found.unionByName(level)
-    return rollup(found, "file_id", position=["item_ordinal", "phase", "a", "b", "rule"])
+    of_files = file_checks(files, as_of).withColumns({"item_ordinal": F.lit(-1).cast("bigint"), "phase": F.lit(3), "a": none, "b": none})
+    of_items = light.where(F.size("found") > 0).select("file_id", "item_ordinal", F.explode("found").alias("f")).select("file_id", "item_ordinal", "f.*")
+    return rollup(of_files.unionByName(of_items), "file_id", position=["item_ordinal", "phase", "a", "b", "rule"])
 
 
 def counters(rows: DataFrame) -> DataFrame:
