@@ -290,11 +290,12 @@ def runs(patterns: list[tuple[Pattern, int]]) -> list[tuple[int, int, int, int,
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id", "piece"), max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:
-    """Give every row with a ``length`` of 1 to ``capacity`` its sequence_id and offset."""
+    """Give every row with a ``length`` of 1 to ``capacity`` its sequence_id and offset, and say how good the whole is: n_sequences, and least_sequences, which no packing can undercut (equal: proven the fewest)."""
     spark = items.sparkSession
     items = cut(items)  # two jobs need the same rows
     sizes = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    table = spark.createDataFrame(runs(plan(sizes, capacity, max_nodes, max_fillings)) or [(0, 0, 0, 0, 1, 0)], "_size bigint, _low bigint, _high bigint, _sequence bigint, _each bigint, _first bigint")
+    found = search(sizes, capacity, max_nodes, max_fillings)
+    table = spark.createDataFrame(runs(found.patterns) or [(0, 0, 0, 0, 1, 0)], "_size bigint, _low bigint, _high bigint, _sequence bigint, _each bigint, _first bigint")
     salts = max(16, -(-sum(sizes.values()) // RANKED))
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -303,11 +304,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("
     # the plan has a few rows for each length, whatever the number of pieces
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("_size")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     k = F.col("_rank") - F.col("_low")
-    return placed.select(*items.columns, (F.col("_sequence") + F.floor(k / F.col("_each"))).cast("bigint").alias("sequence_id"), (F.col("_first") + k % F.col("_each") * F.col("length")).cast("bigint").alias("offset"))
+    whole = [F.lit(n).cast("bigint").alias(c) for n, c in ((found.sequences, "n_sequences"), (found.at_least, "least_sequences"))]
+    return placed.select(*items.columns, (F.col("_sequence") + F.floor(k / F.col("_each"))).cast("bigint").alias("sequence_id"), (F.col("_first") + k % F.col("_each") * F.col("length")).cast("bigint").alias("offset"), *whole)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> DataFrame:
-    """One row per piece: the key, piece, start, length, ids_crc32, sequence_id, offset, and the ids if wanted."""
+    """One row per piece: the key, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences, and the ids if wanted."""
     out = pack(pieces(docs, key, tokenizer, capacity, with_ids), capacity, max_nodes=max_nodes, max_fillings=max_fillings)
     return out.withColumnRenamed("id", key)
 

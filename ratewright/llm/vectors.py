@@ -22,6 +22,7 @@ from .common import stored
 SCALE = 256
 HELD = 1 << 20
 LEAST = np.iinfo(np.int64).min
+TASKS = 20_000
 TILE = "n int, dims int, low bigint, high bigint, norm double, ids binary, nulls binary, labels binary, data binary"
 
 
@@ -104,7 +105,9 @@ def meet(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each tile of queries (columns q_*) with each tile of candidates (c_*): queries are dealt out to every part, candidates move once."""
     parts = candidates.agg(F.max("part")).first()[0]
     spread = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0), F.lit(-1 if parts is None else parts), F.lit(1)) if parts is not None else F.array().cast("array<int>")).alias("q_to"))
-    return candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns]).join(spread, F.col("c_part") == F.col("q_to"))
+    # dealt out by number, not by bytes: tiles are small and scoring them is the work
+    dealt = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns]).repartition(min(TASKS, (parts or 0) + 1), "c_part")
+    return dealt.join(spread, F.col("c_part") == F.col("q_to"))
 
 
 class Tile:

@@ -108,6 +108,7 @@ def check(spark, docs):
             assert offset == at
             at += length
         assert at <= 2048
+    assert {r.n_sequences for r in got} <= {len(by)} and all(r.least_sequences <= r.n_sequences for r in got)
     return got, by
 
 
@@ -123,4 +124,4 @@ def test_edges(spark):
     assert P.pack_documents(docs.limit(0)).count() == 0
     clash = docs.selectExpr("coalesce(doc_id, -1) as id", "0 as piece", "cast(7 as bigint) as length", "1 as size", "2 as rank", "3 as low", "4 as own", "5 as before", "6 as salt", "7 as n")
     got = P.pack(clash, 20)
-    assert got.columns == [*clash.columns, "sequence_id", "offset"] and Counter(r.sequence_id for r in got.collect()) == {k: 2 for k in range(docs.count() // 2)}
+    assert got.columns == [*clash.columns, "sequence_id", "offset", "n_sequences", "least_sequences"] and Counter(r.sequence_id for r in got.collect()) == {k: 2 for k in range(docs.count() // 2)}
