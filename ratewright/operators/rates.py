@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 NOT_DOLLARS = {"percentage": "percentage rates are not dollar amounts", "algorithm": "algorithmic rates are not stated dollar amounts"}
 
 
@@ -106,8 +108,13 @@ def safe_median(dollars: DataFrame, *segment: str, least_publishers: int = 2) ->
     counts of different amounts, in two levels (blocks of amounts by their leading digits, then within the block that holds the middle).
     """
     value = F.col("rate_numeric").cast("double")
-    shape = dollars.groupBy(*segment).agg(F.countDistinct("publisher_id").alias("publisher_count"), F.count("*").alias("rate_count"), F.count(value).alias("stated_")).where(F.col("publisher_count") >= least_publishers)
-    amounts = dollars.where(value.isNotNull()).groupBy(*segment, value.alias("value_")).agg(F.count("*").alias("n_"))
+    # the input, often a star join, is read once: equal amounts of a publisher are one row from here on
+    counted = dollars.groupBy(*segment, "publisher_id", value.alias("value_")).agg(F.count("*").alias("n_"))
+    kept = sinks.scratch(dollars.sparkSession, "amounts")
+    counted.write.parquet(kept)
+    counted = dollars.sparkSession.read.schema(counted.schema).parquet(kept)
+    shape = counted.groupBy(*segment).agg(F.countDistinct("publisher_id").alias("publisher_count"), F.sum("n_").alias("rate_count"), F.coalesce(F.sum(F.when(F.col("value_").isNotNull(), F.col("n_"))), F.lit(0)).alias("stated_")).where(F.col("publisher_count") >= least_publishers)
+    amounts = counted.where("value_ is not null").groupBy(*segment, "value_").agg(F.sum("n_").alias("n_"))
     amounts = amounts.withColumn("block_", F.floor(F.col("value_") / F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.greatest(F.abs("value_"), F.lit(1.0)))) - 1))) * F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.greatest(F.abs("value_"), F.lit(1.0)))) - 1)))
     before = Window.partitionBy(*segment).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
     blocks = amounts.groupBy(*segment, "block_").agg(F.sum("n_").alias("in_block_")).withColumn("before_", F.coalesce(F.sum("in_block_").over(before), F.lit(0)))
