@@ -240,6 +240,9 @@ _ONLY_TALL = (14,)
 _CSV_PERCENTAGES, _CSV_ALGORITHMS = (16, 17, 18, 23), (24,)
 #: Wide documents; those of tables without rows; of rows without payers; and what each document's fault is.
 _WIDES, _PAYERLESS = (0, 44, 46, 47, 48), 45
+#: A document in Latin-1, and one that breaks off at a cell that is too long.
+_LATIN, _CSV_BROKEN = 41, 42
+CELL_BYTES = 100_000
 _TALL_COLUMNS = [c for c in _TALL_ROW if not c.startswith("code|")]
 _COLUMNS = list(enumerate(_TALL_COLUMNS, 10))
 _ROWLESS = (*(k for k, _ in _COLUMNS), 36, 37, 38, 39, 43, 44)
@@ -258,7 +261,7 @@ CSV_DOCUMENTS: dict[int, list[Finding]] = (
     | {
         30: _csv(_CONFORM, "VERSION_UNEXPECTED"), 31: _csv(_CONFORM, "LAST_UPDATED_ON_INVALID") + _UNDATED, 32: _csv(_CONFORM, "PLACEHOLDER_NOT_REPLACED", "GENERAL_LICENSE_NUMBER_MISSING"), 33: _of(_CONFORM, "CMS_CSV_ATTESTATION_NOT_CONFIRMED", severity="WARNING"),
         34: _of(_CONFORM, "CMS_CSV_UTF8_BOM_PRESENT", severity="INFO"), 35: _SOON, 36: _csv(_CONFORM, "COLUMN_CODE_PAIR_MISSING") + _EMPTY, 37: _csv(_CONFORM, "CHARGE_HEADER_ROW_MISSING"), 38: _csv(_CONFORM, "LAYOUT_AMBIGUOUS") + _EMPTY, 39: _csv(_CONFORM, "PLACEHOLDER_NOT_REPLACED") + _EMPTY,
-        40: _STALE, 43: _csv(_CONFORM, "HEADER_NOT_UNIQUE") + _EMPTY, 44: _csv(_CONFORM, "WIDE_PAYER_HEADER_SET_INCOMPLETE") + _EMPTY, 45: _of("interpretability", "CSV_INTERPRETABILITY_NO_PAYER_RATES", severity="WARNING"),
+        40: _STALE, _LATIN: _of(_CONFORM, "CMS_CSV_ENCODING_NOT_UTF8", severity="INFO"), _CSV_BROKEN: _csv(_CONFORM, "STREAM_INCOMPLETE"), 43: _csv(_CONFORM, "HEADER_NOT_UNIQUE") + _EMPTY, 44: _csv(_CONFORM, "WIDE_PAYER_HEADER_SET_INCOMPLETE") + _EMPTY, 45: _of("interpretability", "CSV_INTERPRETABILITY_NO_PAYER_RATES", severity="WARNING"),
     }
 )
 
@@ -294,13 +297,13 @@ def _csv_heads() -> dict[int, str]:
     out |= {
         30: head(_GENERAL | {"version": "2.0.0"}), 31: head(_GENERAL | {"last_updated_on": "March 2026"}), 32: head({("license_number|[state]" if x == "license_number|OR" else x): v for x, v in _GENERAL.items()}), 33: head(_GENERAL | {_ATTEST: "FALSE"}), 34: head(before="﻿"),
         35: head(_GENERAL | {"last_updated_on": "1/1/2027"}), 36: head(columns=[c for c in tall if not c.endswith("|type")]), 37: head(columns=[]), 38: head(columns=[*tall, *(_wide(c) for c in _PAYER)]), 39: head(columns=[*tall, "code|[i]"]), 40: head(_GENERAL | {"last_updated_on": "8/8/2025"}),
-        43: head(columns=[*tall, "Modifiers"]), 44: head(columns=[c for c in whole if not c.startswith("count|")]),
+        _LATIN: head(_GENERAL | {"hospital_name": "Clinique du Château"}), 43: head(columns=[*tall, "Modifiers"]), 44: head(columns=[c for c in whole if not c.startswith("count|")]),
     }
     return out | {0: head(wide=True)} | {k: head(wide=True) for k in _WIDES if k not in (0, 44)} | {-1: head()}
 
 
 def csv_documents(lines: DataFrame) -> DataFrame:
-    """``k`` (the supplier) and ``value``, its table."""
+    """``name`` (the supplier's key) and ``body``, the bytes of its table."""
     document, fault = F.col("l_suppkey") % DOCUMENTS, F.expr(ITEM_FAULT)
     rows = {wide: {0: _row({}, wide)} | {k: _row({} if wide and k in _ONLY_TALL else change, wide) for k, (change, _) in CSV_ROWS.items()} for wide in (False, True)}
     row = F.when(document == _PAYERLESS, _row(_NOBODY, False)).when(document.isin(*_WIDES), _picked(fault, rows[True])).otherwise(_picked(fault, rows[False]))
@@ -311,7 +314,9 @@ def csv_documents(lines: DataFrame) -> DataFrame:
     known = F.when(e.isin(*[k for k in heads if k >= 0]), e).otherwise(-1)
     at = F.create_map(*[F.lit(x) for kv in heads.items() for x in kv])
     body = F.when(e.isin(*_ROWLESS), "").otherwise(F.col("rows"))
-    return per.select("k", F.rtrim(F.concat(F.element_at(at, known.cast("int")), body), F.lit("\n")).alias("value"))  # the sink ends the last line
+    text = F.concat(F.rtrim(F.concat(F.element_at(at, known.cast("int")), body), F.lit("\n")), F.lit("\n"))
+    text = F.when(e == _CSV_BROKEN, F.concat(text, F.repeat(F.lit("x"), F.lit(CELL_BYTES + 1)), F.lit("\n"))).otherwise(text)
+    return per.select(F.col("k").cast("string").alias("name"), F.when(e == _LATIN, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("body"))
 
 
 def csv_sql() -> str:
@@ -322,5 +327,5 @@ def csv_sql() -> str:
     only = " OR ".join(f"(f = {k} AND e IN ({', '.join(map(str, _WIDES))}))" for k in _ONLY_TALL)
     return f"""WITH l AS (SELECT l_suppkey AS supplier, l_suppkey % {DOCUMENTS} AS e, {ITEM_FAULT} AS f FROM {{lineitem}})
     SELECT supplier, code, dimension, severity, count(*) AS occurrences FROM l JOIN (VALUES {_values(rows)}) x(k, code, dimension, severity) ON f = k WHERE e NOT IN ({without}) AND NOT ({only}) GROUP BY ALL
-    UNION ALL SELECT DISTINCT supplier, code, dimension, severity, 1 FROM l JOIN (VALUES {_values(several)}) x(k, code, dimension, severity) ON f = k WHERE e NOT IN ({without})
+    UNION ALL SELECT DISTINCT supplier, code, dimension, severity, 1 FROM l JOIN (VALUES {_values(several)}) x(k, code, dimension, severity) ON f = k WHERE e NOT IN ({without}) AND e <> {_CSV_BROKEN}
     UNION ALL SELECT DISTINCT supplier, code, dimension, severity, 1 FROM l JOIN (VALUES {_values(documents)}) x(k, code, dimension, severity) ON e = k"""

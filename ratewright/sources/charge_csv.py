@@ -2,7 +2,7 @@
 
 A row is one CSV row with its cells as an array, whatever their number (quoted newlines belong to a cell). A file that isn't UTF-8 is read as
 Latin-1 from its beginning; what a row says about its file is in ``encoding`` and ``bom``. A file that breaks off ends with a row
-that has a ``problem``. A row of index -1 has the SHA-256 of the file's bytes and their number as cells. One task reads one file as a stream.
+that has a ``problem``, as one does at a cell of more than ``field_bytes``, an option. A row of index -1 has the SHA-256 of the file's bytes and their number as cells. One task reads one file as a stream.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ def encoding_of(source, chunk: int = 1 << 20) -> tuple[str, bool]:
     return "utf-8-sig", bom
 
 
-def rows(source, encoding: str, bom: bool) -> Iterator[tuple]:
+def rows(source, encoding: str, bom: bool, most: int = FIELD_BYTES) -> Iterator[tuple]:
     text = io.TextIOWrapper(source, encoding=encoding, newline="")
-    csv.field_size_limit(FIELD_BYTES)
+    csv.field_size_limit(most)
     k = -1
     try:
         for k, cells in enumerate(csv.reader(text, strict=False)):
@@ -52,6 +52,10 @@ def rows(source, encoding: str, bom: bool) -> Iterator[tuple]:
 
 
 class _Reader(_Files):
+    def __init__(self, options):
+        super().__init__(options)
+        self.field_bytes = int(options.get("field_bytes", FIELD_BYTES))
+
     def read(self, partition: InputPartition):
         yield from batched(((path, *row) for path in partition.value for row in self.file(path)), COLUMNS)
 
@@ -65,7 +69,7 @@ class _Reader(_Files):
             digest, size = hashed.identity()
         with system.open_input_stream(name, compression=None) as source:
             yield -1, [digest, str(size)], encoding, bom, None
-            yield from rows(source, encoding, bom)
+            yield from rows(source, encoding, bom, self.field_bytes)
 
 
 class ChargeCsv(DataSource):
