@@ -24,6 +24,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tasks of a stage at most, whatever the input: beyond that, each has more to do, one piece after the other.
+TASKS = 20_000
+
 _LOCK = threading.Lock()
 #: How many jobs are within, and the settings before, by session.
 _INSIDE: dict[int, tuple[int, dict[str, str]]] = {}

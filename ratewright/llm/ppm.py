@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored, unstore
+from .common import TASKS, stored, unstore
 
 ORDER = 5
 BLOCK_BYTES = 24 << 20
@@ -240,7 +240,7 @@ def score(docs: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES)
     unstore(found)  # nothing else of the counts and contexts is needed
     dealt = rows.withColumn("slot", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("bigint"))
     dealt = dealt.join(F.broadcast(numbers(docs.sparkSession, min(blocks, NUMBERED))), "slot", "left").withColumn("block", F.coalesce("number", "slot")).select("block", "id", "text", "train")
-    dealt = dealt.repartition(int(blocks), "block")
+    dealt = dealt.repartition(min(int(blocks), TASKS), "block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block bigint, key bigint")
     answered = asked.join(values, "key").select("block", "key", "value")
     schema = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, scratch
+from .common import TASKS, cut, scratch
 from .tokens import encoder, public_path, with_ends
 
 TOKENIZER = "byte_bpe_50k.json"
 FILE_BYTES = 32 << 20
+#: Files of one range at most.
+FILES = 1 << 20
 LEVEL = 3
 #: Files whose sums are run up together, and ids that a reader hands on at once.
 TOGETHER, HANDED = 1000, 1 << 20
@@ -45,7 +47,7 @@ CHECKSUM_FLAG = 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _DOCUMENT = np.dtype([("key", "<i8"), ("null", "u1"), ("n", "<u4")])
 
-MANIFEST = "part int, path string, bytes bigint, documents bigint, ids bigint"
+MANIFEST = "part bigint, path string, bytes bigint, documents bigint, ids bigint"
 
 
 def files(path: str):
@@ -121,36 +123,45 @@ class FrameReader:
             k = to
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, level: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, level: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Files of a range in order, a new one after about ``most`` bytes of text."""
     tokenizer, writer, name, part = encoder(path), None, None, TaskContext.get().partitionId()
-    total = size = 0
+    total = held = files_ = 0
+
+    def closed() -> pa.RecordBatch:
+        writer.finish()
+        size = out.tell()
+        out.close()
+        return pa.RecordBatch.from_pydict({"part": pa.array([part * FILES + files_], pa.int64()), "path": [f"{folder}/{name}"], "bytes": [size], "documents": [len(writer.entries)], "ids": [total]})
+
     for b in K.slices(batches):
+        if writer is not None and held >= most:
+            yield closed()
+            writer, total, held, files_ = None, 0, 0, files_ + 1
         if writer is None:
             system, base = files(folder)
             system.create_dir(base)
-            name = f"{part:06d}-{uuid.uuid4().hex}.tok.zst"
+            name = f"{part:06d}-{files_:06d}-{uuid.uuid4().hex}.tok.zst"
             out = system.open_output_stream(f"{base}/{name}", compression=None)
             writer = FrameWriter(out, level)
-        ids, counts = with_ends(*tokenizer.encode(*K.raw(b.column("text"))))
+        text, offsets = K.raw(b.column("text"))
+        ids, counts = with_ends(*tokenizer.encode(text, offsets))
         data, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(counts)).tolist()
         for key, a, e in zip(b.column("key").to_pylist(), [0, *ends], ends, strict=False):
             writer.add(key, bytes(data[a:e]))
-        total += int(counts.sum())
+        total, held = total + int(counts.sum()), held + len(text)
     if writer:
-        writer.finish()
-        size = out.tell()
-        out.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "bytes": [size], "documents": [len(writer.entries)], "ids": [total]})
+        yield closed()
 
 
-def write(docs: DataFrame, folder: str, key: str = "doc_id", tokenizer: str | None = None, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(docs: DataFrame, folder: str, key: str = "doc_id", tokenizer: str | None = None, level: int = LEVEL, file_bytes: int = FILE_BYTES, tasks: int = TASKS) -> DataFrame:
     """Write the documents' ids and return the manifest: a row per file, in the order of ``part``."""
     path = tokenizer or public_path(TOKENIZER)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), "text")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     # equal keys are in order of their texts' xxhash64, which splits a key with very many rows; "+ 1" keeps one more file than needed on average
-    dealt = rows.repartitionByRange(int(total // file_bytes) + 1, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    return cut(dealt.mapInArrow(lambda batches: _write(batches, folder, path, level), MANIFEST))
+    dealt = rows.repartitionByRange(min(int(total // file_bytes) + 1, tasks), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
+    return cut(dealt.mapInArrow(lambda batches: _write(batches, folder, path, level, 2 * file_bytes), MANIFEST))
 
 
 def _open(path: str, size: int) -> FrameReader:
@@ -182,10 +193,10 @@ def read_back(manifest: DataFrame, key: str = "doc_id", keys: list[int] | None =
     """The key, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids; of all documents or of some keys."""
     # running sums in two levels: within groups of files, and over the groups, of which there is one for each TOGETHER files
     up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = manifest.withColumn("group", F.floor(F.col("part") / TOGETHER))
+    grouped = manifest.withColumn("group", F.floor(F.col("part") / FILES / TOGETHER))
     groups = grouped.groupBy("group").agg(F.sum("ids").alias("of_group")).withColumn("groups_before", F.coalesce(F.sum("of_group").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = grouped.withColumn("own_before", F.coalesce(F.sum("ids").over(up_to.partitionBy("group")), F.lit(0))).join(groups, "group").withColumn("before", F.col("own_before") + F.col("groups_before"))
-    n = max(1, manifest.count())
+    n = max(1, min(manifest.count(), TASKS))
     wanted = None if keys is None else frozenset(keys)
     schema = "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     spread = placed.select("part", "path", "bytes", "before").repartition(n, "part")

@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import TASKS, stored
 
 SCALE = 256
 HELD = 1 << 20
 LEAST = np.iinfo(np.int64).min
-TASKS = 20_000
 TILE = "n int, dims int, low bigint, high bigint, norm double, ids binary, nulls binary, labels binary, data binary"
 
 

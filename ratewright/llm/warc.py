@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, scratch
+from .common import TASKS, cut, scratch
 from .token_files import files
 
 LEVEL = 1
@@ -168,7 +168,7 @@ def read_records(index: DataFrame, chosen: DataFrame | None = None, with_payload
     """Records of the index, or of its rows ``chosen`` from it: page_id, url, record_type, payload_digest, payload_bytes, refers_to."""
     rows = (index if chosen is None else chosen).select("page_id", "file", "offset", "length", "payload_digest", "record_type", "refers_to")
     n = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // task_bytes))
-    dealt = rows.repartitionByRange(int(n), "file", "offset").sortWithinPartitions("file", "offset")
+    dealt = rows.repartitionByRange(min(int(n), TASKS), "file", "offset").sortWithinPartitions("file", "offset")
     records = dealt.mapInArrow(lambda batches: _read(batches, with_payload), "page_id bigint, url string, record_type string, payload_digest string, own_bytes bigint, refers_to bigint, html string")
     # a revisit takes its size from the index row of the response it refers to
     sizes = index.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))

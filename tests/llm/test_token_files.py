@@ -27,6 +27,9 @@ def test_tables(spark, sf):
     assert manifest.count() > 5
     expected = want(docs)
     assert sorted(tuple(r) for r in T.read_back(manifest).collect()) == expected
+    few = T.write(docs, scratch(spark, "t"), file_bytes=50_000, tasks=2)
+    assert few.count() > 2 and few.selectExpr("part div 1048576 r").distinct().count() == 2
+    assert sorted(tuple(r) for r in T.read_back(few).collect()) == expected
     some = [expected[k][0] for k in (0, 17, 18, 500)]
     got = T.read_back(manifest, keys=[*some, 10**12], with_ids=True).collect()
     assert sorted(r.doc_id for r in got) == sorted(some)
