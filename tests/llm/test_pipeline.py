@@ -51,3 +51,16 @@ def test_empty_and_nulls(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, sf)
         assert table.count() == n
+
+
+def test_clashing_columns_and_long_texts(spark, sf):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, own(i, 60 if i else 60_000), "en", f"s{i}", 1, True, "x", 7, [1]) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, text_key string, id int, lines array<int>"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), f"clash-{name}")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, docs.drop("n_chars").collect())) == sorted((*r[:4], *r[5:]) for r in rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in last.collect()} == set(range(6)) and last.where("doc_id = 0").count() > 10
