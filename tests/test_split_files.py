@@ -138,3 +138,12 @@ def test_utf8_is_settled_by_chunks(tmp_path):
         for chunk in range(1, len(text) + 1):
             parts = [S._csv_facts({"file": str(path), "size": len(text), "k": at // chunk, "start": at, "length": min(chunk, len(text) - at)}) for at in range(0, len(text), chunk)]
             assert all(p["utf8"] for p in parts) == want, (text, chunk)
+
+
+def test_an_empty_table_beside_large_ones(spark, tmp_path):
+    """A task without rows leaves an empty file, the only one that isn't split."""
+    for k, d in enumerate([b"", b"a,b\n" * 50]):
+        (tmp_path / f"f{k}.csv").write_bytes(d)
+    got = S.read_csv(spark, str(tmp_path), chunk=16, large=20, most_tasks=8)
+    assert sorted((r.file[-6:], r.row_index) for r in got.where("row_index <= 0").collect()) == [("f0.csv", -1), ("f1.csv", -1), ("f1.csv", 0)]
+    assert got.count() == 52
