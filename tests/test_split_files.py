@@ -147,3 +147,11 @@ def test_an_empty_table_beside_large_ones(spark, tmp_path):
     got = S.read_csv(spark, str(tmp_path), chunk=16, large=20, most_tasks=8)
     assert sorted((r.file[-6:], r.row_index) for r in got.where("row_index <= 0").collect()) == [("f0.csv", -1), ("f1.csv", -1), ("f1.csv", 0)]
     assert got.count() == 52
+
+
+def test_an_empty_document_beside_large_ones(spark, tmp_path):
+    for k, d in enumerate([b"", json.dumps({"standard_charge_information": [{"a": 1}] * 9}).encode()]):
+        (tmp_path / f"f{k}.json").write_bytes(d)
+    got = S.read_json(spark, str(tmp_path), chunk=16, large=20, most_tasks=8)
+    assert got.where("part = 'standard_charge_information'").count() == 9
+    assert [r.problem for r in got.where("part = 'stream'").collect()] == ["expected '{' at the start"]
