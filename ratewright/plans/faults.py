@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 Finding = tuple[str, str, str]  # code, dimension, severity
 #: Faults of items and rows follow from this remainder, those of documents from the supplier's key by DOCUMENTS.
 ITEMS, DOCUMENTS = 40, 50
@@ -113,19 +115,25 @@ JSON_DOCUMENTS: dict[int, list[Finding]] = {k: _of(_CONFORM, f"CMS_V3_ENVELOPE_{
 }
 
 
-def json_documents(lines: DataFrame) -> DataFrame:
-    """``k`` (the supplier) and ``value``, its document."""
-    fault = F.expr(ITEM_FAULT)
+def _texts(lines: DataFrame, text: Column) -> DataFrame:
+    """``name`` (the supplier's key), ``frame`` (its document's fault) and ``text`` of each line, suppliers together. Only keys are shuffled and sorted; texts are made of them afterwards."""
+    keys = lines.select("l_suppkey", "l_orderkey", "l_linenumber").repartition("l_suppkey").sortWithinPartitions("l_suppkey", "l_orderkey", "l_linenumber")
+    made = F.replace(text, F.lit("@"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return keys.withColumn("frame", (F.col("l_suppkey") % DOCUMENTS).cast("int")).select(F.col("l_suppkey").cast("string").alias("name"), "frame", made.alias("text"))
+
+
+def json_texts(lines: DataFrame) -> DataFrame:
+    """The items of the documents, by supplier."""
     texts = {0: json.dumps(_ITEM)} | {k: _changed(change) for k, (change, _) in JSON_ITEMS.items()}
     plain = _changed(lambda i, g, p: g.pop("payers_information") and None)
-    document = F.col("l_suppkey") % DOCUMENTS
-    item = F.when(document == _NO_PAYERS, plain).otherwise(_picked(fault, texts))
-    item = F.replace(item, F.lit("@"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    per = lines.select(F.col("l_suppkey").alias("k"), item.alias("item")).groupBy("k").agg(F.array_join(F.collect_list("item"), ",\n").alias("items"))
-    e = F.col("k") % DOCUMENTS
-    body = F.when(e.isin(*_NO_ITEMS), "").otherwise(F.col("items"))
-    tail = F.when(e == 12, "}").when(e == _BROKEN, "]").otherwise("]}")
-    return per.select("k", F.concat(_picked(e, _heads()), body, tail).alias("value"))
+    item = F.when(F.col("frame") == _NO_PAYERS, plain).otherwise(_picked(F.expr(ITEM_FAULT), texts))
+    return _texts(lines, F.when(~F.col("frame").isin(*_NO_ITEMS), item))
+
+
+def json_frames() -> dict[int, sinks.Frame]:
+    """What is around the items of a document, by its fault."""
+    heads = _heads()
+    return {k: (heads.get(k, heads[0]), {12: "}", _BROKEN: "]"}.get(k, "]}") + "\n", "utf-8") for k in range(DOCUMENTS)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -302,21 +310,19 @@ def _csv_heads() -> dict[int, str]:
     return out | {0: head(wide=True)} | {k: head(wide=True) for k in _WIDES if k not in (0, 44)} | {-1: head()}
 
 
-def csv_documents(lines: DataFrame) -> DataFrame:
-    """``name`` (the supplier's key) and ``body``, the bytes of its table."""
-    document, fault = F.col("l_suppkey") % DOCUMENTS, F.expr(ITEM_FAULT)
+def csv_texts(lines: DataFrame) -> DataFrame:
+    """The rows of the tables, by supplier."""
+    frame, fault = F.col("frame"), F.expr(ITEM_FAULT)
     rows = {wide: {0: _row({}, wide)} | {k: _row({} if wide and k in _ONLY_TALL else change, wide) for k, (change, _) in CSV_ROWS.items()} for wide in (False, True)}
-    row = F.when(document == _PAYERLESS, _row(_NOBODY, False)).when(document.isin(*_WIDES), _picked(fault, rows[True])).otherwise(_picked(fault, rows[False]))
-    row = F.replace(row, F.lit("@"), F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    per = lines.select(F.col("l_suppkey").alias("k"), row.alias("row")).groupBy("k").agg(F.array_join(F.collect_list("row"), "\n").alias("rows"))
-    e = F.col("k") % DOCUMENTS
+    row = F.when(frame == _PAYERLESS, _row(_NOBODY, False)).when(frame.isin(*_WIDES), _picked(fault, rows[True])).otherwise(_picked(fault, rows[False]))
+    return _texts(lines, F.when(~frame.isin(*_ROWLESS), row))
+
+
+def csv_frames() -> dict[int, sinks.Frame]:
+    """What is around the rows of a table, by its fault."""
     heads = _csv_heads()
-    known = F.when(e.isin(*[k for k in heads if k >= 0]), e).otherwise(-1)
-    at = F.create_map(*[F.lit(x) for kv in heads.items() for x in kv])
-    body = F.when(e.isin(*_ROWLESS), "").otherwise(F.col("rows"))
-    text = F.concat(F.rtrim(F.concat(F.element_at(at, known.cast("int")), body), F.lit("\n")), F.lit("\n"))
-    text = F.when(e == _CSV_BROKEN, F.concat(text, F.repeat(F.lit("x"), F.lit(CELL_BYTES + 1)), F.lit("\n"))).otherwise(text)
-    return per.select(F.col("k").cast("string").alias("name"), F.when(e == _LATIN, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("body"))
+    tail = lambda k: ("" if k in _ROWLESS else "\n") + ("x" * (CELL_BYTES + 1) + "\n" if k == _CSV_BROKEN else "")
+    return {k: (heads.get(k, heads[-1]), tail(k), "latin-1" if k == _LATIN else "utf-8") for k in range(DOCUMENTS)}
 
 
 def csv_sql() -> str:

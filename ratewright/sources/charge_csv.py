@@ -63,11 +63,11 @@ class _Reader(_Files):
         from pyarrow import fs
 
         system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(name, compression=None) as source:
+        with system.open_input_stream(name, compression=self.compression) as source:
             hashed = Hashed(source)
             encoding, bom = encoding_of(hashed)
             digest, size = hashed.identity()
-        with system.open_input_stream(name, compression=None) as source:
+        with system.open_input_stream(name, compression=self.compression) as source:
             yield -1, [digest, str(size)], encoding, bom, None
             yield from rows(source, encoding, bom, self.field_bytes)
 

@@ -6,9 +6,10 @@ import csv
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,9 +49,47 @@ def _table(batches: Iterator[pa.RecordBatch], head: list[list[str]]) -> Iterator
             begun = True
 
 
-def write_each(documents: DataFrame, path: str) -> None:
-    """One file for each row of ``k`` (a key, each once) and ``value`` (a whole document), under ``k=<key>/``."""
-    documents.select("k", "value").repartition("k").write.partitionBy("k").text(path)
+#: What a document begins with, what it ends with, and its encoding.
+Frame = tuple[str, str, str]
+
+
+def _documents(batches: Iterator[pa.RecordBatch], folder: str, frames: Mapping[int, Frame], between: str, compression: str | None) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
+    now, out, begun, aside, tail, encoding, files = None, None, False, "", "", "utf-8", 0
+    for b in batches:
+        names, kinds, texts = (b.column(c) for c in ("name", "frame", "text"))
+        starts = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]]] if len(pc.unique(names)) > 1 else [0]
+        for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+            name = names[start].as_py()
+            if name != now:
+                if out is not None:
+                    out.write(tail.encode(encoding))
+                    out.close()
+                    system.move(aside, f"{root}/{now}")
+                head, tail, encoding = frames[kinds[start].as_py()]
+                now, begun, aside = name, False, f"{root}/.{name}-{uuid.uuid4().hex}"  # a task that runs twice replaces a file by the same
+                out = system.open_output_stream(aside, compression=compression)
+                out.write(head.encode(encoding))
+                files += 1
+            own = [x for x in texts.slice(start, end - start).to_pylist() if x is not None]
+            if own:
+                out.write(((between if begun else "") + between.join(own)).encode(encoding))
+                begun = True
+    if out is not None:
+        out.write(tail.encode(encoding))
+        out.close()
+        system.move(aside, f"{root}/{now}")
+    yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+
+def write_documents(texts: DataFrame, folder: str, frames: Mapping[int, Frame], between: str, compression: str | None = None) -> int:
+    """One file for each ``name``, of its rows' ``text`` in their order; the number of files. Rows of a name come together and in one task; the ``frame``
+    of a name says what is before and after them. Nulls are left out. A document goes to its file as its rows come, so none is held."""
+    written = texts.select("name", "frame", "text").mapInArrow(lambda batches: _documents(batches, folder, frames, between, compression), "files bigint")
+    return sum(r.files for r in written.collect())  # a number for each task
 
 
 def write_csv(rows: DataFrame, general: dict[str, str], path: str) -> None:
