@@ -101,40 +101,48 @@ def file_checks(files: DataFrame, as_of: date) -> DataFrame:
     return failing(files, checks, "file_id")
 
 
+def _texts(keys: str, *names: str) -> dict[str, Column]:
+    """The text of each key where it is a JSON string, as columns."""
+    of = lambda n: F.col(f"{keys}.`{n}`" if keys else n)
+    return {f"{keys}_{n}": F.when(F.schema_of_variant(of(n)) == "STRING", F.try_variant_get(of(n), "$", "string")) for n in names}
+
+
+def _some(text: Column | str) -> Column:
+    return F.coalesce(F.rlike(text, F.lit(r"(?U)\S")), F.lit(False))
+
+
 def _code_checks(c: Column) -> list[Column]:
-    return [missing(~_is_text(N.field(c, "$.code")), "CODE_VALUE_MISSING", "a code has no usable value"), missing(~_is_text(N.field(c, "$.type")), "CODE_TYPE_MISSING", "a code has no usable type")]
+    return [missing(~_is_text(c["code"]), "CODE_VALUE_MISSING", "a code has no usable value"), missing(~_is_text(c["type"]), "CODE_TYPE_MISSING", "a code has no usable type")]
 
 
 def _group_checks() -> list[Column]:
-    g = lambda name: N.field("g", f"$.{name}")
-    is_object = _object(F.col("g"))
-    payers = N.elements(g("payers_information"))
-    dollars = F.coalesce(F.exists(payers, lambda p: N.present(N.field(p, "$.standard_charge_dollar"))), F.lit(False))
+    g = lambda name: F.col(f"gs.{name}")
+    is_object = F.col("gs").isNotNull()
+    dollars, none = F.col("dollars"), F.coalesce("payers", F.lit(0)) <= 0
     return [
-        wrong(~is_object, "CHARGE_GROUP_NOT_OBJECT", with_value("a charge group isn't an object", F.col("g"))),
-        wrong(is_object & no(F.when(N.kind_of(g("setting")) == "STRING", F.try_variant_get("g", "$.setting", "string")).isin(SETTINGS)), "SETTING_INVALID", with_value("a setting isn't one of the accepted values", g("setting"))),
-        missing(is_object & g("gross_charge").isNull() & g("discounted_cash").isNull() & (_size(payers) == 0), "CHARGE_VALUE_MISSING", "a charge group has no charge of any kind"),
-        wrong(is_object & N.usable(g("payers_information")) & (_size(payers) == 0), "PAYERS_INFORMATION_INVALID", with_value("payers_information is neither absent, null nor a list with entries", g("payers_information"))),
-        *[missing(is_object & dollars & g(f).isNull(), f"DOLLAR_RANGE_{f.upper()}_MISSING", f"a group with dollar rates has no {f}") for f in ("minimum", "maximum")],
+        wrong(~is_object, "CHARGE_GROUP_NOT_OBJECT", with_value("a charge group isn't an object", N.raw_group())),
+        wrong(is_object & no(F.col("gs_setting").isin(SETTINGS)), "SETTING_INVALID", with_value("a setting isn't one of the accepted values", g("setting"))),
+        missing(is_object & g("gross_charge").isNull() & g("discounted_cash").isNull() & none, "CHARGE_VALUE_MISSING", "a charge group has no charge of any kind"),
+        wrong(is_object & none & N.usable(N.raw_payers()), "PAYERS_INFORMATION_INVALID", with_value("payers_information is neither absent, null nor a list with entries", N.raw_payers())),
+        *[missing(is_object & g(f).isNull() & dollars, f"DOLLAR_RANGE_{f.upper()}_MISSING", f"a group with dollar rates has no {f}") for f in ("minimum", "maximum")],
     ]
 
 
 def _payer_checks() -> list[Column]:
-    p = lambda name: N.field("p", f'$["{name}"]')
-    is_object = _object(F.col("p"))
-    method = F.when(N.kind_of(p("methodology")) == "STRING", F.try_variant_get("p", "$.methodology", "string"))
-    count = F.when(N.kind_of(p("count")) == "STRING", F.try_variant_get("p", "$.count", "string"))
+    p = lambda name: F.col(f"ps.`{name}`")
+    text = lambda name: F.col(f"ps_{name}")
+    is_object = F.col("ps").isNotNull()
     kinds = [N.present(p(f"standard_charge_{k}")) for k in ("dollar", "percentage", "algorithm")]
     derived = is_object & (kinds[1] | kinds[2])
-    no_notes = ~_is_text(p("additional_payer_notes"))
-    zero = F.coalesce(count == "0", F.lit(False))
+    no_notes = ~_some(text("additional_payer_notes"))
+    zero = F.coalesce(text("count") == "0", F.lit(False))
     return [
-        wrong(~is_object, "PAYER_RATE_NOT_OBJECT", with_value("a payer rate isn't an object", F.col("p"))),
-        *[missing(is_object & ~_is_text(p(f)), f"PAYER_{f.upper()}_MISSING", f"a payer rate has no usable {f}") for f in ("payer_name", "plan_name")],
-        wrong(is_object & no(method.isin(METHODOLOGIES)), "METHODOLOGY_INVALID", with_value("a methodology isn't one of the accepted values", p("methodology"))),
-        missing(is_object & (method == "other") & no_notes, "OTHER_METHODOLOGY_NOTES_MISSING", "methodology 'other' needs notes"),
+        wrong(~is_object, "PAYER_RATE_NOT_OBJECT", with_value("a payer rate isn't an object", N.raw_payer())),
+        *[missing(is_object & ~_some(text(f)), f"PAYER_{f.upper()}_MISSING", f"a payer rate has no usable {f}") for f in ("payer_name", "plan_name")],
+        wrong(is_object & no(text("methodology").isin(METHODOLOGIES)), "METHODOLOGY_INVALID", with_value("a methodology isn't one of the accepted values", p("methodology"))),
+        missing(is_object & (text("methodology") == "other") & no_notes, "OTHER_METHODOLOGY_NOTES_MISSING", "methodology 'other' needs notes"),
         missing(is_object & ~kinds[0] & ~kinds[1] & ~kinds[2], "PAYER_CHARGE_MISSING", "a payer rate states no charge"),
-        missing(derived & ~_is_text(p("count")), "DERIVED_RATE_COUNT_MISSING", "a derived rate has no count"),
+        missing(derived & ~_some(text("count")), "DERIVED_RATE_COUNT_MISSING", "a derived rate has no count"),
         missing(derived & zero & no_notes, "ZERO_COUNT_NOTES_MISSING", "a derived rate with count 0 needs notes"),
         *[missing(derived & ~zero & p(f).isNull(), f"DERIVED_RATE_{f.upper()}_MISSING", f"a derived rate has no {f}") for f in ("10th_percentile", "median_amount", "90th_percentile")],
     ]
@@ -155,23 +163,21 @@ def placed(checks: list[Column], phase: int, a: Column, b: Column) -> Column:
 
 def inspect(rows: DataFrame, as_of: date) -> DataFrame:
     """Findings of every file among rows of ``charge_json`` (with a ``file_id``): code, dimension, severity, message, occurrences."""
-    items = N.items(rows)
-    codes_value, charges_value = N.field("v", "$.code_information"), N.field("v", "$.standard_charges")
+    # keys and texts are columns of their own, worked out once; an item is checked at its first row, a group at its first payer's
+    own = N.unfolded(N.items(rows))
+    own = own.withColumns(_texts("", "description") | _texts("gs", "setting") | _texts("ps", "payer_name", "plan_name", "methodology", "count", "additional_payer_notes"))
     item_checks = [
-        missing(~_is_text(N.field("v", "$.description")), "ITEM_DESCRIPTION_MISSING", "an item has no usable description"),
-        missing(_size(N.elements(codes_value)) == 0, "ITEM_CODE_INFORMATION_MISSING", "an item has no codes"),
-        missing(_size(N.elements(charges_value)) == 0, "ITEM_STANDARD_CHARGES_MISSING", "an item has no charges"),
+        missing(~_some("_description"), "ITEM_DESCRIPTION_MISSING", "an item has no usable description"),
+        missing(_size(F.col("codes")) <= 0, "ITEM_CODE_INFORMATION_MISSING", "an item has no codes"),
+        missing(F.coalesce("charges", F.lit(0)) <= 0, "ITEM_STANDARD_CHARGES_MISSING", "an item has no charges"),
     ]
-    # each payload is parsed once and unfolded to its payers; an item is checked at its first row, a group at its first payer's
-    unfolded = items.select("file_id", "item_ordinal", "v", F.posexplode_outer(N.elements(charges_value)).alias("gk", "g"))
-    unfolded = unfolded.select("*", F.posexplode_outer(N.elements(N.field("g", "$.payers_information"))).alias("pk", "p"))
-    first_payer, none = F.coalesce(F.col("pk"), F.lit(0)) == 0, F.lit(-1)
+    none = F.lit(-1)
     found = F.concat(
-        F.when(first_payer & (F.coalesce(F.col("gk"), F.lit(0)) == 0), F.concat(placed(item_checks, 0, none, none), F.flatten(F.transform(F.coalesce(N.elements(codes_value), F.array().cast("array<variant>")), lambda c, k: placed(_code_checks(c), 1, k, none))))).otherwise(_nothing()),
-        F.when(first_payer & F.col("gk").isNotNull(), placed(_group_checks(), 2, F.col("gk"), none)).otherwise(_nothing()), F.when(F.col("pk").isNotNull(), placed(_payer_checks(), 2, F.col("gk"), F.col("pk"))).otherwise(_nothing()),
+        F.when(F.col("of_item"), F.concat(placed(item_checks, 0, none, none), F.coalesce(F.flatten(F.transform("codes", lambda c, k: placed(_code_checks(c), 1, k, none))), _nothing()))).otherwise(_nothing()),
+        F.when(F.col("of_group"), placed(_group_checks(), 2, F.col("gk"), none)).otherwise(_nothing()), F.when(F.col("pk").isNotNull(), placed(_payer_checks(), 2, F.col("gk"), F.col("pk"))).otherwise(_nothing()),
     )
-    stated = lambda kind: N.present(N.field("p", f"$.standard_charge_{kind}")).alias(kind)
-    light = unfolded.select("file_id", "item_ordinal", found.alias("found"), F.col("pk").isNotNull().alias("payer"), stated("percentage"), stated("algorithm"))
+    stated = lambda kind: N.present(F.col(f"ps.standard_charge_{kind}")).alias(kind)
+    light = own.select("file_id", "item_ordinal", found.alias("found"), F.col("pk").isNotNull().alias("payer"), stated("percentage"), stated("algorithm"))
     kept = sinks.scratch(rows.sparkSession, "json-findings")
     light.write.parquet(kept)
     light = rows.sparkSession.read.schema(light.schema).parquet(kept)
@@ -187,19 +193,22 @@ def counters(rows: DataFrame) -> DataFrame:
 
     Sets are of the values themselves, first made different in the map tasks; other than the accepted ones count too.
     """
-    items = N.items(rows)
-    groups = N.groups(items)
-    payers = N.payers(groups)
-    count = lambda df, name: df.groupBy("file_id").agg(F.count("*").alias(name))
-    p = lambda name: N.field("p", f"$.{name}")
-    stated = lambda kind: F.count(F.when(N.usable(p(f"standard_charge_{kind}")), 1)).alias(f"{kind}_rate_count")
-    rates = payers.groupBy("file_id").agg(F.count("*").alias("payer_rate_count"), *map(stated, ("dollar", "percentage", "algorithm")))
-    combos = payers.select("file_id", N.string(p("payer_name")).alias("a"), N.string(p("plan_name")).alias("b")).where("a is not null and b is not null").distinct()
-    settings = groups.select("file_id", N.string(N.field("g", "$.setting")).alias("x")).where("x is not null").distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("settings"))
-    methods = payers.select("file_id", N.string(p("methodology")).alias("x")).where("x is not null").distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("methodologies"))
-    codes = items.select("file_id", F.explode(N.elements(N.field("v", "$.code_information"))).alias("c"))
+    own = N.unfolded(N.items(rows))
+    p = lambda name: F.col(f"ps.{name}")
+    stated = lambda kind: (F.col("pk").isNotNull() & N.usable(p(f"standard_charge_{kind}"))).alias(f"{kind}_rate_count")
+    light = own.select(
+        "file_id", F.when(F.col("of_item"), F.size("codes")).alias("code_count"), F.col("of_group").alias("charge_group_count"), F.col("pk").isNotNull().alias("payer_rate_count"), *map(stated, ("dollar", "percentage", "algorithm")),
+        N.string(p("payer_name")).alias("a"), N.string(p("plan_name")).alias("b"), F.when(F.col("of_group"), N.string(F.col("gs.setting"))).alias("setting"), N.string(p("methodology")).alias("methodology"),
+    )
+    kept = sinks.scratch(rows.sparkSession, "json-counters")
+    light.write.parquet(kept)
+    light = rows.sparkSession.read.schema(light.schema).parquet(kept)
+    # a negative size is that of no list
+    counts = light.groupBy("file_id").agg(F.sum(F.when(F.col("code_count") > 0, F.col("code_count"))).alias("code_count"), *[F.count(F.when(F.col(c), 1)).alias(c) for c in light.columns if c.endswith("_count") and c != "code_count"])
+    combos = light.select("file_id", "a", "b").where("a is not null and b is not null").distinct().groupBy("file_id").agg(F.count("*").alias("payer_plan_combination_count"))
+    seen = lambda c, name: light.select("file_id", F.col(c).alias("x")).where("x is not null").distinct().groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias(name))
     out = N.envelope(rows).select("file_id", F.col("items").alias("item_count"), F.col("bad_items").alias("problem_count"))
-    for part in (count(codes, "code_count"), count(groups, "charge_group_count"), rates, count(combos, "payer_plan_combination_count"), settings, methods):
+    for part in (counts, combos, seen("setting", "settings"), seen("methodology", "methodologies")):
         out = out.join(part, "file_id", "left")
     numbers = [c for c in out.columns if c.endswith("_count")]
     return out.na.fill(0, numbers).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("settings", "methodologies")})

@@ -33,7 +33,7 @@ def is_object(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """Lists and objects are told by a shallow cast: the schema of a whole value would walk all of it."""
-    scalar = F.regexp_extract(F.schema_of_variant(v), r"\A[A-Z]+", 0)
+    scalar = F.substring_index(F.schema_of_variant(v), "(", 1)
     return F.when(elements(v).isNotNull(), "ARRAY").when(is_object(v), "OBJECT").otherwise(scalar)
 
 
@@ -64,6 +64,47 @@ def items(rows: DataFrame) -> DataFrame:
     return v.withColumn("item_id", key("item", "item_ordinal"))
 
 
+_of = lambda *names: ",".join(f"`{n}`:variant" for n in names)
+_GROUP = ("setting", "billing_class", "gross_charge", "discounted_cash", "minimum", "maximum", "modifier_code", "additional_generic_notes")
+_PAYER = ("payer_name", "plan_name", "methodology", "standard_charge_dollar", "standard_charge_percentage", "standard_charge_algorithm", "count", "median_amount", "10th_percentile", "90th_percentile", "additional_payer_notes")
+#: An item's keys as one cast takes them out of all levels; what isn't an object or a list is null there, other values stay VARIANT.
+ITEM = f"struct<{_of('description', 'drug_information')},code_information:array<struct<{_of('code', 'type')}>>,standard_charges:array<struct<{_of(*_GROUP)},payers_information:array<struct<{_of(*_PAYER)}>>>>>"
+
+
+def unfolded(items_: DataFrame) -> DataFrame:
+    """A row for each payer rate, or for a group or an item without. description, drug_information, codes and charges (a size; null: no list) are the
+    item's; gk and gs (null: no object) the group's, with payers (a size) and dollars (whether a payer has some); pk and ps the payer's. of_item and of_group: the row is
+    the first of its item and group. raw is the item's value where a list, group or payer of it is none, for :func:`raw_group` and :func:`raw_payer`.
+
+    Every payload is parsed once, and no row carries a list of groups or payers.
+    """
+    odd_group = lambda g: g.isNull() | (F.coalesce(F.size(g["payers_information"]), F.lit(0)) <= 0) | F.exists(g["payers_information"], lambda p: p.isNull())
+    i = items_.select("file_id", "item_ordinal", "v", F.try_variant_get("v", "$", ITEM).alias("i"))
+    lists = i.select(
+        "file_id", "item_ordinal", "i.description", "i.drug_information", F.col("i.code_information").alias("codes"), F.size("i.standard_charges").alias("charges"),
+        F.when(F.col("i.code_information").isNull() | F.col("i.standard_charges").isNull() | F.exists("i.code_information", lambda c: c.isNull()) | F.exists("i.standard_charges", odd_group), F.col("v")).alias("raw"), F.posexplode_outer("i.standard_charges").alias("gk", "group"),
+    )
+    groups_ = lists.select(
+        *[c for c in lists.columns if c != "group"], F.when(F.col("group").isNotNull(), F.struct(*[F.col(f"group.{n}") for n in _GROUP])).alias("gs"), F.size("group.payers_information").alias("payers"),
+        F.coalesce(F.exists("group.payers_information", lambda p: p["standard_charge_dollar"].isNotNull()), F.lit(False)).alias("dollars"), F.posexplode_outer("group.payers_information").alias("pk", "ps"),
+    )
+    first = F.coalesce("pk", F.lit(0)) == 0
+    return groups_.withColumns({"of_item": first & (F.coalesce("gk", F.lit(0)) == 0), "of_group": first & F.col("gk").isNotNull()})
+
+
+def raw_group() -> Column:
+    """A group that is no object, or whose payers are none or no list or have one that is no object; of a row of :func:`unfolded`."""
+    return F.try_element_at(elements(field("raw", "$.standard_charges")), F.col("gk") + 1)
+
+
+def raw_payers() -> Column:
+    return field(raw_group(), "$.payers_information")
+
+
+def raw_payer() -> Column:
+    return F.try_element_at(elements(raw_payers()), F.col("pk") + 1)
+
+
 def charge_items(items_: DataFrame) -> DataFrame:
     return items_.select("file_id", "item_id", "item_ordinal", string(field("v", "$.description")).alias("description"), number(field("v", "$.drug_information.unit")).alias("drug_unit"), string(field("v", "$.drug_information.type")).alias("drug_type"))
 
@@ -128,7 +169,9 @@ def envelope(rows: DataFrame) -> DataFrame:
     """One row per file: the top-level fields as a map of variants, and what the scan came to."""
     fields = F.map_from_entries(F.collect_list(F.when(F.col("part") == "envelope", F.struct("name", "payload_text"))))
     ends = F.max(F.when((F.col("part") == "end") & (F.col("name") == "standard_charge_information"), F.col("ordinal")))
-    return rows.groupBy("file_id").agg(
+    # the texts of elements don't go where rows are sorted by file
+    light = rows.select("file_id", "part", "name", "ordinal", "problem", "bom", F.when(F.col("part").isin("envelope", "source"), F.col("payload_text")).alias("payload_text"))
+    return light.groupBy("file_id").agg(
         fields.alias("fields"), ends.alias("elements"), F.max("bom").alias("bom"), F.min(F.when(F.col("part") == "stream", F.col("problem"))).alias("broken"),
         F.count(F.when(F.col("part") == "standard_charge_information", F.col("problem"))).alias("bad_items"),
         F.count(F.when((F.col("part") == "standard_charge_information") & F.col("problem").isNull(), 1)).alias("items"),
@@ -163,32 +206,40 @@ class WrongType(ValueError):
 _TEXT, _NUMBER, _LIST, _OBJECT = "text", "number", "list", "object"
 
 
-def _mistyped(v: Column, kind: str) -> Column:
-    """A value is there, isn't null, and isn't of the kind."""
-    have = kind_of(v)
-    right = {_TEXT: have == "STRING", _NUMBER: have.isin(_NUMBERS), _LIST: have == "ARRAY", _OBJECT: have == "OBJECT"}[kind]
-    return usable(v) & ~F.coalesce(right, F.lit(False))
+_WRONG = "array<struct<place:string,expected:string,found:string>>"
+
+
+def _right(have: Column, kind: str) -> Column:
+    return {_TEXT: have == "STRING", _NUMBER: have.isin(_NUMBERS), _LIST: have == "ARRAY", _OBJECT: have == "OBJECT"}[kind]
+
+
+def _wrong(checks: list[tuple[str, str, Column]]) -> list[Column]:
+    """Values that are there, aren't null, and aren't of the kind."""
+    return [F.when(usable(v) & ~F.coalesce(_right(kind_of(v), kind), F.lit(False)), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("expected"), kind_of(v).alias("found"))) for place, kind, v in checks]
 
 
 def type_errors(rows: DataFrame) -> DataFrame:
     """file_id, place (like ``payer.methodology``), expected, found and the number of values that the typed tables would lose as nulls."""
-    i = items(rows)
-    g = groups(i)
-    p = payers(g)
     m = modifiers(rows)
-    at = lambda v, names, level: [(f"{level}.{n}", k, field(v, f'$["{n}"]')) for n, k in names.items()]
-    levels = [
-        (i, at("v", {"description": _TEXT, "code_information": _LIST, "standard_charges": _LIST, "drug_information": _OBJECT}, "item")),
-        (i.select("file_id", F.explode(elements(field("v", "$.code_information"))).alias("c")), [("code", _OBJECT, F.col("c")), *at("c", {"code": _TEXT, "type": _TEXT}, "code")]),
-        (g, [("charge", _OBJECT, F.col("g")), *at("g", {"setting": _TEXT, "billing_class": _TEXT, "gross_charge": _NUMBER, "discounted_cash": _NUMBER, "minimum": _NUMBER, "maximum": _NUMBER, "modifier_code": _LIST, "payers_information": _LIST, "additional_generic_notes": _TEXT}, "charge")]),
-        (p, [("payer", _OBJECT, F.col("p")), *at("p", {"payer_name": _TEXT, "plan_name": _TEXT, "methodology": _TEXT, "standard_charge_dollar": _NUMBER, "standard_charge_percentage": _NUMBER, "standard_charge_algorithm": _TEXT, "count": _TEXT, "median_amount": _NUMBER, "10th_percentile": _NUMBER, "90th_percentile": _NUMBER, "additional_payer_notes": _TEXT}, "payer")]),
-        (m, at("v", {"description": _TEXT, "code": _TEXT, "setting": _TEXT, "modifier_payer_information": _LIST}, "modifier")),
-    ]
-    out = None
-    for df, checks in levels:
-        wrong = F.filter(F.array(*[F.when(_mistyped(v, kind), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("expected"), kind_of(v).alias("found"))) for place, kind, v in checks]), lambda x: x.isNotNull())
-        part = df.select("file_id", F.inline(wrong))
-        out = part if out is None else out.unionByName(part)
+    own = unfolded(items(rows))
+    at = lambda keys, names, level: [(f"{level}.{n}", k, kind_of(keys(n))) for n, k in names.items()]
+    of = lambda c: lambda n: F.col(f"{c}.`{n}`" if c else n)
+    other = lambda there, kind, raw: F.when(there, kind).otherwise(kind_of(raw))  # the one cast told most kinds already
+    item = [*at(of(""), {"description": _TEXT, "drug_information": _OBJECT}, "item"), ("item.code_information", _LIST, other(F.col("codes").isNotNull(), "ARRAY", field("raw", "$.code_information"))), ("item.standard_charges", _LIST, other(F.col("charges") >= 0, "ARRAY", field("raw", "$.standard_charges")))]
+    group = [("charge", _OBJECT, other(F.col("gs").isNotNull(), "OBJECT", raw_group())), ("charge.payers_information", _LIST, other(F.col("payers") >= 0, "ARRAY", raw_payers()))]
+    group += at(of("gs"), {"setting": _TEXT, "billing_class": _TEXT, "gross_charge": _NUMBER, "discounted_cash": _NUMBER, "minimum": _NUMBER, "maximum": _NUMBER, "modifier_code": _LIST, "additional_generic_notes": _TEXT}, "charge")
+    payer = [("payer", _OBJECT, other(F.col("ps").isNotNull(), "OBJECT", raw_payer())), *at(of("ps"), {"payer_name": _TEXT, "plan_name": _TEXT, "methodology": _TEXT, "standard_charge_dollar": _NUMBER, "standard_charge_percentage": _NUMBER, "standard_charge_algorithm": _TEXT, "count": _TEXT, "median_amount": _NUMBER, "10th_percentile": _NUMBER, "90th_percentile": _NUMBER, "additional_payer_notes": _TEXT}, "payer")]
+    # kinds are columns of their own, worked out once; what is wrong is then told by them alone. VOID is the kind of a null
+    levels = [(F.col("of_item"), item), (F.col("of_group"), group), (F.col("pk").isNotNull(), payer)]
+    kinds = [F.nullif(F.when(first, kind), F.lit("VOID")).alias(f"k_{place}") for first, checks in levels for place, _, kind in checks]
+    light = own.select("file_id", "of_item", "codes", "raw", *kinds)
+    wrong = [F.when(~_right(F.col(f"`k_{place}`"), kind), F.struct(F.lit(place).alias("place"), F.lit(kind).alias("expected"), F.col(f"`k_{place}`").alias("found"))) for _, checks in levels for place, kind, _ in checks]
+    raw_code = lambda k: F.try_element_at(elements(field("raw", "$.code_information")), k + 1)
+    in_code = lambda c, k: F.array(*_wrong([("code", _OBJECT, F.when(c.isNull(), raw_code(k))), ("code.code", _TEXT, c["code"]), ("code.type", _TEXT, c["type"])]))
+    of_codes = F.flatten(F.transform(F.when(F.col("of_item"), F.col("codes")), in_code))
+    every = F.filter(F.concat(F.array(*wrong), F.coalesce(of_codes, F.array().cast(_WRONG))), lambda x: x.isNotNull())
+    of_modifiers = F.filter(F.array(*_wrong([(f"modifier.{n}", k, field("v", f"$.{n}")) for n, k in {"description": _TEXT, "code": _TEXT, "setting": _TEXT, "modifier_payer_information": _LIST}.items()])), lambda x: x.isNotNull())
+    out = light.select("file_id", F.inline(every)).unionByName(m.select("file_id", F.inline(of_modifiers)))
     return out.groupBy("file_id", "place", "expected", "found").agg(F.count("*").alias("values"))
 
 
