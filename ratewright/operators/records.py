@@ -114,7 +114,9 @@ def build(assessed: DataFrame, found: DataFrame, policy: Column, policy_fingerpr
 def verify(lines: DataFrame, version: int = VERSION) -> DataFrame:
     """lines (``value``) with assessment_id, as_of, publisher_id, status, strategy, scope (canonical text) and ``problem``, the first part that differs from what the rest says."""
     c = F.col
-    parsed = lines.withColumns({"r": F.from_json("value", RECORD), "s": F.from_json(_seal_text(c("value")), "body string, retrieval string, policy string, identity string")})
+    sealed = lines.withColumn("s_", _seal_text(c("value")))
+    # unfolded: a filter by ``problem`` would sink below a projection, and parse the line again for each of its dozens of uses there
+    parsed = sealed.select(*lines.columns, F.inline(F.array(F.struct(F.from_json("value", RECORD).alias("r"), F.from_json("s_", "body string, retrieval string, policy string, identity string").alias("s")))))
     r, s = (lambda x: c(f"r.{x}")), (lambda x: c(f"s.{x}"))
     inspected, success = r("inspection").isNotNull(), r("retrieval.status").isin(OBSERVED)
     problems = F.size("r.operational_problems") > 0

@@ -194,3 +194,17 @@ def test_contracts_take_strict_json_only(spark):
     for k in range(len(payloads)):
         [got] = contracts.evaluate({"raw_item": raw.where(F.col("item_ordinal") == k)}, rule).collect()
         assert got.violations == (k > 0), payloads[k]
+
+
+def test_a_filter_by_problem_parses_no_line_again(spark):
+    found = R.verify(table(spark, [record()])).where("problem is null").groupBy("status").count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "from_json" in x]
+
+
+def test_a_value_is_written_again_only_where_it_may_lack_bytes(monkeypatch):
+    for x in ('{"a":"\\ud800"}', '{"a":"\ud800"}', '{"a":1e999}', '{"a": [-1.5E999]}', "1e999", '{"a":' + "9" * 400 + ".0}", "\ufeff1"):
+        with pytest.raises(ValueError):
+            C.load(x)
+    monkeypatch.setattr(C, "dump", lambda _: pytest.fail("written again"))
+    assert C.load(json.dumps(record(inspected=False), ensure_ascii=False)) == record(inspected=False)
