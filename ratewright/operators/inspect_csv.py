@@ -75,7 +75,8 @@ _resolve = F.udf(lambda cells: resolve(cells), _HEADER)
 
 
 def filled(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+    # the first character tells of most cells, without a regular expression
+    return F.when(F.ascii(c).between(33, 126), True).when(c == "", False).otherwise(F.coalesce(c.rlike(r"(?U)\S"), F.lit(False)))
 
 
 def folded(c: Column) -> Column:
@@ -97,8 +98,16 @@ def _at(k: Column) -> Column:
     return F.coalesce(F.try_element_at("cells", k + 1), F.lit(""))
 
 
+_PLACES = [*SHARED, *TALL]
+
+
+def _places() -> Column:
+    """Where the template's columns are in a header, from 1; worked out once for a file."""
+    return F.struct(*[F.coalesce(F.array_position("header.names", n), F.lit(0)).cast("int").alias(f"p{k}") for k, n in enumerate(_PLACES)])
+
+
 def _named(name: str) -> Column:
-    k = F.array_position("header.names", name).cast("int")
+    k = F.col(f"places.p{_PLACES.index(name)}")
     return F.when(k > 0, _at(k - 1)).otherwise("")
 
 
@@ -141,7 +150,7 @@ def _row_checks() -> list[Column]:
     noted = paid | has("additional_generic_notes") | F.exists("entries", lambda e: filled(e["payer_notes"]))
     unit, kind = has("drug_unit_of_measurement"), has("drug_type_of_measurement")
     setting, drug = folded(_named("setting")), folded(_named("drug_type_of_measurement"))
-    beyond = F.exists(F.slice("cells", F.size("header.names") + 1, F.greatest(F.size("cells"), F.lit(1))), filled)
+    beyond = F.exists(F.slice("cells", F.col("header.width") + 1, F.greatest(F.size("cells"), F.lit(1))), filled)
     return [
         err(beyond, "ROW_WIDTH_MISMATCH", "conformance", "a row has cells beyond the declared columns"),
         err(filled(setting) & ~setting.isin(SETTINGS), "SETTING_INVALID", "conformance", "a setting isn't one of the accepted values"),
@@ -215,11 +224,12 @@ def inspect(rows: DataFrame, as_of: date, attestation: str = ATTESTATION_BEGINS)
     entries = F.filter(F.transform(cells, lambda x: F.struct(F.regexp_replace(x["k"], r"\Alicense_number\|([a-z]{2})\z", "license_number|$1").alias("key"), F.coalesce(x["v"], F.lit("")).alias("value"))), lambda x: x["key"].isNotNull() & (x["key"] != ""))
     first = F.aggregate(entries, F.array().cast("array<struct<key:string,value:string>>"), lambda s, x: F.when(F.exists(s, lambda y: y["key"] == x["key"]), s).otherwise(F.concat(s, F.array(x))))
     heads = heads.withColumns({"general": F.coalesce(F.map_from_entries(first), F.create_map().cast("map<string,string>")), "header": F.when(F.col("columns").isNotNull(), _resolve("columns"))}).drop("names", "values", "columns")
+    heads = heads.withColumn("places", _places())
     # one row per file; computed once, as the helper is Python
     kept = sinks.scratch(rows.sparkSession, "charge-headers")
     heads.write.parquet(kept)
     heads = rows.sparkSession.read.schema(heads.schema).parquet(kept)
-    body = rows.where((F.col("row_index") > 2) & F.exists("cells", filled)).select("file_id", "row_index", "cells").join(heads.select("file_id", "header"), "file_id")
+    body = rows.where((F.col("row_index") > 2) & F.exists("cells", filled)).select("file_id", "row_index", "cells").join(heads.select("file_id", F.struct(F.size("header.names").alias("width"), "header.codes", "header.combos").alias("header"), "places"), "file_id")
     body = body.withColumn("wide", F.size("header.combos") > 0)
     generic = filled(_named("additional_generic_notes"))
     short = {"standard_charge|negotiated_dollar": "dollar", "standard_charge|negotiated_percentage": "percentage", "standard_charge|negotiated_algorithm": "algorithm", "standard_charge|methodology": "methodology", "median_amount": "median", "10th_percentile": "p10", "90th_percentile": "p90", "count": "count"}
