@@ -13,10 +13,12 @@ NOT_DOLLARS = {"percentage": "percentage rates are not dollar amounts", "algorit
 
 
 def observations(payer_rates: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per stated representation (dollar, percentage, algorithm) of a payer rate.
+    """One row per stated representation (dollar, percentage, algorithm) of a payer rate: one scan and one join."""
+    return stated(payer_rates.join(groups.select("charge_group_id", "setting", "billing_class"), "charge_group_id"))
 
-    One scan and one join: the representations are an array of structs of which the stated ones are unfolded.
-    """
+
+def stated(joined: DataFrame) -> DataFrame:
+    """:func:`observations` of payer rates that have their group's setting and billing_class: the representations are an array of structs of which the stated ones are unfolded."""
     number, text, true = F.lit(None).cast("decimal(38,10)"), F.lit(None).cast("string"), F.lit(True)
 
     def kind(name: str, value: Column, algorithm: Column) -> Column:
@@ -27,7 +29,6 @@ def observations(payer_rates: DataFrame, groups: DataFrame) -> DataFrame:
         F.array(kind("dollar", F.col("standard_charge_dollar"), text), kind("percentage", F.col("standard_charge_percentage"), text), kind("algorithm", number, F.col("standard_charge_algorithm"))),
         lambda k: k.isNotNull(),
     )
-    joined = payer_rates.join(groups.select("charge_group_id", "setting", "billing_class"), "charge_group_id")
     own = ["payer_rate_id", "charge_group_id", "payer_name", "plan_name", "methodology", "setting", "billing_class"]
     return joined.select(*own, F.inline(kinds)).select(F.concat_ws(":", "payer_rate_id", "rate_kind").alias("rate_observation_id"), *own, "rate_kind", "rate_numeric", "rate_algorithm", "eligible_for_segmented_comparison", "ineligible_reason")
 
