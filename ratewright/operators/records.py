@@ -10,6 +10,9 @@ sealed with the rest and otherwise ignored; blank lines are no records (the read
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,18 @@ def without(value: dict, *keys: str) -> dict:
     return {k: v for k, v in value.items() if k not in keys}
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@functools.lru_cache(maxsize=1024)
+def _policy(text: str) -> tuple[str, str]:
+    """The fingerprint of a policy, and its canonical text with it. Policies are few."""
+    plain = without(canonical.load(text), "fingerprint")
+    fingerprint = canonical.digest(plain)
+    return fingerprint, canonical.dump(plain | {"fingerprint": fingerprint})
+
+
 def _seals(record: dict) -> dict:
     """The digests that a record ought to have."""
     policy = record["retrieval_policy"]
@@ -55,19 +70,23 @@ def _seals(record: dict) -> dict:
 _seal_text = canonical.mapped(T.StringType(), lambda record: canonical.dump(_seals(record)))
 
 
-def _sealed(record: dict) -> str:
-    record["retrieval_policy"] = without(record["retrieval_policy"], "fingerprint")
-    record["retrieval_policy"]["fingerprint"] = canonical.digest(record["retrieval_policy"])
+def _sealed(read: tuple[dict, dict[str, str], str]) -> str:
+    record, texts, _ = read
+    fingerprint, texts["retrieval_policy"] = _policy(texts["retrieval_policy"])
+    record["retrieval_policy"] = {"fingerprint": fingerprint}
     scope = record["comparison_scope"]
     scope.setdefault("retrieval_policy_fingerprint", None)
     if scope["retrieval_policy_fingerprint"] is None:
-        scope["retrieval_policy_fingerprint"] = record["retrieval_policy"]["fingerprint"]
-    record["retrieval_evidence_sha256"] = canonical.digest(record["retrieval"])
-    return canonical.dump(record | {"assessment_id": identity(record), "assessment_body_sha256": canonical.digest(without(record, *_SEALS))})
+        scope["retrieval_policy_fingerprint"] = fingerprint
+    texts["comparison_scope"] = canonical.dump(scope)
+    record["retrieval_evidence_sha256"] = _sha256(texts["retrieval"])
+    texts["retrieval_evidence_sha256"] = canonical.dump(record["retrieval_evidence_sha256"])
+    body = without(texts, *_SEALS)
+    return canonical.joined(body | {"assessment_id": canonical.dump(identity(record)), "assessment_body_sha256": canonical.dump(_sha256(canonical.joined(body)))})
 
 
 #: The canonical text of a record (JSON text) with its policy's fingerprint, its identity and its seals.
-sealed_record = canonical.mapped(T.StringType(), _sealed)
+sealed_record = canonical.mapped(T.StringType(), _sealed, canonical.members)
 
 
 def _cards(findings: Column, scan_completed: Column, items: Column) -> dict[str, Column]:

@@ -208,3 +208,15 @@ def test_a_value_is_written_again_only_where_it_may_lack_bytes(monkeypatch):
             C.load(x)
     monkeypatch.setattr(C, "dump", lambda _: pytest.fail("written again"))
     assert C.load(json.dumps(record(inspected=False), ensure_ascii=False)) == record(inspected=False)
+
+
+def test_members_are_those_of_strict_json_alone(monkeypatch):
+    good = record()
+    for text in (dump(good), json.dumps(good), json.dumps(good, indent=1), dump({"b": "\u00e9", "a": -1}), "{}"):
+        value, members, whole = C.members(text)
+        assert value == json.loads(text) and members == {k: dump(x) for k, x in value.items()} and whole == dump(value)
+    for bad in ('{"a":1,"a":2}', '{"a":{"b":1,"b":1}}', '{"a":1e5,"a":1}', '{"a":NaN}', '{"a":1e999}', '{"a":"\\ud800"}', '{"a":"\ud800"}', "\ufeff{}", "{} x", "[]", "null", '{"a":01}'):
+        with pytest.raises(ValueError):
+            C.members(bad)
+    monkeypatch.setattr(C, "load", lambda _: pytest.fail("read again"))
+    assert C.members('{"b":{"d":1,"c":null},"a":"x"}')[2] == '{"a":"x","b":{"c":null,"d":1}}'
