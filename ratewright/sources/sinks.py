@@ -29,9 +29,14 @@ def _document(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
 
 
+def json_head(envelope: dict, array: str = "standard_charge_information") -> str:
+    """What a document begins with: the envelope's fields, and the array up to its first element."""
+    return json.dumps(envelope)[:-1] + (", " if envelope else "") + json.dumps(array) + ": [\n"
+
+
 def write_json(items: DataFrame, envelope: dict, path: str, array: str = "standard_charge_information") -> None:
     """items: one string column, the JSON text of an element. The envelope's fields come before the array."""
-    head = json.dumps(envelope)[:-1] + (", " if envelope else "") + json.dumps(array) + ": [\n"
+    head = json_head(envelope, array)
     items.mapInArrow(lambda batches: _document(batches, head), "value string").write.text(path)
 
 
@@ -87,7 +92,11 @@ def _documents(batches: Iterator[pa.RecordBatch], folder: str, frames: Mapping[i
 
 def write_documents(texts: DataFrame, folder: str, frames: Mapping[int, Frame], between: str, compression: str | None = None) -> int:
     """One file for each ``name``, of its rows' ``text`` in their order; the number of files. Rows of a name come together and in one task; the ``frame``
-    of a name says what is before and after them. Nulls are left out. A document goes to its file as its rows come, so none is held."""
+    of a name says what is before and after them. Nulls are left out. A document goes to its file as its rows come, so none is held. The folder is there without rows too."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root, recursive=True)
     written = texts.select("name", "frame", "text").mapInArrow(lambda batches: _documents(batches, folder, frames, between, compression), "files bigint")
     return sum(r.files for r in written.collect())  # a number for each task
 

@@ -1,9 +1,12 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from ratewright.functions import text
 from ratewright.operators import inspect_csv, normalize, rates
+from ratewright.plans import queries
+from ratewright.plans.bridge import Tables
 
 ODD = [
     {"description": "a", "standard_charges": [{"setting": "both", "billing_class": 5, "payers_information": [{"payer_name": "P", "plan_name": "Q", "methodology": "other", "standard_charge_dollar": 1.50, "standard_charge_percentage": "3", "standard_charge_algorithm": " ", "10th_percentile": 10**20, "count": "11"}, 7, None, {}, {"standard_charge_dollar": True, "standard_charge_algorithm": {"a": 1}, "standard_charge_percentage": [1]}]}, "none", {"setting": " ", "payers_information": {}}, {"setting": "inpatient", "billing_class": "x", "payers_information": [{"standard_charge_percentage": 1e3}]}]},
@@ -27,6 +30,22 @@ def test_payer_rates_with_their_groups_are_those_of_the_joined_tables(spark):
     assert "Join" not in plan
 
 
+def test_charge_documents_take_little_disk(spark, sf):
+    t = Tables(spark, sf)
+    rows = queries.json_rows(t).select("file", "part", "ordinal", "payload_text", "problem").collect()
+    items = [r for r in rows if r.part == "standard_charge_information"]
+    assert sorted(json.loads(r.payload_text)["description"] for r in items) == sorted(r[0] for r in t.payer_rate.join(t.charge_group, "charge_group_id").select("payer_rate_id").collect())
+    assert not [r for r in rows if r.problem] and {r.file for r in items} == {r.file for r in rows}
+    disk = sum(os.path.getsize(file.removeprefix("file://")) for file in {r.file for r in rows})
+    assert disk * 5 < sum(r.ordinal for r in rows if r.part == "source")
+
+
+def test_no_lines_give_no_documents(spark, sf, tmp_path):
+    for name in ("lineitem", "orders", "supplier"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert queries.QUERIES["json_round_trip"](spark, str(tmp_path)).collect() == []
+
+
 def test_scores_of_a_task_are_bounded(spark):
     passages = spark.range(60).select(F.col("id").alias("passage_id"), F.concat(F.lit("rate of charge "), F.col("id") % 7).alias("text"))
     queries = spark.range(10).select(F.col("id").alias("query_id"), F.concat(F.lit("charge "), F.col("id") % 5).alias("text"))
