@@ -156,6 +156,12 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder, self._found = spark, folder, {}
 
+    def given(self, **tables: DataFrame) -> Tables:
+        """The same with these tables instead of those of the folder: views are made of them."""
+        out = Tables(self._spark, self._folder)
+        out._found |= tables
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

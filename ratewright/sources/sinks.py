@@ -7,6 +7,7 @@ import io
 import json
 import uuid
 from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +20,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it ends; else they stay until the driver collects its garbage. For queries whose rows are in files by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _document(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordBatch]:
     begun = False
     for b in batches:

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,34 @@ def test_charge_documents_take_little_disk(spark, sf):
     assert disk * 5 < sum(r.ordinal for r in rows if r.part == "source")
 
 
+def test_charge_documents_are_the_same_in_parts(spark, sf, monkeypatch):
+    told = lambda: sorted(r.payload_text for r in queries.json_rows(Tables(spark, sf)).where("part = 'standard_charge_information'").select("payload_text").collect())
+    whole = told()
+    monkeypatch.setattr(queries, "LINES", len(whole) // 3)
+    assert told() == whole
+
+
+def test_lines_of_charge_documents_are_shuffled_once(spark, sf):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # suppliers are broadcast, orders aren't
+    try:
+        own = queries.charges_part(Tables(spark, sf), 0, 1, 8)
+        plan = own.payer_rate.join(own.charge_group.select("charge_group_id", "setting"), "charge_group_id")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastHashJoin" in plan and "SortMergeJoin" in plan  # one of the lines, one of the orders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shuffle_files_of_charge_documents_go(spark, sf):
+    files = lambda: {f for _, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_")}
+    earlier = files()
+    queries.json_rows(Tables(spark, sf))
+    end = time.monotonic() + 10
+    while (left := files() - earlier) and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_no_lines_give_no_documents(spark, sf, tmp_path):
     for name in ("lineitem", "orders", "supplier"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
