@@ -66,7 +66,7 @@ def test_shuffle_files_of_charge_documents_go(spark, sf):
     end = time.monotonic() + 10
     while (left := files() - earlier) and time.monotonic() < end:
         time.sleep(0.1)
-    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert left == set() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
 def test_no_lines_give_no_documents(spark, sf, tmp_path):
